@@ -1,0 +1,9 @@
+"""Streaming.
+
+The mined workload is batch only: every stage reads whole files and the
+level loop needs the final count of each level before the next one starts.
+There is no watermark, window, state or late-data semantics to carry over,
+so this package offers no streaming operator.  A streaming source can still
+feed the miner through ``foreachBatch`` writing ratings to a table that a
+batch run reads.
+"""
