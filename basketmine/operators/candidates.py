@@ -26,12 +26,17 @@ from .pairs import DEFAULT_SKEW, SkewPolicy, pair_join
 
 
 def generate_candidates(level_table: DataFrame, k: int, method: str = "union", *,
-                        n_rows: int | None = None, skew: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
-    """C_k from L_{k-1}: (k, items, parent_a, parent_b), items sorted."""
+                        n_rows: int | None = None, max_group: int | None = None,
+                        skew: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """C_k from L_{k-1}: (k, items, parent_a, parent_b), items sorted.
+
+    `max_group` bounds the rows sharing one key; the items under a key are
+    distinct frequent items, so the size of level 1 is such a bound.
+    """
     if method == "prefix" or k == 2:
         sets = level_table.select(F.slice("items", 1, k - 2).alias("rest"),
                                   F.element_at("items", -1).alias("x"))
-        pairs = pair_join(sets, ["rest"], "x", n_rows=n_rows, skew=skew)
+        pairs = pair_join(sets, ["rest"], "x", n_rows=n_rows, max_group=max_group, skew=skew)
         return pairs.select(
             F.lit(k).alias("k"),
             F.concat("rest", F.array("item_a", "item_b")).alias("items"),
@@ -42,7 +47,8 @@ def generate_candidates(level_table: DataFrame, k: int, method: str = "union", *
     sets = level_table.select("items", F.explode("items").alias("x"))
     sets = sets.select(F.array_remove("items", F.col("x")).alias("rest"), "x")
     n_exploded = None if n_rows is None else n_rows * (k - 1)
-    pairs = pair_join(sets, ["rest"], "x", n_rows=n_exploded, skew=skew)
+    pairs = pair_join(sets, ["rest"], "x", n_rows=n_exploded, max_group=max_group,
+                      skew=skew)
     cands = pairs.select(F.sort_array(F.concat("rest", F.array("item_a", "item_b"))).alias("items"),
                          F.struct(F.col("item_a").alias("x"), F.col("item_b").alias("y")).alias("xy"))
     best = cands.groupBy("items").agg(F.min("xy").alias("xy"))

@@ -37,16 +37,20 @@ DEFAULT_SKEW = SkewPolicy()
 
 
 def pair_join(df: DataFrame, keys: list[str], item: str, *, n_rows: int | None = None,
-              skew: SkewPolicy = DEFAULT_SKEW,
+              max_group: int | None = None, skew: SkewPolicy = DEFAULT_SKEW,
               left_name: str = "item_a", right_name: str = "item_b") -> DataFrame:
     """Pairs (a, b) within equal-`keys` groups with a < b.
 
-    Output columns: `keys...`, `left_name`, `right_name`.  `n_rows` is the
-    exact row count of `df` when known; if it cannot exceed `hot_rows`, no
-    group can be hot and the salting stage is left out of the plan.
+    Output columns: `keys...`, `left_name`, `right_name`.  `n_rows` (an
+    upper bound of the row count of `df`) and `max_group` (an upper bound
+    of any group's size, e.g. the number of frequent items when the items
+    of a group are distinct frequent items) are used when known: if either
+    proves that no group can exceed `hot_rows`, the salting stage is left
+    out of the plan.
     """
     base = df.select(*keys, F.col(item).alias("_item"))
-    salt_needed = n_rows is None or n_rows > skew.hot_rows
+    bounds = [b for b in (n_rows, max_group) if b is not None]
+    salt_needed = not bounds or min(bounds) > skew.hot_rows
     if salt_needed:
         threshold = skew.hot_rows
         if n_rows is not None:

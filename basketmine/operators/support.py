@@ -54,10 +54,13 @@ def candidate_support(result, k: int, method: str = "union") -> DataFrame:
     prev = result.level(k - 1)
     occ = _occurrences(result, k - 1)
     if k == 2 or method == "prefix":
-        counted = count_occurrences(extend_occurrences(occ, prev.n_occurrences, result.skew), k)
+        n1 = result.level(1).n_frequent
+        counted = count_occurrences(
+            extend_occurrences(occ, prev.n_occurrences, result.skew, n1), k)
         return (counted.select("k", "items", "freq")
                 .withColumn("support", support("freq", result.n_users)))
-    cands = generate_candidates(prev.table, k, "union", n_rows=prev.n_frequent, skew=result.skew)
+    cands = generate_candidates(prev.table, k, "union", n_rows=prev.n_frequent,
+                                max_group=result.level(1).n_frequent, skew=result.skew)
     return count_support(cands, occ, result.n_users)
 
 
@@ -103,6 +106,7 @@ def iteration_stats(result) -> DataFrame:
                 n_cand = prev.n_frequent * (prev.n_frequent - 1) // 2
             else:
                 n_cand = generate_candidates(prev.table, k, "union", n_rows=prev.n_frequent,
+                                             max_group=result.level(1).n_frequent,
                                              skew=result.skew).count()
             n_rules = level_rules(lv.table, prev.table, prev.n_frequent, k).count()
         n_users = retained_users(result, k).count()

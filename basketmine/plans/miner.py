@@ -1,11 +1,11 @@
 """Level-wise frequent-itemset mining (Apriori) as a chain of Spark jobs.
 
-Data kept per level k (both materialised as parquet on shared storage):
+Data kept per level k:
 
-* ``L_k(k, prefix, last, items, freq, support)`` -- frequent k-sets; the
+* ``L_k(k, prefix, last, items, freq, support)`` -- frequent k-sets (cached); the
   set is ``prefix + [last]`` (sorted, so ``last`` is its largest member).
 * ``occ_k(user_id, prefix, last)`` -- one row per user and frequent k-set
-  contained in the user's basket.
+  contained in the user's basket (parquet on shared storage).
 
 Level k+1 is one equi-self-join of ``occ_k`` on ``(user_id, prefix)`` with
 ``a.last < b.last`` (a user holds ``prefix+a+b`` iff it holds ``prefix+a``
@@ -15,6 +15,10 @@ occurrences of the sets that survived.  Only combinations that really
 occur in some basket are ever built, so there is no candidate explosion,
 and no basket array is ever scanned for containment.
 
+Level tables are small and cached (their lineage is one join back to the
+last written occurrence table); occurrence tables are written to shared
+storage, which cuts the lineage of the loop.
+
 Loop control follows the reference: level 2 always runs, then continue
 while the last level has more than one set and the next size is within
 ``max_len``.  One driver round trip per level: its size.
@@ -96,6 +100,18 @@ class MiningResult:
         return iteration_stats(self)
 
 
+def _cache_level(table: DataFrame) -> tuple[DataFrame, int, int]:
+    """Cache a level table; returns it with its size and its total count.
+
+    Each (user, set) containment is counted once, so the total count is
+    exactly the row count of the level's occurrence table.
+    """
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    row = table.agg(F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum("freq"), F.lit(0)).alias("occ")).first()
+    return table, int(row["n"]), int(row["occ"])
+
+
 def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support: float,
                scratch: str) -> Level:
     item_type = pairs.schema[ITEM].dataType.simpleString()
@@ -103,22 +119,25 @@ def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support
     table = (prep.frequent_items(item_freq, n_users, min_support)
              .select(F.lit(1).alias("k"), empty.alias("prefix"), F.col(ITEM).alias("last"),
                      F.array(ITEM).alias("items"), "freq", "support"))
-    table = materialize(table, f"{scratch}/levels/k=1")
-    n1 = table.count()
+    table, n1, n_occ = _cache_level(table)
     occ = pairs.join(maybe_broadcast(table.select(F.col("last").alias(ITEM)), n1, 1),
                      ITEM, "left_semi")
     occ = occ.select(USER, empty.alias("prefix"), F.col(ITEM).alias("last"))
     occ = materialize(occ, f"{scratch}/occ/k=1")
-    return Level(1, table, n1, occ, occ.count())
+    return Level(1, table, n1, occ, n_occ)
 
 
-def extend_occurrences(occ: DataFrame, n_occ: int | None, skew: SkewPolicy) -> DataFrame:
+def extend_occurrences(occ: DataFrame, n_occ: int | None, skew: SkewPolicy,
+                       n_frequent_items: int | None = None) -> DataFrame:
     """(user, prefix, last) of level k -> (user, prefix, last) of level k+1.
 
     The new prefix is the old set ``prefix + [a]`` and the new last item is
-    ``b > a``; output rows are (user, candidate) containments.
+    ``b > a``; output rows are (user, candidate) containments.  A join group
+    (user, prefix) holds distinct frequent items, so it has at most
+    ``n_frequent_items`` rows.
     """
-    pairs = pair_join(occ, [USER, "prefix"], "last", n_rows=n_occ, skew=skew)
+    pairs = pair_join(occ, [USER, "prefix"], "last", n_rows=n_occ,
+                      max_group=n_frequent_items, skew=skew)
     return pairs.select(USER, F.concat("prefix", F.array("item_a")).alias("prefix"),
                         F.col("item_b").alias("last"))
 
@@ -166,22 +185,21 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
     levels = [first]
 
     limit = max(2, max_len) if max_len is not None else None
+    n1 = first.n_frequent
     k = 2
     while True:
         prev = levels[-1]
-        cand = extend_occurrences(prev.occurrences, prev.n_occurrences, skew)
+        cand = extend_occurrences(prev.occurrences, prev.n_occurrences, skew, n1)
         cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
         counted = count_occurrences(cand, k).filter(is_frequent("freq", n_users, min_support))
-        table = materialize(counted.withColumn("support", support("freq", n_users)),
-                            f"{scratch}/levels/k={k}")
-        n_k = table.count()
+        table, n_k, n_occ = _cache_level(counted.withColumn("support", support("freq", n_users)))
         go_on = n_k > 1 and (limit is None or k + 1 <= limit)
         level = Level(k, table, n_k)
         if go_on or keep_last_occurrences:
             keep = maybe_broadcast(table.select("prefix", "last"), n_k, k)
             occ = materialize(cand.join(keep, ["prefix", "last"], "left_semi"),
                               f"{scratch}/occ/k={k}")
-            level.occurrences, level.n_occurrences = occ, occ.count()
+            level.occurrences, level.n_occurrences = occ, n_occ
         cand.unpersist()
         levels.append(level)
         if not go_on:
