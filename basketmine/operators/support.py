@@ -90,7 +90,8 @@ def retained_baskets(result, k: int) -> DataFrame:
 def iteration_stats(result) -> DataFrame:
     """(k, n_candidates, n_frequent, n_users, n_rules) for every level run.
 
-    Level 1 counts every distinct item as a candidate.  Candidates are the
+    Level 1 counts every distinct item within the item bound as a candidate
+    (the reference judges every movie block, whatever its raters).  Candidates are the
     reference's union candidates; their count for k = 2 is n1*(n1-1)/2.
     """
     from .rules import level_rules
@@ -98,7 +99,7 @@ def iteration_stats(result) -> DataFrame:
     for lv in result.levels:
         k = lv.k
         if k == 1:
-            n_cand = result.item_freq.count()
+            n_cand = result.all_items.count()
             n_rules = 0
         else:
             prev = result.level(k - 1)

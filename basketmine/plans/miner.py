@@ -67,6 +67,7 @@ class MiningResult:
     levels: list[Level]
     scratch: str
     item_freq: DataFrame | None = None   # (item_id, freq, support), all items
+    all_items: DataFrame | None = None   # distinct items within the item bound
     skew: SkewPolicy = field(default=DEFAULT_SKEW)
 
     def level(self, k: int) -> Level:
@@ -206,4 +207,5 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
             break
         k += 1
 
-    return MiningResult(n_users, min_support, pairs, levels, scratch, item_freq, skew)
+    return MiningResult(n_users, min_support, pairs, levels, scratch, item_freq,
+                        rated.select(ITEM).distinct(), skew)
