@@ -7,14 +7,22 @@ exactly the set of (user, candidate) containments that support counting
 has to see, and on level tables (keys = shared prefix or shared rest) it
 is the candidate set.
 
-Skew.  One group (a heavy user, or the empty prefix when level-1
-candidates are formed) may hold a large share of all rows.  Groups above
-`hot_rows` rows are split: the left side is spread over `s` salt buckets by
-a hash of the item, the right side is copied to each bucket, so the pairs
-of one hot group are produced by `s` tasks instead of one and no pair is
-produced twice.  The list of hot groups is broadcast; its size is bounded
-by construction (`hot_rows` is raised until at most `max_hot_keys` groups
-can exceed it).  AQE's skew-join split remains on as a second line.
+Skew.  A group of m rows emits m(m-1)/2 pairs, so the danger is the output
+of one group (a heavy user, or the empty prefix shared by all frequent
+items when level-2 candidates are formed), which AQE cannot see because
+the input partition is small.  A group whose pairs would exceed
+`max_pairs_per_task` is split: the left side is spread over s salt buckets
+by a hash of the item, the right side is copied to each bucket, so the
+pairs of one hot group come from s tasks and no pair is produced twice.
+
+Hot groups are found on a hash-selected sample of the rows (the salting
+decision only changes task layout, never the result, so an estimate is
+enough; the sample depends on row content only, so every evaluation sees
+the same hot list) and the list is broadcast; its size is bounded by construction: at most
+`max_hot_keys` groups can exceed the threshold used.  When the caller can
+prove that no group is hot (`max_group`, e.g. the number of frequent
+items, or `n_rows` below the threshold) the extra stage is left out.
+AQE's skew-join split remains on as a second line.
 """
 
 from __future__ import annotations
@@ -28,14 +36,46 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    hot_rows: int = 20_000       # a group above this many rows is split
-    max_salts: int = 256         # at most this many buckets per hot group
-    max_hot_keys: int = 50_000   # bound on the broadcast hot-group list
+    max_pairs_per_task: int = 8_000_000   # pairs one group may emit in one task
+    max_salts: int = 512                   # at most this many buckets per hot group
+    max_hot_keys: int = 100_000            # bound on the broadcast hot-group list
+    sample_rows: int = 5_000_000           # rows sampled to find hot groups
+    seed: int = 17
+
+    @property
+    def hot_rows(self) -> int:
+        """Group size whose pairs reach `max_pairs_per_task`."""
+        return max(2, math.isqrt(2 * self.max_pairs_per_task))
 
 
 DEFAULT_SKEW = SkewPolicy()
 
 
+def hot_groups(df: DataFrame, keys: list[str], n_rows: int | None, skew: SkewPolicy) -> DataFrame:
+    """(keys..., _s): groups estimated above the hot size, with their bucket count."""
+    threshold = skew.hot_rows
+    if n_rows is not None:
+        threshold = max(threshold, math.ceil(n_rows / skew.max_hot_keys))
+    fraction = 1.0
+    if n_rows is not None and n_rows > skew.sample_rows:
+        fraction = skew.sample_rows / n_rows
+    # Sample by a hash of the row's content, not by a random draw: both sides
+    # of the join must see the same hot list, whatever the row order or the
+    # number of times the input is evaluated.
+    src = df
+    if fraction < 1.0:
+        bucket = F.pmod(F.xxhash64(*df.columns, F.lit(skew.seed)), F.lit(1 << 30))
+        src = df.filter(bucket < F.lit(int(fraction * (1 << 30))))
+    est = F.count(F.lit(1)) / F.lit(fraction)
+    pairs = est * est / F.lit(2.0)
+    return (src.groupBy(*keys).agg(est.alias("_m"))
+            .filter(F.col("_m") > threshold)
+            .select(*keys, F.least(F.lit(skew.max_salts),
+                                   F.ceil(F.col("_m") * F.col("_m") / F.lit(2.0 * skew.max_pairs_per_task)))
+                    .cast("int").alias("_s"))
+            .filter(F.col("_s") > 1))
+
+
 def pair_join(df: DataFrame, keys: list[str], item: str, *, n_rows: int | None = None,
               max_group: int | None = None, skew: SkewPolicy = DEFAULT_SKEW,
               left_name: str = "item_a", right_name: str = "item_b") -> DataFrame:
@@ -52,15 +92,8 @@ def pair_join(df: DataFrame, keys: list[str], item: str, *, n_rows: int | None =
     bounds = [b for b in (n_rows, max_group) if b is not None]
     salt_needed = not bounds or min(bounds) > skew.hot_rows
     if salt_needed:
-        threshold = skew.hot_rows
-        if n_rows is not None:
-            threshold = max(threshold, math.ceil(n_rows / skew.max_hot_keys))
-        hot = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > threshold)
-               .select(*keys, F.least(F.lit(skew.max_salts),
-                                      F.ceil(F.col("_n") / F.lit(threshold)))
-                       .cast("int").alias("_s")))
-        # At most n_rows / threshold <= max_hot_keys rows: safe to broadcast.
+        # At most max_hot_keys rows (see hot_groups): safe to broadcast.
+        hot = hot_groups(base, keys, n_rows, skew)
         tagged = base.join(F.broadcast(hot), keys, "left")
         left = tagged.withColumn(
             "_salt", F.when(F.col("_s").isNull(), F.lit(0))

@@ -87,31 +87,40 @@ def retained_baskets(result, k: int) -> DataFrame:
     return result.baskets().join(retained_users(result, k), USER, "left_semi")
 
 
+def _counts_by_level(parts: list[DataFrame]) -> dict[int, int]:
+    """One job: row counts per level of several per-level frames."""
+    if not parts:
+        return {}
+    allk = parts[0]
+    for p in parts[1:]:
+        allk = allk.unionByName(p)
+    return {r["k"]: r["n"] for r in allk.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def iteration_stats(result) -> DataFrame:
     """(k, n_candidates, n_frequent, n_users, n_rules) for every level run.
 
     Level 1 counts every distinct item within the item bound as a candidate
-    (the reference judges every movie block, whatever its raters).  Candidates are the
-    reference's union candidates; their count for k = 2 is n1*(n1-1)/2.
+    (the reference judges every movie block, whatever its raters).
+    Candidates are the reference's union candidates; their count for k = 2
+    is n1*(n1-1)/2.  Each statistic is one job over all levels.
     """
-    from .rules import level_rules
-    rows = []
-    for lv in result.levels:
-        k = lv.k
-        if k == 1:
-            n_cand = result.all_items.count()
-            n_rules = 0
-        else:
-            prev = result.level(k - 1)
-            if k == 2:
-                n_cand = prev.n_frequent * (prev.n_frequent - 1) // 2
-            else:
-                n_cand = generate_candidates(prev.table, k, "union", n_rows=prev.n_frequent,
-                                             max_group=result.level(1).n_frequent,
-                                             skew=result.skew).count()
-            n_rules = level_rules(lv.table, prev.table, prev.n_frequent, k).count()
-        n_users = retained_users(result, k).count()
-        rows.append((k, int(n_cand), int(lv.n_frequent), int(n_users), int(n_rules)))
+    from .rules import association_rules
+    n1 = result.level(1).n_frequent
+    cands = [generate_candidates(result.level(lv.k - 1).table, lv.k, "union",
+                                 n_rows=result.level(lv.k - 1).n_frequent, max_group=n1,
+                                 skew=result.skew).select("k")
+             for lv in result.levels if lv.k >= 3]
+    n_cand = _counts_by_level(cands)
+    n_cand[1] = result.all_items.count()
+    if result.max_k >= 2:
+        n_cand[2] = n1 * (n1 - 1) // 2
+    users = [retained_users(result, lv.k).select(F.lit(lv.k).alias("k")) for lv in result.levels]
+    n_users = _counts_by_level(users)
+    n_rules = _counts_by_level([association_rules(result).select("k")]) \
+        if result.max_k >= 2 else {}
+    rows = [(lv.k, int(n_cand.get(lv.k, 0)), int(lv.n_frequent), int(n_users.get(lv.k, 0)),
+             int(n_rules.get(lv.k, 0))) for lv in result.levels]
     spark = result.pairs.sparkSession
     return spark.createDataFrame(
         rows, "k int, n_candidates long, n_frequent long, n_users long, n_rules long")

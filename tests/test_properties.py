@@ -11,7 +11,7 @@ from basketmine import mine
 from basketmine.functions.itemsets import min_count_above
 from basketmine.operators.candidates import generate_candidates
 from basketmine.operators.fpgrowth import fpgrowth_itemsets
-from basketmine.operators.pairs import SkewPolicy, pair_join
+from basketmine.operators.pairs import SkewPolicy, hot_groups, pair_join
 from basketmine.operators.support import candidate_support
 from basketmine.sources import tables
 
@@ -62,14 +62,21 @@ def test_fpgrowth_agrees(spark):
 def test_salting_gives_the_same_result(spark):
     ratings = tables.order_brands(spark, SF001)
     plain = sets_of(mine(ratings, 0.003).itemsets())
-    salted = sets_of(mine(ratings, 0.003, skew=SkewPolicy(hot_rows=2, max_salts=4)).itemsets())
-    assert plain == salted
+    salted = sets_of(mine(ratings, 0.003,
+                          skew=SkewPolicy(max_pairs_per_task=1, max_salts=4)).itemsets())
+    sampled = sets_of(mine(ratings, 0.003, skew=SkewPolicy(max_pairs_per_task=1, max_salts=4,
+                                                           sample_rows=50)).itemsets())
+    assert plain == salted == sampled
 
 
 def test_pair_join_splits_a_hot_group(spark):
     df = spark.range(0, 300).select(F.lit(1).alias("g"), F.col("id").alias("x"))
     df = df.unionByName(spark.range(0, 5).select(F.lit(2).alias("g"), F.col("id").alias("x")))
-    salted = pair_join(df, ["g"], "x", skew=SkewPolicy(hot_rows=50, max_salts=8))
+    policy = SkewPolicy(max_pairs_per_task=1000, max_salts=8)
+    hot = {r["g"]: r["_s"] for r in hot_groups(df.withColumnRenamed("x", "_item"), ["g"], 305,
+                                                   policy).collect()}
+    assert hot == {1: 8}                       # 300 rows -> 44850 pairs -> capped at 8
+    salted = pair_join(df, ["g"], "x", skew=policy)
     plain = pair_join(df, ["g"], "x", max_group=2)
     want = 300 * 299 // 2 + 5 * 4 // 2
     assert salted.count() == want == plain.count()
