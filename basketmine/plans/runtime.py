@@ -71,7 +71,7 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     broadcast decisions.  One job, no double computation.
     """
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_limit(spark: SparkSession) -> int:
