@@ -44,6 +44,20 @@ def generate_candidates(level_table: DataFrame, k: int, method: str = "union", *
             F.concat("rest", F.array("item_b")).alias("parent_b"))
     if method != "union":
         raise ValueError("method must be 'union' or 'prefix'")
+    gens = union_generators(level_table, k, n_rows=n_rows, max_group=max_group, skew=skew)
+    return gens.select(
+        F.lit(k).alias("k"), "items",
+        F.sort_array(F.concat("rest", F.array("x"))).alias("parent_a"),
+        F.sort_array(F.concat("rest", F.array("y"))).alias("parent_b"))
+
+
+def union_generators(level_table: DataFrame, k: int, *, n_rows: int | None = None,
+                     max_group: int | None = None, skew: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
+    """Union candidates of size k >= 3 with one canonical generator each.
+
+    (items, rest, x, y): items = rest + x + y, with rest + x and rest + y in
+    L_{k-1}; of all generators of a candidate the smallest (x, y) is kept.
+    """
     sets = level_table.select("items", F.explode("items").alias("x"))
     sets = sets.select(F.array_remove("items", F.col("x")).alias("rest"), "x")
     n_exploded = None if n_rows is None else n_rows * (k - 1)
@@ -52,7 +66,6 @@ def generate_candidates(level_table: DataFrame, k: int, method: str = "union", *
     cands = pairs.select(F.sort_array(F.concat("rest", F.array("item_a", "item_b"))).alias("items"),
                          F.struct(F.col("item_a").alias("x"), F.col("item_b").alias("y")).alias("xy"))
     best = cands.groupBy("items").agg(F.min("xy").alias("xy"))
-    return best.select(
-        F.lit(k).alias("k"), "items",
-        F.array_remove("items", F.col("xy.y")).alias("parent_a"),
-        F.array_remove("items", F.col("xy.x")).alias("parent_b"))
+    return best.select("items",
+                       F.array_except("items", F.array(F.col("xy.x"), F.col("xy.y"))).alias("rest"),
+                       F.col("xy.x").alias("x"), F.col("xy.y").alias("y"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.itemsets import support
 from . import prepare as prep
-from .candidates import generate_candidates
+from .candidates import generate_candidates, union_generators
+from .pairs import pair_join
 
 USER = prep.USER
 
@@ -49,7 +50,12 @@ def count_support(candidates: DataFrame, occ_prev: DataFrame, n_users: int) -> D
 
 
 def candidate_support(result, k: int, method: str = "union") -> DataFrame:
-    """(k, items, freq, support) of every level-k candidate held by a basket."""
+    """(k, items, freq, support) of every level-k candidate held by a basket.
+
+    For union candidates of size >= 3 the general parent join of
+    `count_support` would first emit every candidate below each held parent;
+    the route here only pairs sets a user actually holds.
+    """
     from ..plans.miner import count_occurrences, extend_occurrences
     prev = result.level(k - 1)
     occ = _occurrences(result, k - 1)
@@ -59,9 +65,22 @@ def candidate_support(result, k: int, method: str = "union") -> DataFrame:
             extend_occurrences(occ, prev.n_occurrences, result.skew, n1), k)
         return (counted.select("k", "items", "freq")
                 .withColumn("support", support("freq", result.n_users)))
-    cands = generate_candidates(prev.table, k, "union", n_rows=prev.n_frequent,
-                                max_group=result.level(1).n_frequent, skew=result.skew)
-    return count_support(cands, occ, result.n_users)
+    n1 = result.level(1).n_frequent
+    gens = union_generators(prev.table, k, n_rows=prev.n_frequent, max_group=n1,
+                            skew=result.skew)
+    # Pairs of held (k-1)-sets that share k-2 items, per user; a pair is a
+    # hit when it is the canonical generator of a candidate, so every
+    # (user, contained candidate) is counted exactly once.
+    held = prev.occurrence_sets()
+    parts = held.select(USER, "items", F.explode("items").alias("x"))
+    parts = parts.select(USER, F.array_remove("items", F.col("x")).alias("rest"), "x")
+    n_parts = None if prev.n_occurrences is None else prev.n_occurrences * (k - 1)
+    pairs = pair_join(parts, [USER, "rest"], "x", n_rows=n_parts, max_group=n1,
+                      skew=result.skew, left_name="x", right_name="y")
+    hits = pairs.join(gens, ["rest", "x", "y"], "inner")
+    return (hits.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
+            .select(F.lit(k).alias("k"), "items", "freq",
+                    support("freq", result.n_users).alias("support")))
 
 
 def retained_users(result, k: int) -> DataFrame:
