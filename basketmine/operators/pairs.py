@@ -107,6 +107,10 @@ def pair_join(df: DataFrame, keys: list[str], item: str, *, n_rows: int | None =
         join_keys = keys
     a = left.select(*join_keys, F.col("_item").alias(left_name))
     b = right.select(*join_keys, F.col("_item").alias(right_name))
-    return (a.join(b, join_keys, "inner")
+    # Both sides are the same (large) table: keep a sort-merge join on one
+    # shared exchange.  Without the hint AQE may turn it into a broadcast
+    # when the compressed shuffle is small, collecting a table that grows
+    # with the data on the driver.
+    return (a.join(b.hint("merge"), join_keys, "inner")
             .filter(F.col(left_name) < F.col(right_name))
             .select(*keys, left_name, right_name))

@@ -154,7 +154,7 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
          max_item=None, max_user=None, user_bound: str = "inclusive",
          l1_count: str = "distinct", user_col: str = USER, item_col: str = ITEM,
          skew: SkewPolicy = DEFAULT_SKEW, keep_last_occurrences: bool = False,
-         scratch: str | None = None) -> MiningResult:
+         persist_candidates: bool = True, scratch: str | None = None) -> MiningResult:
     """Mine all itemsets with support > min_support (M1).
 
     ratings       any DataFrame with a user and an item column
@@ -180,8 +180,11 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
 
     pairs = materialize(prep.distinct_pairs(basket_rows), f"{scratch}/pairs")
     n_users = prep.count_users(pairs if not strict else for_n)
+    if l1_count not in ("distinct", "rows"):
+        raise ValueError("l1_count must be 'distinct' or 'rows'")
+    # `pairs` is already distinct: counting its rows is the distinct count.
     item_freq = prep.item_support(basket_rows if l1_count == "rows" else pairs, n_users,
-                                  count=l1_count)
+                                  count="rows")
     first = _level_one(pairs, item_freq, n_users, min_support, scratch)
     levels = [first]
 
@@ -191,7 +194,8 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
     while True:
         prev = levels[-1]
         cand = extend_occurrences(prev.occurrences, prev.n_occurrences, skew, n1)
-        cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
+        if persist_candidates:
+            cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
         counted = count_occurrences(cand, k).filter(is_frequent("freq", n_users, min_support))
         table, n_k, n_occ = _cache_level(counted.withColumn("support", support("freq", n_users)))
         go_on = n_k > 1 and (limit is None or k + 1 <= limit)
@@ -201,7 +205,8 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
             occ = materialize(cand.join(keep, ["prefix", "last"], "left_semi"),
                               f"{scratch}/occ/k={k}")
             level.occurrences, level.n_occurrences = occ, n_occ
-        cand.unpersist()
+        if persist_candidates:
+            cand.unpersist()
         levels.append(level)
         if not go_on:
             break

@@ -4,7 +4,7 @@
 
 Prints one line per query: columns equal, row counts, and whether the
 sorted rows are equal (doubles compared after rounding to 12 significant
-digits, text and integers exactly).
+digits, or bit for bit with ORACLE_EXACT=1; text and integers exactly).
 """
 
 from __future__ import annotations
@@ -30,8 +30,11 @@ def duck(sf_dir: str):
     return con
 
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"
+
+
 def _norm(v):
-    if isinstance(v, float):
+    if isinstance(v, float) and not EXACT:
         return float(f"{v:.12g}") if math.isfinite(v) else v
     if hasattr(v, "isoformat"):
         return v.isoformat()
@@ -45,6 +48,18 @@ def canon(rows, cols):
                                           for x in r))
 
 
+SPARK_FAMILY = {"int": "int32", "bigint": "int64", "double": "float64", "string": "text",
+                "date": "date", "boolean": "bool"}
+DUCK_FAMILY = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "text",
+               "DATE": "date", "BOOLEAN": "bool"}
+
+
+def type_families(df, rel):
+    s = {c: SPARK_FAMILY.get(t, t) for c, t in df.dtypes}
+    d = {c: DUCK_FAMILY.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    return s, d
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -56,8 +71,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
     d_rows = rel.fetchall()
     t2 = time.time()
     same_cols = sorted(s_cols) == sorted(d_cols)
+    s_types, d_types = type_families(df, rel)
     same = same_cols and canon(s_rows, s_cols) == canon(d_rows, d_cols)
-    return dict(name=name, ok=same, cols=same_cols, spark_rows=len(s_rows), sql_rows=len(d_rows),
+    return dict(name=name, ok=same, cols=same_cols, types=s_types == d_types,
+                spark_types=s_types, sql_types=d_types, spark_rows=len(s_rows), sql_rows=len(d_rows),
                 spark_sec=round(t1 - t0, 2), sql_sec=round(t2 - t1, 2),
                 spark_cols=s_cols, sql_cols=d_cols)
 
@@ -84,6 +101,8 @@ def main(argv):
         bad += not r["ok"]
         flag = "OK " if r["ok"] else "BAD"
         extra = "" if r["cols"] else f" cols {r['spark_cols']} vs {r['sql_cols']}"
+        if not r["types"]:
+            extra += f" TYPES {r['spark_types']} vs {r['sql_types']}"
         print(f"{flag} {name}: rows {r['spark_rows']}/{r['sql_rows']} "
               f"spark {r['spark_sec']}s sql {r['sql_sec']}s{extra}", flush=True)
     return bad
