@@ -172,6 +172,15 @@ def q_candidates_k3(spark, d):
     return _sets(c.select("k", "items"), "items")
 
 
+def q_candidates_prefix_k3(spark, d):
+    """Textbook apriori-gen join step: sets that share their first k-2 items."""
+    res = _mine_f4(spark, d)
+    lv = res.level(2)
+    c = generate_candidates(lv.table, 3, "prefix", n_rows=lv.n_frequent,
+                            max_group=res.level(1).n_frequent)
+    return _sets(c.select("k", "items"), "items")
+
+
 def q_candidates_text_order(spark, d):
     res = mine(tables.customer_suppliers(spark, d), T_F5, max_len=2)
     lv = res.level(1)
@@ -282,6 +291,15 @@ def q_itemset_text_roundtrip(spark, d):
     return _sets(back.select("k", "items", "support"), "items")
 
 
+def q_result_parquet_roundtrip(spark, d):
+    """All outputs of one run written as parquet (by level), itemsets read back."""
+    res = _mine_f2(spark, d)
+    path = new_scratch(spark, "result")
+    sinks.write_result(res, path)
+    back = spark.read.parquet(f"{path}/itemsets")
+    return _itemsets_out(back)
+
+
 def q_basket_text_roundtrip(spark, d):
     path = new_scratch(spark, "baskets-text")
     sinks.write_baskets_text(_f2_baskets(spark, d), path)
@@ -318,6 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_text": q_rule_text,
     "candidates_k2": q_candidates_k2,
     "candidates_k3": q_candidates_k3,
+    "candidates_prefix_k3": q_candidates_prefix_k3,
     "candidates_text_order": q_candidates_text_order,
     "candidate_support_k2": q_candidate_support_k2,
     "candidate_support_k3": q_candidate_support_k3,
@@ -332,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "select_rating_files": q_select_rating_files,
     "skip_malformed_ratings": q_skip_malformed_ratings,
     "itemset_text_roundtrip": q_itemset_text_roundtrip,
+    "result_parquet_roundtrip": q_result_parquet_roundtrip,
     "basket_text_roundtrip": q_basket_text_roundtrip,
     "candidate_text_roundtrip": q_candidate_text_roundtrip,
 }
@@ -496,6 +516,9 @@ ORACLES: dict[str, str] = {
     "candidates_k2": _with(_base_ctes(SRC_F3, T_F4, 1),
         "SELECT 2 AS k, a.x1 || ',' || b.x1 AS items FROM L1 a JOIN L1 b ON a.x1 < b.x1"),
     "candidates_k3": _with(_f4_c3_ctes(), f"SELECT 3 AS k, {_txt('items')} AS items FROM C3"),
+    "candidates_prefix_k3": _with(_base_ctes(SRC_F3, T_F4, 2),
+        "SELECT 3 AS k, a.x1 || ',' || a.x2 || ',' || b.x2 AS items "
+        "FROM L2 a JOIN L2 b ON a.x1 = b.x1 AND a.x2 < b.x2"),
     "candidates_text_order": _with(_base_ctes(SRC_F5, T_F5, 1),
         "SELECT 2 AS k, least(CAST(a.x1 AS VARCHAR), CAST(b.x1 AS VARCHAR)) || ',' || "
         "greatest(CAST(a.x1 AS VARCHAR), CAST(b.x1 AS VARCHAR)) AS items "
@@ -535,6 +558,7 @@ ORACLES: dict[str, str] = {
         "JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_size <= 45 AND l.l_linestatus <> 'F'",
     "itemset_text_roundtrip": _with(_base_ctes(SRC_F2, T_F2, 5),
         f"SELECT k, {_txt('items')} AS items, freq / (SELECT n FROM nu) AS support FROM S"),
+    "result_parquet_roundtrip": _itemsets_sql(SRC_F2, T_F2, 5),
     "basket_text_roundtrip": _with(_base_ctes(SRC_F2, T_F2, 1),
         "SELECT user_id, string_agg(item_id, ',' ORDER BY item_id) AS items "
         "FROM fp GROUP BY user_id"),
