@@ -34,19 +34,19 @@ def generate_candidates(level_table: DataFrame, k: int, method: str = "union", *
     distinct frequent items, so the size of level 1 is such a bound.
     """
     if method == "prefix" or k == 2:
-        sets = level_table.select(F.slice("items", 1, k - 2).alias("rest"),
+        sets = level_table.select(F.slice("items", 1, F.size("items") - 1).alias("rest"),
                                   F.element_at("items", -1).alias("x"))
         pairs = pair_join(sets, ["rest"], "x", n_rows=n_rows, max_group=max_group, skew=skew)
+        items = F.concat("rest", F.array("item_a", "item_b"))
         return pairs.select(
-            F.lit(k).alias("k"),
-            F.concat("rest", F.array("item_a", "item_b")).alias("items"),
+            F.size(items).alias("k"), items.alias("items"),
             F.concat("rest", F.array("item_a")).alias("parent_a"),
             F.concat("rest", F.array("item_b")).alias("parent_b"))
     if method != "union":
         raise ValueError("method must be 'union' or 'prefix'")
     gens = union_generators(level_table, k, n_rows=n_rows, max_group=max_group, skew=skew)
     return gens.select(
-        F.lit(k).alias("k"), "items",
+        F.size("items").alias("k"), "items",
         F.sort_array(F.concat("rest", F.array("x"))).alias("parent_a"),
         F.sort_array(F.concat("rest", F.array("y"))).alias("parent_b"))
 

@@ -79,7 +79,7 @@ def candidate_support(result, k: int, method: str = "union") -> DataFrame:
                       skew=result.skew, left_name="x", right_name="y")
     hits = pairs.join(gens, ["rest", "x", "y"], "inner")
     return (hits.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
-            .select(F.lit(k).alias("k"), "items", "freq",
+            .select(F.size("items").alias("k"), "items", "freq",
                     support("freq", result.n_users).alias("support")))
 
 

@@ -144,10 +144,14 @@ def extend_occurrences(occ: DataFrame, n_occ: int | None, skew: SkewPolicy,
 
 
 def count_occurrences(occ_next: DataFrame, k: int) -> DataFrame:
-    """(k, prefix, last, items, freq) over all candidates that occur."""
+    """(k, prefix, last, items, freq) over all candidates that occur.
+
+    The level is derived from the set (no per-level literal), so every level
+    runs the same generated code.
+    """
+    items = F.concat("prefix", F.array("last"))
     return (occ_next.groupBy("prefix", "last").agg(F.count(F.lit(1)).alias("freq"))
-            .select(F.lit(k).alias("k"), "prefix", "last",
-                    F.concat("prefix", F.array("last")).alias("items"), "freq"))
+            .select(F.size(items).alias("k"), "prefix", "last", items.alias("items"), "freq"))
 
 
 def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
