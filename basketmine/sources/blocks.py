@@ -13,9 +13,10 @@ Input format (one movie per record):
   original download).  Splitting on ":\\n" yields one record per movie that
   holds the ratings of that movie followed by the id of the *next* movie.
   The owner of a record is therefore the trailing id of the record before
-  it in the same file: a `lag` over one small row per record, ordered by
-  (split start, position in the split), joined back to the bodies.  Works
-  across file splits; it also reads normalised files.
+  it in the same file: a `lag` over one small row per record within each
+  file split, the first record of a split taking the last id of the split
+  before it; the owners are joined back to the bodies.  Works across file
+  splits; it also reads normalised files.
 
 Malformed input: mode="skip" drops a rating line whose user id is not a
 number and a whole record whose header is not a number; mode="fail"
@@ -100,9 +101,22 @@ def read_raw_ratings(spark: SparkSession, path: str, mode: str = "skip",
     heads = recs.select("file", "block", "pos",
                         F.regexp_extract("value", r"(?:^|\n)[ \t]*(\d+)[ \t]*\z", 1)
                         .alias("next_id"))
-    order = Window.partitionBy("file").orderBy("block", "pos")
+    # Owner = trailing id of the previous record of the same file.  Inside a
+    # split that is a lag over the split's own records; the first record of
+    # a split takes the last trailing id of the previous split, looked up in
+    # a table with one row per split.  No window spans more than a split.
+    in_split = Window.partitionBy("file", "block").orderBy("pos")
     owners = heads.select("file", "block", "pos",
-                          F.lag("next_id").over(order).alias("item_raw"))
+                          F.lag("next_id").over(in_split).alias("item_raw"))
+    tails = (heads.groupBy("file", "block")
+             .agg(F.max_by("next_id", "pos").alias("tail")))
+    by_split = Window.partitionBy("file").orderBy("block")
+    carry = tails.select("file", "block", F.lag("tail").over(by_split).alias("carry"))
+    firsts = (heads.groupBy("file", "block").agg(F.min("pos").alias("pos"))
+              .join(carry, ["file", "block"]))
+    owners = (owners.join(firsts, ["file", "block", "pos"], "left")
+              .select("file", "block", "pos",
+                      F.coalesce("item_raw", "carry").alias("item_raw")))
     owners = owners.filter(F.col("item_raw").isNotNull() & (F.col("item_raw") != ""))
     # One small row per record; AQE broadcasts it when its measured size is
     # below the threshold and keeps a shuffle join otherwise.
