@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import strip_blank
+from ..plans.runtime import materialize, new_scratch
 
 # Fixed values of the reference's input: file names that hold ratings
 # (matched at the start of the name only, no end anchor) and the record
@@ -97,24 +98,26 @@ def read_raw_ratings(spark: SparkSession, path: str, mode: str = "skip",
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         "value")
-    # Trailing id of every record: the id of the next movie in the file.
-    heads = recs.select("file", "block", "pos",
-                        F.regexp_extract("value", r"(?:^|\n)[ \t]*(\d+)[ \t]*\z", 1)
-                        .alias("next_id"))
+    # Trailing id of every record: the id of the next movie in the file.  One
+    # small row per record, written once to shared storage, so the text is
+    # scanned twice in all (here and for the bodies) whatever comes next.
+    heads = materialize(
+        recs.select("file", "block", "pos",
+                    F.regexp_extract("value", r"(?:^|\n)[ \t]*(\d+)[ \t]*\z", 1)
+                    .alias("next_id")),
+        new_scratch(spark, "raw-heads"))
     # Owner = trailing id of the previous record of the same file.  Inside a
     # split that is a lag over the split's own records; the first record of
-    # a split takes the last trailing id of the previous split, looked up in
-    # a table with one row per split.  No window spans more than a split.
+    # a split takes the last trailing id of the previous split, from a table
+    # with one row per split.  No window spans more than a split.
     in_split = Window.partitionBy("file", "block").orderBy("pos")
     owners = heads.select("file", "block", "pos",
                           F.lag("next_id").over(in_split).alias("item_raw"))
-    tails = (heads.groupBy("file", "block")
-             .agg(F.max_by("next_id", "pos").alias("tail")))
+    splits = (heads.groupBy("file", "block")
+              .agg(F.min("pos").alias("pos"), F.max_by("next_id", "pos").alias("tail")))
     by_split = Window.partitionBy("file").orderBy("block")
-    carry = tails.select("file", "block", F.lag("tail").over(by_split).alias("carry"))
-    firsts = (heads.groupBy("file", "block").agg(F.min("pos").alias("pos"))
-              .join(carry, ["file", "block"]))
-    owners = (owners.join(firsts, ["file", "block", "pos"], "left")
+    carry = splits.select("file", "block", "pos", F.lag("tail").over(by_split).alias("carry"))
+    owners = (owners.join(carry, ["file", "block", "pos"], "left")
               .select("file", "block", "pos",
                       F.coalesce("item_raw", "carry").alias("item_raw")))
     owners = owners.filter(F.col("item_raw").isNotNull() & (F.col("item_raw") != ""))
