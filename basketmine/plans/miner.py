@@ -100,6 +100,14 @@ class MiningResult:
         from ..operators.support import iteration_stats
         return iteration_stats(self)
 
+    def cleanup(self) -> None:
+        """Delete this run's files on shared storage (call when done)."""
+        for lv in self.levels:
+            lv.table.unpersist()
+        spark = self.pairs.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def _cache_level(table: DataFrame) -> tuple[DataFrame, int, int]:
     """Cache a level table; returns it with its size and its total count.
@@ -178,12 +186,14 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
     scratch = scratch or new_scratch(spark, "mine")
 
     rated = prep.bounded_ratings(prep.as_ratings(ratings, user_col, item_col), max_item=max_item)
-    for_n = prep.bounded_ratings(rated, max_user=max_user)
     strict = user_bound == "reference" and max_user is not None
     basket_rows = prep.bounded_ratings(rated, max_user=max_user, strict_user=strict)
 
-    pairs = materialize(prep.distinct_pairs(basket_rows), f"{scratch}/pairs")
-    n_users = prep.count_users(pairs if not strict else for_n)
+    # Distinct (user, item) within the item bound, written once; the user
+    # bounds are filters on this file (pushed down to the scan).
+    all_pairs = materialize(prep.distinct_pairs(rated), f"{scratch}/pairs")
+    pairs = prep.bounded_ratings(all_pairs, max_user=max_user, strict_user=strict)
+    n_users = prep.count_users(prep.bounded_ratings(all_pairs, max_user=max_user))
     if l1_count not in ("distinct", "rows"):
         raise ValueError("l1_count must be 'distinct' or 'rows'")
     # `pairs` is already distinct: counting its rows is the distinct count.
@@ -217,4 +227,4 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
         k += 1
 
     return MiningResult(n_users, min_support, pairs, levels, scratch, item_freq,
-                        rated.select(ITEM).distinct(), skew)
+                        all_pairs.select(ITEM).distinct(), skew)

@@ -119,3 +119,13 @@ def test_min_confidence_filter(f1_ratings):
 def test_missing_threshold_is_an_error(f1_ratings):
     with pytest.raises(ValueError):
         mine(f1_ratings, None)
+
+
+def test_cleanup_removes_run_files(spark, f1_ratings):
+    res = mine(f1_ratings, 0.3, max_user=200)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(res.scratch)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(path)
+    res.cleanup()
+    assert not fs.exists(path)
