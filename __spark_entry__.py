@@ -14,9 +14,17 @@ user -> day of year, 0.8.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+# The package lives next to this file; make it importable whatever the
+# caller's working directory or import mechanism.
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F
 
 from basketmine.functions.itemsets import items_text, items_text_as_strings, rule_text
