@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 # Fixed values of the reference's text formats: item separator inside a
 # set, field separator of a text record, separator inside the rule's
-# bracketed antecedent and the arrow between antecedent and consequent.
+# bracketed antecedent, the arrow between antecedent and consequent, and
+# the pattern before which the rating-file normaliser inserts an empty line
+# (a newline followed by a movie header `<digits>:`).
 ITEM_SEP = ","
 FIELD_SEP = "\t"
 RULE_ITEM_SEP = ", "
 RULE_ARROW = " -> "
+HEADER_BREAK = r"\n(?=\d+:)"
 
 
 def col_of(c: str | Column) -> Column:
@@ -72,6 +75,11 @@ def rule_text(antecedent: str | Column, consequent: str | Column) -> Column:
                     F.lit("]" + RULE_ARROW), col_of(consequent).cast("string"))
 
 
+def normalise_blocks(text: str | Column) -> Column:
+    """Put an empty line before every movie header inside a text."""
+    return F.regexp_replace(col_of(text), HEADER_BREAK, "\n\n")
+
+
 def strip_blank(text: str | Column) -> Column:
     """Trim white space, newlines included, at both ends."""
     return F.regexp_replace(col_of(text), r"^\s+|\s+$", "")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.itemsets import strip_blank
+from ..functions.itemsets import normalise_blocks, strip_blank
 from ..plans.runtime import materialize, new_scratch
 
 # Fixed values of the reference's input: file names that hold ratings
@@ -77,9 +77,14 @@ def _rating_rows(df: DataFrame, item: Column, body: Column, mode: str) -> DataFr
 
 
 def parse_rating_blocks(blocks: DataFrame, mode: str = "skip") -> DataFrame:
-    """`value` holding whole blocks -> (item_id, user_id, rating, rated_on)."""
+    """`value` holding whole blocks -> (item_id, user_id, rating, rated_on).
+
+    A record that holds several movies without empty lines between them is
+    first split at each header (F10), so every block has one header.
+    """
+    one = blocks.select(F.explode(F.split(normalise_blocks("value"), BLOCK_SEP)).alias("value"))
     text = strip_blank("value")
-    parts = blocks.select(F.split(text, ":", 2).alias("p"))
+    parts = one.select(F.split(text, ":", 2).alias("p"))
     parts = parts.filter(F.size("p") == 2)
     return _rating_rows(parts, F.col("p")[0], F.col("p")[1], mode)
 

@@ -26,6 +26,12 @@ def test_block_and_raw_readers_agree(spark, write_text, final_newline):
     assert pairs(blocks.read_raw_ratings(spark, norm)) == F1_ROWS
 
 
+def test_block_reader_splits_records_with_several_movies(spark, write_text):
+    # A raw file read as blocks is one record; headers inside it start blocks.
+    path = write_text({"a.txt": f1_text(normalised=False)})
+    assert pairs(blocks.read_rating_blocks(spark, path)) == F1_ROWS
+
+
 def test_raw_reader_across_tiny_splits(spark, write_text):
     raw = write_text({"a.txt": f1_text(), "b.txt": "20:\n201,1,2005-02-01\n21:\n22:\n202,2,2005-02-02"})
     expected = F1_ROWS | {(20, 201), (22, 202)}
