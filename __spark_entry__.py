@@ -225,6 +225,11 @@ def q_recommendations_min_confidence(spark, d):
         prep.USER, prep.ITEM, "score", "rank")
 
 
+def q_recommendations_types(spark, d):
+    """Recommendations on order -> part type: rules of every level up to 4."""
+    return recommend(_mine_f2(spark, d), top_n=TOP_N).select(prep.USER, prep.ITEM, "score", "rank")
+
+
 def q_bounded_ratings(spark, d):
     r = prep.as_ratings(tables.customer_parts(spark, d))
     return prep.bounded_ratings(r, max_item=BOUND_ITEM, max_user=BOUND_USER)
@@ -352,6 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recommendations": q_recommendations,
     "recommendations_top_n": q_recommendations_top_n,
     "recommendations_min_confidence": q_recommendations_min_confidence,
+    "recommendations_types": q_recommendations_types,
     "bounded_ratings": q_bounded_ratings,
     "bounded_ratings_reference": q_bounded_ratings_reference,
     "parse_rating_blocks": q_parse_rating_blocks,
@@ -550,6 +556,7 @@ ORACLES: dict[str, str] = {
     "recommendations": _recommend_sql(SRC_F5, T_F5, 3),
     "recommendations_top_n": _recommend_sql(SRC_F5, T_F5, 3, top_n=TOP_N),
     "recommendations_min_confidence": _recommend_sql(SRC_F5, T_F5, 3, min_conf=REC_MIN_CONF),
+    "recommendations_types": _recommend_sql(SRC_F2, T_F2, 5, top_n=TOP_N),
     "bounded_ratings":
         f"SELECT user_id, item_id FROM ({SRC_F6}) "
         f"WHERE item_id <= {BOUND_ITEM} AND user_id <= {BOUND_USER}",
