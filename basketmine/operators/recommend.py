@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import maybe_broadcast
+from ..plans.runtime import maybe_broadcast, row_bytes
 from . import prepare as prep
 from .rules import filter_rules
 
@@ -24,8 +24,8 @@ def recommend(result, rules: DataFrame | None = None, min_confidence: float | No
 
     Antecedent containment comes from the occurrence tables kept by the
     miner (one row per user and frequent set held), joined to the rules on
-    the antecedent set; the rule table is broadcast when its exact row
-    count is small.  The best score per (user, item) is aggregated before
+    the antecedent set; the rule table is broadcast when its measured size
+    bound is small.  The best score per (user, item) is aggregated before
     the anti-join that drops items the user already has, and the ranking
     window is per user, whose rows are bounded by the number of frequent
     items.
@@ -34,7 +34,8 @@ def recommend(result, rules: DataFrame | None = None, min_confidence: float | No
     if min_confidence is not None:
         rules = filter_rules(rules, min_confidence)
     r = rules.select("antecedent", F.col("consequent").alias(ITEM), "confidence")
-    n_rules = r.count()
+    r_bytes = r.agg(F.coalesce(F.sum(row_bytes("antecedent", F.array(ITEM))), F.lit(0))
+                    .alias("b")).first()["b"]
     held = None
     for lv in result.levels:
         if lv.occurrences is None:
@@ -43,8 +44,7 @@ def recommend(result, rules: DataFrame | None = None, min_confidence: float | No
         held = part if held is None else held.unionByName(part)
     if held is None:
         raise ValueError("no occurrence tables kept")
-    width = max(lv.k for lv in result.levels)
-    applied = held.join(maybe_broadcast(r, n_rules, width), "antecedent", "inner")
+    applied = held.join(maybe_broadcast(r, int(r_bytes)), "antecedent", "inner")
     best = applied.groupBy(USER, ITEM).agg(F.max("confidence").alias("score"))
     best = best.join(result.pairs, [USER, ITEM], "left_anti")
     order = Window.partitionBy(USER).orderBy(F.desc("score"), F.asc(ITEM))

@@ -9,20 +9,20 @@ from ..functions.itemsets import confidence, remove_item, rule_text
 from ..plans.runtime import maybe_broadcast
 
 
-def level_rules(level_table: DataFrame, prev_table: DataFrame, n_prev: int, k: int) -> DataFrame:
+def level_rules(level_table: DataFrame, prev_table: DataFrame, prev_bytes: int, k: int) -> DataFrame:
     """Rules `s minus {x} -> x` for every frequent k-set s and member x.
 
     The antecedent's support is looked up in level k-1 with an equi-join on
     the antecedent set (inner, as in the reference: a rule is written only
     when its antecedent is frequent, which it always is).  Level k-1 is
-    broadcast when its exact size is small, else the join shuffles.
+    broadcast when its measured size bound is small, else the join shuffles.
     """
     exploded = level_table.select(
         "k", "items", "support", F.explode("items").alias("consequent"))
     exploded = exploded.withColumn("antecedent", remove_item("items", "consequent"))
     prev = prev_table.select(F.col("items").alias("antecedent"),
                              F.col("support").alias("antecedent_support"))
-    joined = exploded.join(maybe_broadcast(prev, n_prev, k - 1), "antecedent", "inner")
+    joined = exploded.join(maybe_broadcast(prev, prev_bytes), "antecedent", "inner")
     return joined.select(
         "k", "antecedent", "consequent",
         confidence("support", "antecedent_support").alias("confidence"),
@@ -34,7 +34,7 @@ def association_rules(result) -> DataFrame:
     out = None
     for lv in result.levels[1:]:
         prev = result.level(lv.k - 1)
-        part = level_rules(lv.table, prev.table, prev.n_frequent, lv.k)
+        part = level_rules(lv.table, prev.table, prev.n_bytes, lv.k)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("mining result has no level 2")

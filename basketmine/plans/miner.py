@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..functions.itemsets import is_frequent, support
 from ..operators import prepare as prep
 from ..operators.pairs import DEFAULT_SKEW, SkewPolicy, pair_join
-from .runtime import materialize, maybe_broadcast, new_scratch
+from .runtime import materialize, maybe_broadcast, new_scratch, row_bytes
 
 USER, ITEM = prep.USER, prep.ITEM
 
@@ -47,6 +47,7 @@ class Level:
     n_frequent: int
     occurrences: DataFrame | None = None   # user_id, prefix, last
     n_occurrences: int | None = None
+    n_bytes: int = 0                       # upper bound of the table's size
 
     def itemsets(self) -> DataFrame:
         return self.table.select("k", "items", "freq", "support")
@@ -109,16 +110,18 @@ class MiningResult:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _cache_level(table: DataFrame) -> tuple[DataFrame, int, int]:
-    """Cache a level table; returns it with its size and its total count.
+def _cache_level(table: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """Cache a level table; returns it with its size, its total count and an
+    upper bound of its bytes, all from one aggregate over the table.
 
     Each (user, set) containment is counted once, so the total count is
     exactly the row count of the level's occurrence table.
     """
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
     row = table.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum("freq"), F.lit(0)).alias("occ")).first()
-    return table, int(row["n"]), int(row["occ"])
+                    F.coalesce(F.sum("freq"), F.lit(0)).alias("occ"),
+                    F.coalesce(F.sum(row_bytes("items")), F.lit(0)).alias("bytes")).first()
+    return table, int(row["n"]), int(row["occ"]), int(row["bytes"])
 
 
 def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support: float,
@@ -128,12 +131,12 @@ def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support
     table = (prep.frequent_items(item_freq, n_users, min_support)
              .select(F.lit(1).alias("k"), empty.alias("prefix"), F.col(ITEM).alias("last"),
                      F.array(ITEM).alias("items"), "freq", "support"))
-    table, n1, n_occ = _cache_level(table)
-    occ = pairs.join(maybe_broadcast(table.select(F.col("last").alias(ITEM)), n1, 1),
+    table, n1, n_occ, n_bytes = _cache_level(table)
+    occ = pairs.join(maybe_broadcast(table.select(F.col("last").alias(ITEM)), n_bytes),
                      ITEM, "left_semi")
     occ = occ.select(USER, empty.alias("prefix"), F.col(ITEM).alias("last"))
     occ = materialize(occ, f"{scratch}/occ/k=1")
-    return Level(1, table, n1, occ, n_occ)
+    return Level(1, table, n1, occ, n_occ, n_bytes)
 
 
 def extend_occurrences(occ: DataFrame, n_occ: int | None, skew: SkewPolicy,
@@ -211,11 +214,12 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
         if persist_candidates:
             cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
         counted = count_occurrences(cand, k).filter(is_frequent("freq", n_users, min_support))
-        table, n_k, n_occ = _cache_level(counted.withColumn("support", support("freq", n_users)))
+        table, n_k, n_occ, n_bytes = _cache_level(
+            counted.withColumn("support", support("freq", n_users)))
         go_on = n_k > 1 and (limit is None or k + 1 <= limit)
-        level = Level(k, table, n_k)
+        level = Level(k, table, n_k, n_bytes=n_bytes)
         if go_on or keep_last_occurrences:
-            keep = maybe_broadcast(table.select("prefix", "last"), n_k, k)
+            keep = maybe_broadcast(table.select("prefix", "last"), n_bytes)
             occ = materialize(cand.join(keep, ["prefix", "last"], "left_semi"),
                               f"{scratch}/occ/k={k}")
             level.occurrences, level.n_occurrences = occ, n_occ

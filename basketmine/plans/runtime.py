@@ -84,18 +84,34 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(raw)
 
 
-def estimated_bytes(n_rows: int, n_items: int, item_bytes: int = 16) -> int:
-    """Upper estimate for rows holding `n_items` items plus a few longs."""
-    return n_rows * (64 + n_items * item_bytes)
+def set_bytes(items) -> "F.Column":
+    """Upper bound of the in-memory size of a set column: per member the
+    larger of its text length and 8 bytes, plus array overhead."""
+    return F.aggregate(items, F.lit(16).cast("long"),
+                       lambda acc, x: acc + F.greatest(F.length(x.cast("string")), F.lit(8)))
 
 
-def maybe_broadcast(df: DataFrame, n_rows: int, n_items: int) -> DataFrame:
-    """Broadcast `df` only when its exact row count proves it small.
+ROW_OVERHEAD = 64    # row header, support and count columns, hash-table entry
 
-    Above the limit the frame is returned as is and Spark plans a shuffle
-    join (AQE may still broadcast it after measuring the real size).
+
+def row_bytes(*set_cols) -> "F.Column":
+    """Upper bound of one row holding the given set columns and a few numbers."""
+    out = F.lit(ROW_OVERHEAD).cast("long")
+    for c in set_cols:
+        out = out + set_bytes(F.col(c) if isinstance(c, str) else c)
+    return out
+
+
+def maybe_broadcast(df: DataFrame, n_bytes: int) -> DataFrame:
+    """Broadcast `df` only when its measured size bound is small.
+
+    `n_bytes` is an upper bound computed from the data itself (sum of
+    `row_bytes` over all rows, taken in the same job that counts them).
+    Above the session's broadcast threshold the frame is returned as is and
+    Spark plans a shuffle join (AQE may still broadcast it after measuring
+    the real shuffle size).
     """
     limit = broadcast_limit(df.sparkSession)
-    if limit > 0 and estimated_bytes(n_rows, n_items) <= limit:
+    if limit > 0 and n_bytes <= limit:
         return F.broadcast(df)
     return df
