@@ -106,6 +106,33 @@ def retained_baskets(result, k: int) -> DataFrame:
     return result.baskets().join(retained_users(result, k), USER, "left_semi")
 
 
+def _retained_counts(result) -> dict[int, int]:
+    """Retained users per level, all levels in one aggregation chain.
+
+    Rows (k, user, rest) from every level's exploded occurrences are
+    unioned first, so there is one count per (k, user, rest), one distinct
+    (k, user) and one count per k, instead of a chain per level.
+    """
+    parts = [_occurrences(result, 1).select(F.lit(1).alias("k"), USER,
+                                            F.lit(None).cast("array<string>").alias("rest_key"))]
+    for lv in result.levels[1:]:
+        _occurrences(result, lv.k - 1)
+        sets = result.level(lv.k - 1).occurrence_sets()
+        rests = sets.select(USER, "items", F.explode("items").alias("x"))
+        parts.append(rests.select(
+            F.lit(lv.k).alias("k"), USER,
+            F.transform(F.array_remove("items", F.col("x")), lambda v: v.cast("string"))
+            .alias("rest_key")))
+    allk = parts[0]
+    for p in parts[1:]:
+        allk = allk.unionByName(p)
+    grouped = allk.groupBy("k", USER, "rest_key").agg(F.count(F.lit(1)).alias("n"))
+    # level 1 keeps every user with a frequent item; level k >= 2 needs a
+    # remainder shared by two of the user's frequent (k-1)-sets
+    kept = grouped.filter((F.col("k") == 1) | (F.col("n") > 1)).select("k", USER).distinct()
+    return {r["k"]: r["n"] for r in kept.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def _counts_by_level(parts: list[DataFrame]) -> dict[int, int]:
     """One job: row counts per level of several per-level frames."""
     if not parts:
@@ -134,8 +161,7 @@ def iteration_stats(result) -> DataFrame:
     n_cand[1] = result.all_items.count()
     if result.max_k >= 2:
         n_cand[2] = n1 * (n1 - 1) // 2
-    users = [retained_users(result, lv.k).select(F.lit(lv.k).alias("k")) for lv in result.levels]
-    n_users = _counts_by_level(users)
+    n_users = _retained_counts(result)
     # Every antecedent of a frequent set is frequent (supports are exact and
     # anti-monotone), so level k has exactly k rules per frequent set.
     n_rules = {lv.k: lv.k * lv.n_frequent for lv in result.levels if lv.k >= 2}
