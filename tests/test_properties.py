@@ -12,7 +12,7 @@ from basketmine.functions.itemsets import min_count_above
 from basketmine.operators.candidates import generate_candidates
 from basketmine.operators.fpgrowth import fpgrowth_itemsets
 from basketmine.operators.pairs import SkewPolicy, hot_groups, pair_join
-from basketmine.operators.support import candidate_support
+from basketmine.operators.support import candidate_support, count_support
 from basketmine.sources import tables
 
 SF001 = "/root/testdata/sf0.001"
@@ -94,6 +94,10 @@ def test_prefix_and_union_candidates(spark):
     u = sets_of(candidate_support(res, 3, "union"))
     p = sets_of(candidate_support(res, 3, "prefix"))
     assert p <= u
+    # the generic two-parent join gives the same supports
+    generic = count_support(generate_candidates(lv.table, 3, "union"), lv.occurrences,
+                            res.n_users)
+    assert sets_of(generic) == u
     assert max(f for _, f in u) / res.n_users <= 0.02     # |L_3| = 0 for F4
 
 
