@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..functions.itemsets import is_frequent, support
 from ..operators import prepare as prep
 from ..operators.pairs import DEFAULT_SKEW, SkewPolicy, pair_join
-from .runtime import materialize, maybe_broadcast, new_scratch, row_bytes
+from .runtime import ROW_OVERHEAD, materialize, maybe_broadcast, new_scratch
 
 USER, ITEM = prep.USER, prep.ITEM
 
@@ -48,6 +48,7 @@ class Level:
     occurrences: DataFrame | None = None   # user_id, prefix, last
     n_occurrences: int | None = None
     n_bytes: int = 0                       # upper bound of the table's size
+    max_item_len: int = 0                  # longest item text (level 1)
 
     def itemsets(self) -> DataFrame:
         return self.table.select("k", "items", "freq", "support")
@@ -110,18 +111,26 @@ class MiningResult:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _cache_level(table: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """Cache a level table; returns it with its size, its total count and an
-    upper bound of its bytes, all from one aggregate over the table.
+def _cache_level(table: DataFrame, measure_items: bool = False) -> tuple[DataFrame, int, int, int]:
+    """Cache a level table; returns it with its size, its total count and
+    (level 1 only) the longest text of its items, all from one aggregate.
 
     Each (user, set) containment is counted once, so the total count is
     exactly the row count of the level's occurrence table.
     """
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    row = table.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum("freq"), F.lit(0)).alias("occ"),
-                    F.coalesce(F.sum(row_bytes("items")), F.lit(0)).alias("bytes")).first()
-    return table, int(row["n"]), int(row["occ"]), int(row["bytes"])
+    aggs = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("freq"), F.lit(0)).alias("occ")]
+    if measure_items:
+        aggs.append(F.coalesce(F.max(F.length(F.col("last").cast("string"))), F.lit(0))
+                    .alias("len"))
+    row = table.agg(*aggs).first()
+    return table, int(row["n"]), int(row["occ"]), int(row["len"]) if measure_items else 0
+
+
+def level_bytes(n_sets: int, k: int, max_item_len: int) -> int:
+    """Upper bound of a level table's size.  Every member of a frequent set
+    is a frequent item, so no member is longer than the longest one."""
+    return n_sets * (ROW_OVERHEAD + 16 + k * (max_item_len + 8))
 
 
 def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support: float,
@@ -131,12 +140,13 @@ def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support
     table = (prep.frequent_items(item_freq, n_users, min_support)
              .select(F.lit(1).alias("k"), empty.alias("prefix"), F.col(ITEM).alias("last"),
                      F.array(ITEM).alias("items"), "freq", "support"))
-    table, n1, n_occ, n_bytes = _cache_level(table)
+    table, n1, n_occ, item_len = _cache_level(table, measure_items=True)
+    n_bytes = level_bytes(n1, 1, item_len)
     occ = pairs.join(maybe_broadcast(table.select(F.col("last").alias(ITEM)), n_bytes),
                      ITEM, "left_semi")
     occ = occ.select(USER, empty.alias("prefix"), F.col(ITEM).alias("last"))
     occ = materialize(occ, f"{scratch}/occ/k=1")
-    return Level(1, table, n1, occ, n_occ, n_bytes)
+    return Level(1, table, n1, occ, n_occ, n_bytes, item_len)
 
 
 def extend_occurrences(occ: DataFrame, n_occ: int | None, skew: SkewPolicy,
@@ -214,8 +224,9 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
         if persist_candidates:
             cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
         counted = count_occurrences(cand, k).filter(is_frequent("freq", n_users, min_support))
-        table, n_k, n_occ, n_bytes = _cache_level(
+        table, n_k, n_occ, _ = _cache_level(
             counted.withColumn("support", support("freq", n_users)))
+        n_bytes = level_bytes(n_k, k, first.max_item_len)
         go_on = n_k > 1 and (limit is None or k + 1 <= limit)
         level = Level(k, table, n_k, n_bytes=n_bytes)
         if go_on or keep_last_occurrences:
