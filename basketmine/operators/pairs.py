@@ -67,7 +67,6 @@ def hot_groups(df: DataFrame, keys: list[str], n_rows: int | None, skew: SkewPol
         bucket = F.pmod(F.xxhash64(*df.columns, F.lit(skew.seed)), F.lit(1 << 30))
         src = df.filter(bucket < F.lit(int(fraction * (1 << 30))))
     est = F.count(F.lit(1)) / F.lit(fraction)
-    pairs = est * est / F.lit(2.0)
     return (src.groupBy(*keys).agg(est.alias("_m"))
             .filter(F.col("_m") > threshold)
             .select(*keys, F.least(F.lit(skew.max_salts),
