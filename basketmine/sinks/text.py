@@ -99,21 +99,26 @@ def write_named_text_files(value: DataFrame, folder: str, names: list[str],
                            name_col: str = "file_name") -> None:
     """Writes rows with `name_col == n` to files `<folder>/<n>.<part>`.
 
-    Spark names its part files itself; after each write the parts are
+    One pass: the rows are written once, partitioned by the index of their
+    target name; Spark names its part files itself, so the parts are then
     renamed through the Hadoop file system API (a metadata operation).
+    Rows whose name is not in `names` are not written.
     """
     spark = value.sparkSession
+    index = F.coalesce(*[F.when(F.col(name_col) == n, F.lit(i)) for i, n in enumerate(names)])
+    staged = value.select(index.alias("_file"), "value").filter(F.col("_file").isNotNull())
+    staging = f"{folder}/_staging"
+    (staged.write.mode("overwrite").option("lineSep", "\n").partitionBy("_file")
+     .text(staging))
     jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    for name in names:
-        staging = f"{folder}/_staging_{name}"
-        _write_text(value.filter(F.col(name_col) == name).select("value"), staging,
-                    line_sep="\n")
-        src = jvm.org.apache.hadoop.fs.Path(staging)
-        fs = src.getFileSystem(conf)
-        parts = sorted(st.getPath().getName() for st in fs.listStatus(src)
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, name in enumerate(names):
+        part_dir = path(f"{staging}/_file={i}")
+        if not fs.exists(part_dir):
+            continue
+        parts = sorted(st.getPath().getName() for st in fs.listStatus(part_dir)
                        if st.getPath().getName().startswith("part-"))
-        for i, part in enumerate(parts):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(staging, part),
-                      jvm.org.apache.hadoop.fs.Path(folder, f"{name}.{i:05d}"))
-        fs.delete(src, True)
+        for j, part in enumerate(parts):
+            fs.rename(path(part_dir, part), path(folder, f"{name}.{j:05d}"))
+    fs.delete(path(staging), True)
