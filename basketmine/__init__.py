@@ -1,6 +1,8 @@
 """basketmine: frequent itemsets, association rules and recommendations on Spark."""
 
-from .operators.candidates import generate_candidates
+from .operators.candidates import generate_candidates, union_generators
+from .operators.fpgrowth import fpgrowth_itemsets
+from .operators.pairs import SkewPolicy, pair_join
 from .operators.prepare import (baskets, bounded_ratings, count_users, distinct_user_count,
                                 frequent_items, item_support)
 from .operators.recommend import recommend
@@ -11,9 +13,9 @@ from .plans.miner import Level, MiningResult, mine
 from .plans.runtime import session
 
 __all__ = [
-    "Level", "MiningResult", "association_rules", "baskets", "bounded_ratings",
+    "Level", "MiningResult", "SkewPolicy", "association_rules", "baskets", "bounded_ratings",
     "candidate_support", "count_support", "count_users", "distinct_user_count",
-    "filter_rules", "frequent_items", "generate_candidates", "item_support",
-    "iteration_stats", "mine", "recommend", "retained_baskets", "retained_users",
-    "session", "with_rule_text",
+    "filter_rules", "fpgrowth_itemsets", "frequent_items", "generate_candidates",
+    "item_support", "iteration_stats", "mine", "pair_join", "recommend",
+    "retained_baskets", "retained_users", "session", "union_generators", "with_rule_text",
 ]
