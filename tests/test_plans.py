@@ -1,5 +1,5 @@
-"""Physical-plan checks: no cross/nested-loop joins, one shared exchange for
-the occurrence self-join, column pruning at the parquet scans."""
+"""Physical-plan checks: no cross/nested-loop joins and no Python UDFs, one
+shared exchange for the occurrence self-join, column pruning at the scans."""
 
 import contextlib
 import io
@@ -13,7 +13,9 @@ from basketmine.plans.miner import count_occurrences, extend_occurrences
 from basketmine.sources import tables
 
 SF = "/root/testdata/sf0.001"
-FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+# no cross or nested-loop joins, and no Python evaluation (row or Arrow UDFs)
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+             "ArrowEvalPython")
 
 
 def plan_of(df) -> str:
