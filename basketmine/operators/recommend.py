@@ -46,7 +46,10 @@ def recommend(result, rules: DataFrame | None = None, min_confidence: float | No
         raise ValueError("no occurrence tables kept")
     applied = held.join(maybe_broadcast(r, int(r_bytes)), "antecedent", "inner")
     best = applied.groupBy(USER, ITEM).agg(F.max("confidence").alias("score"))
-    best = best.join(result.pairs, [USER, ITEM], "left_anti")
+    # Consequents are frequent items, so "already held" is decided by the
+    # level-1 occurrences (frequent items only), a smaller side than all pairs.
+    held_items = result.level(1).occurrences.select(USER, F.col("last").alias(ITEM))
+    best = best.join(held_items, [USER, ITEM], "left_anti")
     order = Window.partitionBy(USER).orderBy(F.desc("score"), F.asc(ITEM))
     ranked = best.withColumn("rank", F.row_number().over(order))
     if top_n is not None:
