@@ -582,6 +582,22 @@ ORACLES: dict[str, str] = {
 }
 
 
+# ------------------------------------------- training-data queries (optional)
+
+try:  # the subpackage and the pipeline may be absent; nothing else needs them
+    import corpus_pipeline
+    import basketmine.llm.queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "basketmine.llm", "basketmine.llm.queries"):
+        raise
+else:
+    QUERIES.update(llm_queries.QUERIES)
+    ORACLES.update(llm_queries.ORACLES)
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 # ------------------------------------------------------------------ contract
 
 def entry(spark: SparkSession) -> DataFrame:
