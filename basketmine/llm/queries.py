@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketmine.llm import line_frequency, mixing
+from basketmine.llm import line_frequency, mixing, pieces, pii, url_filter
 from basketmine.llm.common import table
 
 # --------------------------------------------------------------- op1
@@ -86,12 +86,67 @@ SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
+# --------------------------------------------------------------- op6
+
+OP6_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
+             ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op6_url_filter(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return (pages.withColumn("j", url_filter.judge_url(F.col("url"), OP6_RULES))
+            .select("page_id", "j.host", "j.path", "j.rule", "j.verdict", "j.n_strict", "j.n_soft"))
+
+
+def _sql_op6() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    edge = r"[^a-z0-9\x{80}-\x{10FFFF}]"
+
+    def hits(kind):
+        return " + ".join(f"CAST(regexp_matches(u, '(^|{edge}){t}($|{edge})') AS INTEGER)"
+                          for t, k in url_filter.VOCABULARY if k == kind)
+
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+        for _, h, p in sorted(OP6_RULES, key=lambda r: -len(r[1] + r[2])))
+    verdicts = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in OP6_RULES)
+    return f"""
+WITH a AS (SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS u,
+  CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, CASE {fits} END AS rule, {hits("strict")} AS n_strict, {hits("soft")} AS n_soft FROM b)
+SELECT page_id, host, path, rule, CASE {verdicts}
+  WHEN n_strict > 0 OR n_soft >= {url_filter.MIN_SOFT} THEN 'block' ELSE 'allow' END AS verdict,
+  CAST(n_strict AS INTEGER) AS n_strict, CAST(n_soft AS INTEGER) AS n_soft FROM c
+"""
+
+# --------------------------------------------------------------- op9
+
+
+def op9_pieces(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, keep=("doc_id",))
+
+# --------------------------------------------------------------- op10
+
+
+def op10_pseudonyms(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return (docs.withColumn("p", pii.pseudonymise(F.col("text")))
+            .select("doc_id", "p.text", "p.n_found"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_mix_sources": op5_mix_sources,
+    "op6_url_filter": op6_url_filter,
+    "op9_pieces": op9_pieces,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLES = {
     "op1_quality_rules": SQL_OP1,
     "op5_mix_sources": SQL_OP5,
+    "op6_url_filter": _sql_op6(),
 }
