@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketmine.llm import line_frequency, mixing, pieces, pii, url_filter
+from basketmine.llm import (line_frequency, mixing, ordinal, pieces, pii, toxicity,
+                            url_filter)
 from basketmine.llm.common import table
 
 # --------------------------------------------------------------- op1
@@ -49,6 +50,28 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   AND NOT (100 * n_lost_words > 50 * n_words) AS kept FROM s
 """
 
+# --------------------------------------------------------------- op3
+
+KEEP_TAIL = 0.5     # a document stays if P(grade >= 1) is at least this
+
+
+def quality_grades(labels):
+    """Graded ratings from the labels: 0 junk, 1 readable but toxic, 2 good."""
+    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1)
+                         .otherwise(2).alias("grade"))
+
+
+def quality_model(spark, docs, d):
+    return ordinal.train(docs, quality_grades(table(spark, d, "labels")), n_grades=3)
+
+
+def op3_quality_classifier(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = quality_model(spark, docs, d)
+    return (docs.select("doc_id", ordinal.grade_column(F.col("text"), model).alias("g"))
+            .select("doc_id", "g.expected_grade", "g.tail", "g.grade",
+                    (F.col("g.tail") >= KEEP_TAIL).alias("kept")))
+
 # --------------------------------------------------------------- op5
 
 
@@ -121,6 +144,26 @@ SELECT page_id, host, path, rule, CASE {verdicts}
   CAST(n_strict AS INTEGER) AS n_strict, CAST(n_soft AS INTEGER) AS n_soft FROM c
 """
 
+# --------------------------------------------------------------- op7
+
+TOXIC_SCORE = 0.3
+
+
+def held_out(doc_id):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op7_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    labels = table(spark, d, "labels").select("doc_id", "toxic").filter(~held)
+    # The rated documents serve as unlabelled text, so that the prior fits them.
+    model = toxicity.train(docs, labels, unlabelled_ids=labels.select("doc_id"),
+                           prior=toxicity.class_prior(labels))
+    return (docs.select("doc_id", held.alias("held_out"),
+                        toxicity.score_column(F.col("text"), model).alias("score"))
+            .withColumn("predicted", F.when(F.col("score") >= TOXIC_SCORE, 1).otherwise(0)))
+
 # --------------------------------------------------------------- op9
 
 
@@ -139,8 +182,10 @@ def op10_pseudonyms(spark, d):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_mix_sources": op5_mix_sources,
     "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
     "op9_pieces": op9_pieces,
     "op10_pseudonyms": op10_pseudonyms,
 }
