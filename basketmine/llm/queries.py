@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketmine.llm import (line_frequency, mixing, ordinal, pieces, pii, toxicity,
+from basketmine.llm import (chosen_path, line_frequency, mixing, ordinal, pieces, pii, toxicity,
                             url_filter)
 from basketmine.llm.common import table
 
@@ -164,6 +164,13 @@ def op7_toxicity(spark, d):
                         toxicity.score_column(F.col("text"), model).alias("score"))
             .withColumn("predicted", F.when(F.col("score") >= TOXIC_SCORE, 1).otherwise(0)))
 
+# --------------------------------------------------------------- op8
+
+
+def op8_shingle_join(spark, d):
+    out = chosen_path.join(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "n_links")
+
 # --------------------------------------------------------------- op9
 
 
@@ -186,6 +193,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op8_shingle_join": op8_shingle_join,
     "op9_pieces": op9_pieces,
     "op10_pseudonyms": op10_pseudonyms,
 }
