@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketmine.llm import (chosen_path, line_frequency, mixing, ordinal, pieces, pii, toxicity,
+from basketmine.llm import (chosen_path, line_frequency, mixing, ordinal, pieces, pii, rp_forest, toxicity,
                             url_filter)
 from basketmine.llm.common import table
 
@@ -72,6 +72,15 @@ def op3_quality_classifier(spark, d):
             .select("doc_id", "g.expected_grade", "g.tail", "g.grade",
                     (F.col("g.tail") >= KEEP_TAIL).alias("kept")))
 
+# --------------------------------------------------------------- op4
+
+QUERY_STEP = 50     # queries are the rows whose id this divides
+
+
+def op4_nearest(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return rp_forest.search(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0))
+
 # --------------------------------------------------------------- op5
 
 
@@ -190,6 +199,7 @@ def op10_pseudonyms(spark, d):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_nearest": op4_nearest,
     "op5_mix_sources": op5_mix_sources,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
