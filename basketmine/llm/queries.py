@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketmine.llm import (chosen_path, line_frequency, mixing, ordinal, pieces, pii, rp_forest, toxicity,
+from basketmine.llm import (chosen_path, extraction, line_frequency, mixing, ordinal, pieces, pii, rp_forest, toxicity,
                             url_filter)
 from basketmine.llm.common import table
 
@@ -50,6 +50,15 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   AND NOT (100 * n_lost_words > 50 * n_words) AS kept FROM s
 """
 
+# --------------------------------------------------------------- op2
+
+
+def op2_main_text(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    model = extraction.train(pages)
+    return (pages.select("page_id", "url", extraction.main_text(F.col("html"), model).alias("m"))
+            .select("page_id", "url", "m.text", "m.n_chars"))
+
 # --------------------------------------------------------------- op3
 
 KEEP_TAIL = 0.5     # a document stays if P(grade >= 1) is at least this
@@ -198,6 +207,7 @@ def op10_pseudonyms(spark, d):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_main_text": op2_main_text,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_nearest": op4_nearest,
     "op5_mix_sources": op5_mix_sources,
