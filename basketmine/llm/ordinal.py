@@ -21,7 +21,7 @@ from basketmine.llm import text_features as tf
 
 MAX_ROWS = 8_000        # rated documents the model is fitted on
 MIN_ROWS_OF_FEATURE = 4
-EPOCHS, BATCH, RATE, L1 = 12, 500, 0.03, 2e-4
+EPOCHS, MIN_STEPS, BATCH, RATE, L1 = 12, 200, 500, 0.03, 2e-4   # small samples get more epochs
 
 
 @dataclass
@@ -59,7 +59,8 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, seed: int
             keep |= tf.telling_features(low, high, least=MIN_ROWS_OF_FEATURE)
         x = tf.Sparse.restricted(features, keep)
         rng, opt, opt_t = np.random.default_rng(seed), tf.Adam(tf.DIM, RATE), tf.Adam(n_grades - 1, RATE)
-        for _ in range(EPOCHS):
+        batches = -(-len(grades) // BATCH)
+        for _ in range(max(EPOCHS, -(-MIN_STEPS // batches))):
             order = rng.permutation(len(grades))
             for at in range(0, len(order), BATCH):
                 rows = order[at:at + BATCH]

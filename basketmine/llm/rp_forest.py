@@ -33,6 +33,7 @@ TREES = 8
 DEPTH = 7                # 128 leaves a tree
 SAMPLE_ROWS = 20_000     # rows the trees are fitted on
 SHARE = 0.9              # a query takes leaves until they hold this share of all rows, repeats counted
+LEAST = 256              # ... and at least so many rows per tree, which covers small tables wholly
 CHUNK = 4_096            # rows of a leaf in one task
 QUERY_BLOCK = 1_024      # queries of a leaf in one task
 TIE = 1e-9               # scores this close to the last one are kept until the exact ranking
@@ -160,7 +161,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, *, vec_id: str = "v
     held = np.zeros((trees, 2 ** depth), np.int64)       # trees * 2 ** depth numbers
     for r in in_leaf.groupBy("tree", "leaf").count().collect():
         held[r["tree"], r["leaf"]] = r["count"]
-    enough = share * held[0].sum()
+    enough = max(share * held[0].sum(), LEAST * trees)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
