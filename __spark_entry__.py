@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from basketmine.functions.itemsets import items_text, items_text_as_strings, rule_text
 from basketmine.operators import prepare as prep
-from basketmine.operators.candidates import generate_candidates
+from basketmine.operators.candidates import generate_candidates, prune_candidates
+from basketmine.operators.containment import count_support, holders_of, retain_baskets
 from basketmine.operators.fpgrowth import fpgrowth_itemsets
 from basketmine.operators.recommend import recommend
-from basketmine.operators.rules import filter_rules
+from basketmine.operators.rules import association_rules, filter_rules
 from basketmine.operators.support import candidate_support, retained_baskets
 from basketmine.plans.miner import mine
+from basketmine.plans.run import all_candidates, run
 from basketmine.plans.runtime import new_scratch
 from basketmine.sinks import text as sinks
 from basketmine.sources import blocks, tables
@@ -47,7 +49,7 @@ REC_MIN_CONF = 0.4           # F5 rules kept by recommendations_min_confidence
 TOP_N = 3
 MAX_LEN = 3
 BOUND_ITEM, BOUND_USER = 500, 700
-REF_MAX_USER = 30000         # F2 user bound for the reference-bounds run
+REF_MAX_USER = 7000          # an order with line items at sf0.01 and sf0.1
 
 
 # ----------------------------------------------------------------- helpers
@@ -246,13 +248,13 @@ def _rating_rows(spark, d):
 
 def q_parse_rating_blocks(spark, d):
     path = new_scratch(spark, "blocks")
-    sinks.write_rating_blocks(_rating_rows(spark, d), path, max_block_rows=20)
+    sinks.write_rating_blocks(_rating_rows(spark, d), path)
     return blocks.read_rating_blocks(spark, path)
 
 
 def q_normalize_raw_blocks(spark, d):
     path = new_scratch(spark, "raw")
-    sinks.write_rating_blocks(_rating_rows(spark, d), path, raw=True, max_block_rows=20)
+    sinks.write_rating_blocks(_rating_rows(spark, d), path, raw=True)
     return blocks.read_raw_ratings(spark, path)
 
 
@@ -269,7 +271,7 @@ def q_select_rating_files(spark, d):
     name = F.coalesce(*[F.when(F.col("l_returnflag") == k, F.lit(v))
                         for k, v in FILE_OF_FLAG.items()], F.lit(OTHER_FILE))
     ratings = rows.select("item_id", "user_id", "rating", "rated_on", name.alias("file_name"))
-    text = sinks.rating_blocks(ratings, max_block_rows=20, by=("file_name",))
+    text = sinks.rating_blocks(ratings, by=("file_name",))
     sinks.write_named_text_files(text, path, [*FILE_OF_FLAG.values(), OTHER_FILE])
     return blocks.read_raw_ratings(spark, path, name_regex=blocks.RATING_FILE_REGEX,
                                    path_glob=blocks.RATING_FILE_GLOB).select("item_id", "user_id")
@@ -292,7 +294,7 @@ def q_skip_malformed_ratings(spark, d):
                           F.col("l_linenumber").alias("rating"),
                           F.to_date("l_shipdate").alias("rated_on"))
     path = new_scratch(spark, "malformed")
-    sinks.write_rating_blocks(ratings, path, max_block_rows=20)
+    sinks.write_rating_blocks(ratings, path)
     return blocks.read_rating_blocks(spark, path, mode="skip").select("item_id", "user_id")
 
 
@@ -304,13 +306,166 @@ def q_itemset_text_roundtrip(spark, d):
     return _sets(back.select("k", "items", "support"), "items")
 
 
+def _outputs(spark, path):
+    """Every output of a run read back from `path` as (output, k, key, value)."""
+    def read(name):
+        return spark.read.parquet(f"{path}/{name}")
+
+    def rows(df, output, k, key, value):
+        return df.select(F.lit(output).alias("output"), F.col(k).cast("int").alias("k") if isinstance(k, str)
+                         else k.cast("int").alias("k"), key.alias("key"), value.cast("double").alias("value"))
+
+    stats = F.concat_ws(",", *[F.col(c).cast("string") for c in
+                               ("n_candidates", "n_frequent", "n_users", "n_rules")])
+    basket = F.concat_ws(" ", F.col("user_id").cast("string"), items_text("items"))
+    rules = rule_text("antecedent", "consequent")
+    parts = [
+        rows(read("itemsets"), "itemsets", "k", items_text("items"), F.col("support")),
+        rows(read("baskets"), "baskets", F.lit(0), basket, F.size("items")),
+        rows(read("candidates"), "candidates", "k", items_text("items"), F.lit(0)),
+        rows(read("rules"), "rules", "k", rules, F.col("confidence")),
+        rows(read("stats"), "stats", "k", stats, F.lit(0)),
+        rows(read("recommendations"), "recommendations", "rank",
+             F.concat_ws(" ", F.col("user_id").cast("string"), F.col("item_id").cast("string")), F.col("score")),
+        rows(readers.read_rules_text(spark, f"{path}/text/rules"), "rules_text", "k", rules, F.col("confidence")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def q_result_parquet_roundtrip(spark, d):
-    """All outputs of one run written as parquet (by level), itemsets read back."""
+    """All outputs of one run written, every one of them read back."""
     res = _mine_f2(spark, d)
     path = new_scratch(spark, "result")
-    sinks.write_result(res, path)
-    back = spark.read.parquet(f"{path}/itemsets")
-    return _itemsets_out(back)
+    sinks.write_outputs(res, path, candidates=all_candidates(res), recommendations=recommend(res))
+    return _outputs(spark, path)
+
+
+def q_mine_from_rating_files(spark, d):
+    """The whole chain: raw rating files (supplier: customer) to all outputs."""
+    files, out = new_scratch(spark, "ratings"), new_scratch(spark, "outputs")
+    rows = tables.customer_suppliers(spark, d).select(
+        "item_id", "user_id", F.lit(5).alias("rating"), F.lit(None).cast("date").alias("rated_on"))
+    sinks.write_rating_blocks(rows, files, raw=True)
+    run(spark, files, out, min_support=T_F5)
+    return _outputs(spark, out)
+
+
+def q_rules_text_roundtrip(spark, d):
+    path = new_scratch(spark, "rules-text")
+    sinks.write_rules_text(_mine_f2(spark, d).rules(), path)
+    back = readers.read_rules_text(spark, path)
+    return back.select("k", rule_text("antecedent", "consequent").alias("rule"), "confidence")
+
+
+def q_rules_from_text(spark, d):
+    """Rules derived from an itemset file alone."""
+    path = new_scratch(spark, "itemsets-text")
+    sinks.write_itemsets_text(_mine_f2(spark, d).itemsets(), path)
+    return _rules_out(association_rules(readers.read_itemsets_text(spark, path)))
+
+
+def _half_orders(spark, d):
+    """(user_id, item_id): each order cut in two by line number; no such user was mined."""
+    li = tables.table(spark, d, "lineitem")
+    part = tables.table(spark, d, "part").select("p_partkey", "p_type")
+    return (li.join(part, li.l_partkey == part.p_partkey)
+            .select((F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2).cast("long").alias("user_id"),
+                    F.col("p_type").alias("item_id")))
+
+
+def q_recommend_new_users(spark, d):
+    """Rules of the F2 run applied to baskets that were not mined."""
+    rules = _mine_f2(spark, d).rules()
+    return recommend(prep.baskets(prep.distinct_pairs(_half_orders(spark, d))), rules, top_n=TOP_N)
+
+
+def _f4_from_text(spark, d):
+    """Baskets and union candidates of size 3 of F4, written as text and read back."""
+    res = _mine_f4(spark, d)
+    base = new_scratch(spark, "f4-text")
+    sinks.write_baskets_text(res.baskets(), f"{base}/baskets")
+    lv = res.level(2)
+    sinks.write_candidates_text(generate_candidates(lv.table, 3, "union", n_rows=lv.n_frequent),
+                                f"{base}/candidates")
+    return (readers.read_baskets_text(spark, f"{base}/baskets"),
+            readers.read_candidates_text(spark, f"{base}/candidates"), res.n_users)
+
+
+def q_candidate_support_from_text(spark, d):
+    held, candidates, n = _f4_from_text(spark, d)
+    return _itemsets_out(count_support(candidates, held, n))
+
+
+def q_retained_baskets_from_text(spark, d):
+    held, candidates, _ = _f4_from_text(spark, d)
+    return _sets(retain_baskets(held, candidates), "items")
+
+
+HELD_TYPES = ["PROMO", "SMALL"]     # first words of part types
+
+
+def q_baskets_holding_set(spark, d):
+    """Orders whose baskets hold two given items."""
+    first = _f2(spark, d).withColumn("item_id", F.split("item_id", " ")[0])
+    held = prep.baskets(prep.distinct_pairs(prep.as_ratings(first)))
+    return _sets(holders_of(held, HELD_TYPES), "items")
+
+
+def q_candidates_pruned_k3(spark, d):
+    """Prefix candidates without those that have an infrequent subset."""
+    res = _mine_f4(spark, d)
+    lv = res.level(2)
+    c = generate_candidates(lv.table, 3, "prefix", n_rows=lv.n_frequent,
+                            max_group=res.level(1).n_frequent)
+    return _sets(prune_candidates(c, lv.table, 3), "items")
+
+
+def q_frequent_itemsets_rows_mode(spark, d):
+    return _itemsets_out(mine(_f2(spark, d), T_F2, l1_count="rows").itemsets())
+
+
+def q_association_rules_rows_mode(spark, d):
+    return _rules_out(mine(_f2(spark, d), T_F2, l1_count="rows").rules())
+
+
+def _ragged_lines(spark, d):
+    """(item_id, line): line items as rating lines of one to four fields, by line number."""
+    li = tables.table(spark, d, "lineitem")
+    user, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    line = (F.when(n % 4 == 0, user).when(n % 4 == 1, F.concat_ws(",", user, n.cast("string")))
+            .when(n % 4 == 2, F.concat_ws(",", user, n.cast("string"), day))
+            .otherwise(F.concat_ws(",", user, n.cast("string"), day, F.lit("extra"))))
+    return li.select(F.col("l_partkey").alias("item_id"), line.alias("line"))
+
+
+def _blocks_of(lines, sep):
+    return lines.groupBy("item_id").agg(F.concat_ws(sep, F.collect_list("line")).alias("body")).select(
+        F.concat(F.col("item_id").cast("string"), F.lit(":" + sep), "body").alias("value"))
+
+
+def q_ragged_rating_lines(spark, d):
+    path = new_scratch(spark, "ragged")
+    _blocks_of(_ragged_lines(spark, d), "\n").write.option("lineSep", "\n\n").text(path)
+    return blocks.read_rating_blocks(spark, path, mode="fail")
+
+
+def q_crlf_rating_files(spark, d):
+    path = new_scratch(spark, "crlf")
+    _blocks_of(_ragged_lines(spark, d), "\r\n").write.option("lineSep", "\r\n").text(path)
+    return blocks.read_raw_ratings(spark, path, mode="fail")
+
+
+def q_split_bundled_blocks(spark, d):
+    """Up to ten movies in one text value, split at their headers."""
+    one = _blocks_of(_ragged_lines(spark, d), "\n")
+    key = F.split("value", ":")[0].cast("long")
+    bundle = one.groupBy(F.floor(key / 10).alias("b")).agg(
+        F.concat_ws("\n", F.collect_list("value")).alias("value"))
+    return blocks.parse_rating_blocks(bundle.select("value"))
 
 
 def q_basket_text_roundtrip(spark, d):
@@ -330,6 +485,19 @@ def q_candidate_text_roundtrip(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "frequent_itemsets_rows_mode": q_frequent_itemsets_rows_mode,
+    "association_rules_rows_mode": q_association_rules_rows_mode,
+    "mine_from_rating_files": q_mine_from_rating_files,
+    "rules_text_roundtrip": q_rules_text_roundtrip,
+    "rules_from_text": q_rules_from_text,
+    "recommend_new_users": q_recommend_new_users,
+    "candidate_support_from_text": q_candidate_support_from_text,
+    "retained_baskets_from_text": q_retained_baskets_from_text,
+    "baskets_holding_set": q_baskets_holding_set,
+    "candidates_pruned_k3": q_candidates_pruned_k3,
+    "ragged_rating_lines": q_ragged_rating_lines,
+    "crlf_rating_files": q_crlf_rating_files,
+    "split_bundled_blocks": q_split_bundled_blocks,
     "distinct_user_count": q_distinct_user_count,
     "item_support": q_item_support,
     "item_support_rows": q_item_support_rows,
@@ -436,9 +604,9 @@ def _rules_cte() -> str:
             "AND a.items = list_filter(r.items, lambda e: e <> r.consequent))")
 
 
-def _rules_sql(src: str, t: float, max_k: int, min_conf: float | None = None) -> str:
+def _rules_sql(src: str, t: float, max_k: int, min_conf: float | None = None, **kw) -> str:
     where = f"WHERE confidence >= CAST({min_conf!r} AS DOUBLE)" if min_conf is not None else ""
-    return _with(_base_ctes(src, t, max_k) + [_rules_cte()],
+    return _with(_base_ctes(src, t, max_k, **kw) + [_rules_cte()],
                  f"SELECT k, {_txt('antecedent')} AS antecedent, consequent, confidence, support "
                  f"FROM R {where}")
 
@@ -450,7 +618,7 @@ def _union_candidates_cte(k: int) -> str:
 
 
 def _stats_sql(src: str, t: float, max_k: int) -> str:
-    ctes = _base_ctes(src, t, max_k)
+    ctes = _base_ctes(src, t, max_k) + [_rules_cte()]
     ctes.append("B AS (SELECT user_id, list(item_id) AS items FROM fp GROUP BY user_id)")
     parts = ["SELECT 1 AS k, (SELECT count(DISTINCT item_id) FROM pairs) AS n_candidates, "
              "(SELECT count(*) FROM L1) AS n_frequent, (SELECT count(*) FROM B) AS n_users, "
@@ -463,7 +631,7 @@ def _stats_sql(src: str, t: float, max_k: int) -> str:
             f"(SELECT count(*) FROM L{k}) AS n_frequent, "
             f"(SELECT count(*) FROM B WHERE EXISTS (SELECT 1 FROM C{k} c "
             f"WHERE list_has_all(B.items, c.items))) AS n_users, "
-            f"{k} * (SELECT count(*) FROM L{k}) AS n_rules WHERE {guard}")
+            f"(SELECT count(*) FROM R WHERE R.k = {k}) AS n_rules WHERE {guard}")
     return _with(ctes, " UNION ALL ".join(parts))
 
 
@@ -494,6 +662,48 @@ def _f4_c3_ctes() -> list[str]:
     return _base_ctes(SRC_F3, T_F4, 3) + [_union_candidates_cte(3)]
 
 
+def _outputs_sql(src: str, t: float, max_k: int) -> str:
+    """Every output of a run as (output, k, key, value)."""
+    base = _base_ctes(src, t, max_k)
+    cands = []
+    for k in range(2, max_k + 1):
+        guard = " AND ".join(f"(SELECT count(*) FROM L{j}) > 1" for j in range(2, k)) or "TRUE"
+        cands.append(f"SELECT {k} AS k, items FROM C{k} WHERE {guard}")
+    candidates = _with(base + [_union_candidates_cte(k) for k in range(2, max_k + 1)], " UNION ALL ".join(cands))
+    rules = _with(base + [_rules_cte()],
+                  "SELECT k, '[' || array_to_string(antecedent, ', ') || '] -> ' || consequent AS key, "
+                  "confidence FROM R")
+    baskets = _with(base, "SELECT user_id, string_agg(item_id, ',' ORDER BY item_id) AS items, "
+                          "count(*) AS n FROM fp GROUP BY user_id")
+    return f"""
+SELECT 'itemsets' AS output, k, items AS key, support AS value FROM ({_itemsets_sql(src, t, max_k)})
+UNION ALL SELECT 'baskets', 0, user_id || ' ' || items, CAST(n AS DOUBLE) FROM ({baskets})
+UNION ALL SELECT 'candidates', k, {_txt('items')}, CAST(0 AS DOUBLE) FROM ({candidates})
+UNION ALL SELECT 'rules', k, key, confidence FROM ({rules})
+UNION ALL SELECT 'rules_text', k, key, confidence FROM ({rules})
+UNION ALL SELECT 'stats', k, n_candidates || ',' || n_frequent || ',' || n_users || ',' || n_rules,
+  CAST(0 AS DOUBLE) FROM ({_stats_sql(src, t, max_k)})
+UNION ALL SELECT 'recommendations', rank, user_id || ' ' || item_id, score
+  FROM ({_recommend_sql(src, t, max_k)})"""
+
+
+def _new_users_sql() -> str:
+    ctes = _base_ctes(SRC_F2, T_F2, 5) + [_rules_cte(),
+        "N AS (SELECT DISTINCT l.l_orderkey * 2 + l.l_linenumber % 2 AS user_id, p.p_type AS item_id "
+        "FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)",
+        "NB AS (SELECT user_id, list(item_id) AS items FROM N GROUP BY user_id)",
+        "A AS (SELECT b.user_id, r.consequent AS item_id, max(r.confidence) AS score FROM NB b JOIN R r "
+        "ON list_has_all(b.items, r.antecedent) AND NOT list_contains(b.items, r.consequent) "
+        "GROUP BY b.user_id, r.consequent)",
+        "Q AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) "
+        "AS INTEGER) AS rank FROM A)"]
+    return _with(ctes, f"SELECT CAST(user_id AS BIGINT) AS user_id, item_id, score, rank FROM Q WHERE rank <= {TOP_N}")
+
+
+SQL_RAGGED = ("SELECT l_partkey AS item_id, l_orderkey AS user_id, "
+              "CASE WHEN l_linenumber % 4 <> 0 THEN CAST(l_linenumber AS INTEGER) END AS rating, "
+              "CASE WHEN l_linenumber % 4 > 1 THEN CAST(l_shipdate AS DATE) END AS rated_on FROM lineitem")
+
 SQL_RATINGS = ("SELECT l_partkey AS item_id, l_orderkey AS user_id, l_linenumber AS rating, "
                "CAST(l_shipdate AS DATE) AS rated_on FROM lineitem")
 
@@ -517,6 +727,8 @@ ORACLES: dict[str, str] = {
         SRC_F2, T_F2, 5, pairs_where=f"WHERE user_id < {REF_MAX_USER}",
         n_src=f"(SELECT * FROM raw WHERE user_id <= {REF_MAX_USER})"),
     "frequent_items_rows_mode": _itemsets_sql(SRC_F2, T_F2, 1, l1_from="raw"),
+    "frequent_itemsets_rows_mode": _itemsets_sql(SRC_F2, T_F2, 5, l1_from="raw"),
+    "association_rules_rows_mode": _rules_sql(SRC_F2, T_F2, 5, l1_from="raw"),
     "frequent_itemsets_brands": _itemsets_sql(SRC_F3, T_F3, 4),
     "frequent_itemsets_parts": _itemsets_sql(SRC_F6, T_F6, 3),
     "frequent_itemsets_days": _itemsets_sql(SRC_F7, T_F7, 4),
@@ -573,7 +785,22 @@ ORACLES: dict[str, str] = {
         "JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_size <= 45 AND l.l_linestatus <> 'F'",
     "itemset_text_roundtrip": _with(_base_ctes(SRC_F2, T_F2, 5),
         f"SELECT k, {_txt('items')} AS items, freq / (SELECT n FROM nu) AS support FROM S"),
-    "result_parquet_roundtrip": _itemsets_sql(SRC_F2, T_F2, 5),
+    "result_parquet_roundtrip": _outputs_sql(SRC_F2, T_F2, 5),
+    "mine_from_rating_files": _outputs_sql(SRC_F5, T_F5, 3),
+    "rules_text_roundtrip": _with(_base_ctes(SRC_F2, T_F2, 5) + [_rules_cte()],
+        "SELECT k, '[' || array_to_string(antecedent, ', ') || '] -> ' || consequent AS rule, "
+        "confidence FROM R"),
+    "rules_from_text": _rules_sql(SRC_F2, T_F2, 5),
+    "recommend_new_users": _new_users_sql(),
+    "candidates_pruned_k3": _with(_base_ctes(SRC_F3, T_F4, 2),
+        "SELECT 3 AS k, a.x1 || ',' || a.x2 || ',' || b.x2 AS items FROM L2 a "
+        "JOIN L2 b ON a.x1 = b.x1 AND a.x2 < b.x2 JOIN L2 c ON c.x1 = a.x2 AND c.x2 = b.x2"),
+    "baskets_holding_set": "WITH f AS (SELECT DISTINCT user_id, split_part(item_id, ' ', 1) AS item_id "
+        f"FROM ({SRC_F2})) SELECT user_id, string_agg(item_id, ',' ORDER BY item_id) AS items FROM f "
+        f"GROUP BY user_id HAVING list_has_all(list(item_id), {HELD_TYPES!r})",
+    "ragged_rating_lines": SQL_RAGGED,
+    "crlf_rating_files": SQL_RAGGED,
+    "split_bundled_blocks": SQL_RAGGED,
     "basket_text_roundtrip": _with(_base_ctes(SRC_F2, T_F2, 1),
         "SELECT user_id, string_agg(item_id, ',' ORDER BY item_id) AS items "
         "FROM fp GROUP BY user_id"),
@@ -582,6 +809,9 @@ ORACLES: dict[str, str] = {
 }
 
 
+ORACLES["candidate_support_from_text"] = ORACLES["candidate_support_k3"]
+ORACLES["retained_baskets_from_text"] = ORACLES["retained_baskets"]
+
 # ------------------------------------------- training-data queries (optional)
 
 try:  # the subpackage and the pipeline may be absent; nothing else needs them

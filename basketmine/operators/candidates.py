@@ -33,6 +33,8 @@ def generate_candidates(level_table: DataFrame, k: int, method: str = "union", *
     `max_group` bounds the rows sharing one key; the items under a key are
     distinct frequent items, so the size of level 1 is such a bound.
     """
+    if method not in ("union", "prefix"):
+        raise ValueError("method must be 'union' or 'prefix'")
     if method == "prefix" or k == 2:
         sets = level_table.select(F.slice("items", 1, F.size("items") - 1).alias("rest"),
                                   F.element_at("items", -1).alias("x"))
@@ -42,8 +44,6 @@ def generate_candidates(level_table: DataFrame, k: int, method: str = "union", *
             F.size(items).alias("k"), items.alias("items"),
             F.concat("rest", F.array("item_a")).alias("parent_a"),
             F.concat("rest", F.array("item_b")).alias("parent_b"))
-    if method != "union":
-        raise ValueError("method must be 'union' or 'prefix'")
     gens = union_generators(level_table, k, n_rows=n_rows, max_group=max_group, skew=skew)
     return gens.select(
         F.size("items").alias("k"), "items",
@@ -51,6 +51,19 @@ def generate_candidates(level_table: DataFrame, k: int, method: str = "union", *
         F.sort_array(F.concat("rest", F.array("y"))).alias("parent_b"))
 
 
+def prune_candidates(candidates: DataFrame, level_table: DataFrame, k: int) -> DataFrame:
+    """Candidates (k, items) all of whose (k-1)-subsets are in L_{k-1}.
+
+    The textbook prune that the reference leaves out: every candidate is
+    exploded into its k subsets, which are looked up in the level table.
+    """
+    subsets = candidates.select("k", "items", F.explode("items").alias("x"))
+    subsets = subsets.select("k", "items", F.array_remove("items", F.col("x")).alias("_sub"))
+    known = level_table.select(F.col("items").alias("_sub"))
+    return (subsets.join(known, "_sub", "left_semi").groupBy("k", "items")
+            .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == k).select("k", "items"))
+
+
 def union_generators(level_table: DataFrame, k: int, *, n_rows: int | None = None,
                      max_group: int | None = None, skew: SkewPolicy = DEFAULT_SKEW) -> DataFrame:
     """Union candidates of size k >= 3 with one canonical generator each.

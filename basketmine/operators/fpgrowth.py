@@ -8,7 +8,8 @@ ceil(minSupport * M) equal to m.  Its sets are re-sorted, supports are
 recomputed as count / N, and rules are derived by our rule operator (its
 own confidences are computed from counts, not from supports).
 
-It yields frequent sets only: no candidates, retained baskets or per-level
+Spark ML keeps the list of frequent items on the driver, so the driver holds one
+short entry per member of level 1.  It yields frequent sets only: no candidates, retained baskets or per-level
 statistics.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import min_count_above, support
+from ..plans.runtime import materialize, new_scratch
 from . import prepare as prep
 
 
@@ -29,11 +31,11 @@ def fpgrowth_itemsets(ratings: DataFrame, min_support: float, max_len: int | Non
     n_users = n_users or prep.count_users(pairs)
     item_freq = prep.item_support(pairs, n_users)
     frequent = prep.frequent_items(item_freq, n_users, min_support)
-    baskets = prep.baskets(pairs, frequent).cache()
-    n_baskets = baskets.count()
     spark = ratings.sparkSession
+    # Read several times by the fit: on shared storage, not in executors' memory.
+    baskets = materialize(prep.baskets(pairs, frequent), new_scratch(spark, "fp-baskets"))
+    n_baskets = baskets.count()
     if n_baskets == 0:
-        baskets.unpersist()
         item_type = pairs.schema[prep.ITEM].dataType.simpleString()
         return spark.createDataFrame(
             [], f"k int, items array<{item_type}>, freq long, support double")

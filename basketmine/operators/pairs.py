@@ -1,4 +1,4 @@
-"""Ordered self-join within groups, with hot groups split by salting.
+"""Ordered self-join within groups, with hot groups dealt into block pairs.
 
 `pair_join(df, keys, item)` returns one row per pair of rows of `df` with
 equal `keys` and `a.item < b.item`.  Every level of the miner is built from
@@ -11,17 +11,17 @@ Skew.  A group of m rows emits m(m-1)/2 pairs, so the danger is the output
 of one group (a heavy user, or the empty prefix shared by all frequent
 items when level-2 candidates are formed), which AQE cannot see because
 the input partition is small.  A group whose pairs would exceed
-`max_pairs_per_task` is split: the left side is spread over s salt buckets
-by a hash of the item, the right side is copied to each bucket, so the
-pairs of one hot group come from s tasks and no pair is produced twice.
-
-Hot groups are found on a hash-selected sample of the rows (the salting
-decision only changes task layout, never the result, so an estimate is
-enough; the sample depends on row content only, so every evaluation sees
-the same hot list) and the list is broadcast; its size is bounded by construction: at most
-`max_hot_keys` groups can exceed the threshold used.  When the caller can
-prove that no group is hot (`max_group`, e.g. the number of frequent
-items, or `n_rows` below the threshold) the extra stage is left out.
+`max_pairs_per_task` is dealt into b = ceil(m / sqrt(max_pairs_per_task))
+buckets by a hash of the item, and every pair of buckets (i <= j) is joined
+under a key of its own.  A bucket pair emits about `max_pairs_per_task` pairs
+at most, whatever m is, each row is copied b + 1 times, and no pair is lost or
+produced twice.
+
+Hot groups are counted exactly.  Their list is broadcast only when its
+measured size is below the session's broadcast threshold, and joined by a
+shuffle beyond that.  When the caller can prove that no group is hot
+(`max_group`, e.g. the number of frequent items, or `n_rows` below the
+threshold), or when none is found, nothing is added to the plan.
 AQE's skew-join split remains on as a second line.
 """
 
@@ -33,46 +33,44 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import key_bytes, maybe_broadcast
+
 
 @dataclass(frozen=True)
 class SkewPolicy:
     max_pairs_per_task: int = 8_000_000   # pairs one group may emit in one task
-    max_salts: int = 512                   # at most this many buckets per hot group
-    max_hot_keys: int = 100_000            # bound on the broadcast hot-group list
-    sample_rows: int = 5_000_000           # rows sampled to find hot groups
-    seed: int = 17
 
     @property
     def hot_rows(self) -> int:
         """Group size whose pairs reach `max_pairs_per_task`."""
         return max(2, math.isqrt(2 * self.max_pairs_per_task))
 
+    @property
+    def bucket_rows(self) -> int:
+        """Rows of one bucket of a hot group."""
+        return max(1, math.isqrt(self.max_pairs_per_task))
+
 
 DEFAULT_SKEW = SkewPolicy()
 
 
-def hot_groups(df: DataFrame, keys: list[str], n_rows: int | None, skew: SkewPolicy) -> DataFrame:
-    """(keys..., _s): groups estimated above the hot size, with their bucket count."""
-    threshold = skew.hot_rows
-    if n_rows is not None:
-        threshold = max(threshold, math.ceil(n_rows / skew.max_hot_keys))
-    fraction = 1.0
-    if n_rows is not None and n_rows > skew.sample_rows:
-        fraction = skew.sample_rows / n_rows
-    # Sample by a hash of the row's content, not by a random draw: both sides
-    # of the join must see the same hot list, whatever the row order or the
-    # number of times the input is evaluated.
-    src = df
-    if fraction < 1.0:
-        bucket = F.pmod(F.xxhash64(*df.columns, F.lit(skew.seed)), F.lit(1 << 30))
-        src = df.filter(bucket < F.lit(int(fraction * (1 << 30))))
-    est = F.count(F.lit(1)) / F.lit(fraction)
-    return (src.groupBy(*keys).agg(est.alias("_m"))
-            .filter(F.col("_m") > threshold)
-            .select(*keys, F.least(F.lit(skew.max_salts),
-                                   F.ceil(F.col("_m") * F.col("_m") / F.lit(2.0 * skew.max_pairs_per_task)))
-                    .cast("int").alias("_s"))
-            .filter(F.col("_s") > 1))
+def hot_groups(df: DataFrame, keys: list[str], skew: SkewPolicy) -> DataFrame:
+    """(keys..., _b): groups above the hot size, with their number of buckets."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+            .filter(F.col("_m") > skew.hot_rows)
+            .select(*keys, F.ceil(F.col("_m") / F.lit(skew.bucket_rows)).cast("int").alias("_b")))
+
+
+def bucket_pairs(base: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Left and right sides (keys..., _i, _j, _item): one copy per bucket pair of a row's bucket."""
+    b = F.coalesce("_b", F.lit(1))
+    tagged = (base.join(hot, keys, "left").withColumn("_n", b)
+              .withColumn("_s", F.pmod(F.xxhash64("_item"), F.col("_n")).cast("int")))
+    left = tagged.select(*keys, F.col("_s").alias("_i"),
+                         F.explode(F.sequence(F.col("_s"), F.col("_n") - 1)).alias("_j"), "_item")
+    right = tagged.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_s"))).alias("_i"),
+                          F.col("_s").alias("_j"), "_item")
+    return left, right
 
 
 def pair_join(df: DataFrame, keys: list[str], item: str, *, n_rows: int | None = None,
@@ -84,32 +82,29 @@ def pair_join(df: DataFrame, keys: list[str], item: str, *, n_rows: int | None =
     upper bound of the row count of `df`) and `max_group` (an upper bound
     of any group's size, e.g. the number of frequent items when the items
     of a group are distinct frequent items) are used when known: if either
-    proves that no group can exceed `hot_rows`, the salting stage is left
-    out of the plan.
+    proves that no group can exceed `hot_rows`, groups are not counted.
     """
     base = df.select(*keys, F.col(item).alias("_item"))
     bounds = [b for b in (n_rows, max_group) if b is not None]
-    salt_needed = not bounds or min(bounds) > skew.hot_rows
-    if salt_needed:
-        # At most max_hot_keys rows (see hot_groups): safe to broadcast.
-        hot = hot_groups(base, keys, n_rows, skew)
-        tagged = base.join(F.broadcast(hot), keys, "left")
-        left = tagged.withColumn(
-            "_salt", F.when(F.col("_s").isNull(), F.lit(0))
-            .otherwise(F.pmod(F.xxhash64("_item"), F.col("_s")).cast("int")))
-        right = tagged.withColumn(
-            "_salt", F.explode(F.when(F.col("_s").isNull(), F.array(F.lit(0)))
-                               .otherwise(F.sequence(F.lit(0), F.col("_s") - 1))))
-        join_keys = keys + ["_salt"]
-    else:
-        left = right = base
-        join_keys = keys
-    a = left.select(*join_keys, F.col("_item").alias(left_name))
-    b = right.select(*join_keys, F.col("_item").alias(right_name))
-    # Both sides are the same (large) table: keep a sort-merge join on one
-    # shared exchange.  Without the hint AQE may turn it into a broadcast
-    # when the compressed shuffle is small, collecting a table that grows
-    # with the data on the driver.
-    return (a.join(b.hint("merge"), join_keys, "inner")
-            .filter(F.col(left_name) < F.col(right_name))
-            .select(*keys, left_name, right_name))
+    found = None
+    if not bounds or min(bounds) > skew.hot_rows:
+        hot = hot_groups(base, keys, skew)
+        found = hot.agg(F.count(F.lit(1)).alias("n"),
+                        F.coalesce(F.sum(key_bytes(hot, keys)), F.lit(0)).alias("bytes")).first()
+    if found is None or not found["n"]:
+        a = base.select(*keys, F.col("_item").alias(left_name))
+        b = base.select(*keys, F.col("_item").alias(right_name))
+        # Both sides are the same (large) table: keep a sort-merge join on one
+        # shared exchange.  Without the hint AQE may turn it into a broadcast
+        # when the compressed shuffle is small, collecting a table that grows
+        # with the data on the driver.
+        return (a.join(b.hint("merge"), keys, "inner")
+                .filter(F.col(left_name) < F.col(right_name))
+                .select(*keys, left_name, right_name))
+    left, right = bucket_pairs(base, maybe_broadcast(hot, int(found["bytes"])), keys)
+    right = right.withColumnRenamed("_item", "_other")
+    joined = left.join(right.hint("merge"), keys + ["_i", "_j"], "inner")
+    # Inside a bucket each pair comes in both orders, across two buckets in one.
+    once = (F.col("_i") < F.col("_j")) | (F.col("_item") < F.col("_other"))
+    return joined.filter(once & (F.col("_item") != F.col("_other"))).select(
+        *keys, F.least("_item", "_other").alias(left_name), F.greatest("_item", "_other").alias(right_name))

@@ -11,47 +11,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import maybe_broadcast, row_bytes
+from ..plans.runtime import ROW_OVERHEAD, key_bytes, maybe_broadcast
 from . import prepare as prep
+from .containment import basket_pairs, held_sets
 from .rules import filter_rules
 
 USER, ITEM = prep.USER, prep.ITEM
 
 
-def recommend(result, rules: DataFrame | None = None, min_confidence: float | None = None,
+def recommend(baskets, rules: DataFrame | None = None, min_confidence: float | None = None,
               top_n: int | None = None) -> DataFrame:
     """(user_id, item_id, score, rank) for every user with an applicable rule.
 
-    Antecedent containment comes from the occurrence tables kept by the
-    miner (one row per user and frequent set held), joined to the rules on
-    the antecedent set; the rule table is broadcast when its measured size
-    bound is small.  The best score per (user, item) is aggregated before
-    the anti-join that drops items the user already has, and the ranking
-    window is per user, whose rows are bounded by the number of frequent
-    items.
+    `baskets` is a table (user_id, items), e.g. of new users, or a MiningResult.
+    A MiningResult without `rules` takes its own rules, whose antecedents are
+    looked up in the occurrence tables the miner kept.  For any other rules the
+    holders of the antecedents are found in the baskets, so rules of any depth
+    apply.  The best score per (user, item) is aggregated before the anti-join
+    that drops items the user already has, and the ranking window is per user,
+    whose rows are bounded by the number of consequents.
     """
-    rules = result.rules() if rules is None else rules
+    plain = isinstance(baskets, DataFrame)
+    if plain and rules is None:
+        raise ValueError("rules are required with a table of baskets")
+    own = rules is None
+    rules = baskets.rules() if own else rules
     if min_confidence is not None:
         rules = filter_rules(rules, min_confidence)
     r = rules.select("antecedent", F.col("consequent").alias(ITEM), "confidence")
-    r_bytes = r.agg(F.coalesce(F.sum(row_bytes("antecedent", F.array(ITEM))), F.lit(0))
-                    .alias("b")).first()["b"]
-    held = None
-    for lv in result.levels:
-        if lv.occurrences is None:
-            continue
-        part = lv.occurrence_sets().withColumnRenamed("items", "antecedent")
-        held = part if held is None else held.unionByName(part)
-    if held is None:
-        raise ValueError("no occurrence tables kept")
-    applied = held.join(maybe_broadcast(r, int(r_bytes)), "antecedent", "inner")
+    if own:
+        held, n_bytes = _kept_occurrences(baskets), _rules_bytes(baskets.levels)
+        pairs = baskets.level(1).occurrences.select(USER, F.col("last").alias(ITEM))
+    else:
+        pairs = basket_pairs(baskets if plain else baskets.baskets())
+        held = held_sets(pairs, r.select(F.col("antecedent").alias("items")))
+        n_bytes = r.agg(F.coalesce(F.sum(key_bytes(r, ["antecedent", ITEM])), F.lit(0))).first()[0]
+    applied = held.withColumnRenamed("items", "antecedent").join(
+        maybe_broadcast(r, int(n_bytes)), "antecedent", "inner")
     best = applied.groupBy(USER, ITEM).agg(F.max("confidence").alias("score"))
-    # Consequents are frequent items, so "already held" is decided by the
-    # level-1 occurrences (frequent items only), a smaller side than all pairs.
-    held_items = result.level(1).occurrences.select(USER, F.col("last").alias(ITEM))
-    best = best.join(held_items, [USER, ITEM], "left_anti")
+    best = best.join(pairs, [USER, ITEM], "left_anti")
     order = Window.partitionBy(USER).orderBy(F.desc("score"), F.asc(ITEM))
     ranked = best.withColumn("rank", F.row_number().over(order))
     if top_n is not None:
         ranked = ranked.filter(F.col("rank") <= top_n)
     return ranked
+
+
+def _rules_bytes(levels) -> int:
+    """Upper bound of a run's rule table: level k has k rules per set, each no longer than the set."""
+    item = levels[0].max_item_len + 8
+    return sum(lv.k * lv.n_frequent * (2 * ROW_OVERHEAD + (lv.k + 1) * item) for lv in levels[1:])
+
+
+def _kept_occurrences(result) -> DataFrame:
+    """(user_id, items) of every level that has rules above it."""
+    held = None
+    for lv in result.levels[:-1]:
+        part = lv.occurrence_sets()
+        held = part if held is None else held.unionByName(part)
+    if held is None:
+        raise ValueError("no occurrence tables kept")
+    return held

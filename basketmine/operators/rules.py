@@ -29,11 +29,26 @@ def level_rules(level_table: DataFrame, prev_table: DataFrame, prev_bytes: int,
         "support", "antecedent_support")
 
 
-def association_rules(result) -> DataFrame:
-    """Rules of every level k >= 2 of a MiningResult."""
+def association_rules(itemsets) -> DataFrame:
+    """Rules `s minus {x} -> x` of every set with two or more members.
+
+    Takes a MiningResult, or any table (items, support) such as itemsets read
+    back from files; there the antecedents are looked up in the same table.  A
+    rule is given only if its antecedent is in the table.
+    """
+    if isinstance(itemsets, DataFrame):
+        sets = itemsets.select(F.size("items").alias("k"), "items", "support")
+        exploded = (sets.filter("k >= 2").withColumn("consequent", F.explode("items"))
+                    .withColumn("antecedent", remove_item("items", "consequent")))
+        known = sets.select(F.col("items").alias("antecedent"),
+                            F.col("support").alias("antecedent_support"))
+        return exploded.join(known, "antecedent").select(
+            "k", "antecedent", "consequent",
+            confidence("support", "antecedent_support").alias("confidence"),
+            "support", "antecedent_support")
     out = None
-    for lv in result.levels[1:]:
-        prev = result.level(lv.k - 1)
+    for lv in itemsets.levels[1:]:
+        prev = itemsets.level(lv.k - 1)
         part = level_rules(lv.table, prev.table, prev.n_bytes, lv.k)
         out = part if out is None else out.unionByName(part)
     if out is None:

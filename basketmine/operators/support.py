@@ -27,34 +27,11 @@ def _occurrences(result, k: int) -> DataFrame:
     return lv.occurrences
 
 
-def count_support(candidates: DataFrame, occ_prev: DataFrame, n_users: int) -> DataFrame:
-    """Support of arbitrary candidates (k, items, parent_a, parent_b).
-
-    Candidates without any basket containing them are absent (as in the
-    reference, whose reducer only sees candidates that were emitted).
-    """
-    c = candidates.select(
-        "k", "items",
-        F.slice("parent_a", 1, F.size("parent_a") - 1).alias("a_prefix"),
-        F.element_at("parent_a", -1).alias("a_last"),
-        F.slice("parent_b", 1, F.size("parent_b") - 1).alias("b_prefix"),
-        F.element_at("parent_b", -1).alias("b_last"))
-    holders_a = occ_prev.select(USER, F.col("prefix").alias("a_prefix"),
-                                F.col("last").alias("a_last"))
-    holders_b = occ_prev.select(USER, F.col("prefix").alias("b_prefix"),
-                                F.col("last").alias("b_last"))
-    with_a = holders_a.join(c, ["a_prefix", "a_last"], "inner")
-    with_both = with_a.join(holders_b, [USER, "b_prefix", "b_last"], "left_semi")
-    return (with_both.groupBy("k", "items").agg(F.count(F.lit(1)).alias("freq"))
-            .withColumn("support", support("freq", n_users)))
-
-
 def candidate_support(result, k: int, method: str = "union") -> DataFrame:
     """(k, items, freq, support) of every level-k candidate held by a basket.
 
-    For union candidates of size >= 3 the general parent join of
-    `count_support` would first emit every candidate below each held parent;
-    the route here only pairs sets a user actually holds.
+    Only sets that a user actually holds are paired.  For candidates on plain
+    tables see `containment.count_support`.
     """
     from ..plans.miner import count_occurrences, extend_occurrences
     prev = result.level(k - 1)
@@ -68,17 +45,19 @@ def candidate_support(result, k: int, method: str = "union") -> DataFrame:
     n1 = result.level(1).n_frequent
     gens = union_generators(prev.table, k, n_rows=prev.n_frequent, max_group=n1,
                             skew=result.skew)
-    # Pairs of held (k-1)-sets that share k-2 items, per user; a pair is a
-    # hit when it is the canonical generator of a candidate, so every
-    # (user, contained candidate) is counted exactly once.
+    # Pairs of held (k-1)-sets that share k-2 items, counted per pair of sets
+    # in the stage that joins them; then a count is taken when its pair is the
+    # canonical generator of a candidate, so every (user, contained candidate)
+    # counts exactly once and the generator join sees each pair of sets once.
     held = prev.occurrence_sets()
     parts = held.select(USER, "items", F.explode("items").alias("x"))
     parts = parts.select(USER, F.array_remove("items", F.col("x")).alias("rest"), "x")
     n_parts = None if prev.n_occurrences is None else prev.n_occurrences * (k - 1)
     pairs = pair_join(parts, [USER, "rest"], "x", n_rows=n_parts, max_group=n1,
                       skew=result.skew, left_name="x", right_name="y")
-    hits = pairs.join(gens, ["rest", "x", "y"], "inner")
-    return (hits.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
+    counted = pairs.groupBy("rest", "x", "y").agg(F.count(F.lit(1)).alias("freq"))
+    hits = counted.join(gens, ["rest", "x", "y"], "inner")
+    return (hits
             .select(F.size("items").alias("k"), "items", "freq",
                     support("freq", result.n_users).alias("support")))
 
@@ -113,16 +92,15 @@ def _retained_counts(result) -> dict[int, int]:
     unioned first, so there is one count per (k, user, rest), one distinct
     (k, user) and one count per k, instead of a chain per level.
     """
-    parts = [_occurrences(result, 1).select(F.lit(1).alias("k"), USER,
-                                            F.lit(None).cast("array<string>").alias("rest_key"))]
+    none = F.col("prefix")      # empty at level 1, of the items' own type
+    parts = [_occurrences(result, 1).select(F.lit(1).alias("k"), USER, none.alias("rest_key"))]
     for lv in result.levels[1:]:
         _occurrences(result, lv.k - 1)
         sets = result.level(lv.k - 1).occurrence_sets()
         rests = sets.select(USER, "items", F.explode("items").alias("x"))
         parts.append(rests.select(
             F.lit(lv.k).alias("k"), USER,
-            F.transform(F.array_remove("items", F.col("x")), lambda v: v.cast("string"))
-            .alias("rest_key")))
+            F.array_remove("items", F.col("x")).alias("rest_key")))
     allk = parts[0]
     for p in parts[1:]:
         allk = allk.unionByName(p)

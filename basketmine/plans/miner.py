@@ -10,10 +10,11 @@ Data kept per level k:
 Level k+1 is one equi-self-join of ``occ_k`` on ``(user_id, prefix)`` with
 ``a.last < b.last`` (a user holds ``prefix+a+b`` iff it holds ``prefix+a``
 and ``prefix+b``), a ``groupBy(prefix, last).count`` with partial
-aggregation, the strict support filter, and a semi-join that keeps the
-occurrences of the sets that survived.  Only combinations that really
-occur in some basket are ever built, so there is no candidate explosion,
-and no basket array is ever scanned for containment.
+aggregation in the same stage, and the strict support filter.  The joined pairs
+are never stored.  The next occurrence table is built from the frequent sets:
+``occ_k`` joined to their extensions, semi-joined to ``occ_k`` again.  Only
+combinations that really occur in some basket are ever counted, and no basket
+array is ever scanned for containment.
 
 Level tables are small and cached (their lineage is one join back to the
 last written occurrence table); occurrence tables are written to shared
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from ..functions.itemsets import is_frequent, support
 from ..operators import prepare as prep
 from ..operators.pairs import DEFAULT_SKEW, SkewPolicy, pair_join
-from .runtime import ROW_OVERHEAD, materialize, maybe_broadcast, new_scratch
+from .runtime import ROW_OVERHEAD, delete_path, materialize, maybe_broadcast, new_scratch
 
 USER, ITEM = prep.USER, prep.ITEM
 
@@ -103,12 +104,10 @@ class MiningResult:
         return iteration_stats(self)
 
     def cleanup(self) -> None:
-        """Delete this run's files on shared storage (call when done)."""
+        """Delete this run's files on shared storage and its cached tables (call when done)."""
         for lv in self.levels:
             lv.table.unpersist()
-        spark = self.pairs.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.pairs.sparkSession, self.scratch)
 
 
 def _cache_level(table: DataFrame, measure_items: bool = False) -> tuple[DataFrame, int, int, int]:
@@ -121,7 +120,7 @@ def _cache_level(table: DataFrame, measure_items: bool = False) -> tuple[DataFra
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
     aggs = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("freq"), F.lit(0)).alias("occ")]
     if measure_items:
-        aggs.append(F.coalesce(F.max(F.length(F.col("last").cast("string"))), F.lit(0))
+        aggs.append(F.coalesce(F.max(F.octet_length(F.col("last").cast("string"))), F.lit(0))
                     .alias("len"))
     row = table.agg(*aggs).first()
     return table, int(row["n"]), int(row["occ"]), int(row["len"]) if measure_items else 0
@@ -164,6 +163,21 @@ def extend_occurrences(occ: DataFrame, n_occ: int | None, skew: SkewPolicy,
                         F.col("item_b").alias("last"))
 
 
+def keep_frequent(occ: DataFrame, table: DataFrame, n_bytes: int) -> DataFrame:
+    """Occurrences (user, prefix, last) of level k -> those of the frequent (k+1)-sets in `table`.
+
+    A user holds prefix + [last] + [b] iff the user holds prefix + [last], whose
+    frequent extensions `b` the level table tells, and prefix + [b].  Only rows
+    of frequent extensions are built.
+    """
+    grown = table.select(F.col("prefix").alias("_set"), F.col("last").alias("_next"))
+    held = occ.select(USER, "prefix", F.concat("prefix", F.array("last")).alias("_set"))
+    hits = held.join(maybe_broadcast(grown, n_bytes), "_set")
+    other = occ.select(USER, "prefix", F.col("last").alias("_next"))
+    return (hits.join(other, [USER, "prefix", "_next"], "left_semi")
+            .select(USER, F.col("_set").alias("prefix"), F.col("_next").alias("last")))
+
+
 def count_occurrences(occ_next: DataFrame, k: int) -> DataFrame:
     """(k, prefix, last, items, freq) over all candidates that occur.
 
@@ -179,7 +193,7 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
          max_item=None, max_user=None, user_bound: str = "inclusive",
          l1_count: str = "distinct", user_col: str = USER, item_col: str = ITEM,
          skew: SkewPolicy = DEFAULT_SKEW, keep_last_occurrences: bool = False,
-         persist_candidates: bool = True, scratch: str | None = None) -> MiningResult:
+         scratch: str | None = None) -> MiningResult:
     """Mine all itemsets with support > min_support (M1).
 
     ratings       any DataFrame with a user and an item column
@@ -191,8 +205,8 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
     l1_count      "distinct" (default) or "rows": level-1 support counts
                   rating rows, as the reference does (Q5)
     """
-    if min_support is None:
-        raise ValueError("min_support is required")
+    if min_support is None or not min_support >= 0:
+        raise ValueError("min_support is required and must not be negative")
     if user_bound not in ("inclusive", "reference"):
         raise ValueError("user_bound must be 'inclusive' or 'reference'")
     spark = ratings.sparkSession
@@ -220,9 +234,8 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
     k = 2
     while True:
         prev = levels[-1]
+        # Counted in the same stage that joins: the pairs are never stored.
         cand = extend_occurrences(prev.occurrences, prev.n_occurrences, skew, n1)
-        if persist_candidates:
-            cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
         counted = count_occurrences(cand, k).filter(is_frequent("freq", n_users, min_support))
         table, n_k, n_occ, _ = _cache_level(
             counted.withColumn("support", support("freq", n_users)))
@@ -230,12 +243,8 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
         go_on = n_k > 1 and (limit is None or k + 1 <= limit)
         level = Level(k, table, n_k, n_bytes=n_bytes)
         if go_on or keep_last_occurrences:
-            keep = maybe_broadcast(table.select("prefix", "last"), n_bytes)
-            occ = materialize(cand.join(keep, ["prefix", "last"], "left_semi"),
-                              f"{scratch}/occ/k={k}")
+            occ = materialize(keep_frequent(prev.occurrences, table, n_bytes), f"{scratch}/occ/k={k}")
             level.occurrences, level.n_occurrences = occ, n_occ
-        if persist_candidates:
-            cand.unpersist()
         levels.append(level)
         if not go_on:
             break

@@ -8,6 +8,7 @@ the master is local (tests, a laptop) do we create one ourselves.
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
@@ -43,8 +44,12 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (set one only in local mode)."""
+def shared_dir(spark: SparkSession, local_dir: str | None = None) -> str:
+    """The cluster's shared checkpoint folder.
+
+    Where none is set, only a local master gets one: `local_dir`, or else a
+    new temporary folder, of which the log tells.
+    """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if path:
@@ -53,7 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a folder every "
             "executor can reach (HDFS, S3, a shared mount)")
-    path = tempfile.mkdtemp(prefix="basketmine-cp-")
+    path = local_dir or tempfile.mkdtemp(prefix="basketmine-cp-")
+    logging.getLogger(__name__).warning("spark.checkpoint.dir is not set; using %s", path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir().rstrip("/")
 
@@ -74,6 +80,12 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever file system holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Byte limit for explicit broadcasts: the session's own threshold."""
     raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
@@ -87,12 +99,12 @@ def broadcast_limit(spark: SparkSession) -> int:
 def set_bytes(items) -> "F.Column":
     """Upper bound of the in-memory size of a set column.
 
-    Per member the larger of its text length and 8 bytes is at most
-    length + 8, so the joined text plus 8 bytes per member (plus array
-    overhead) bounds it; built-in, code-generated functions only.
+    Per member the larger of its text's bytes and 8 is at most bytes + 8, so
+    the joined text plus 8 bytes per member (plus array overhead) bounds it;
+    built-in, code-generated functions only.
     """
     text = F.array_join(items.cast("array<string>"), ",")
-    return (F.lit(16) + F.coalesce(F.length(text), F.lit(0))
+    return (F.lit(16) + F.coalesce(F.octet_length(text), F.lit(0))
             + F.lit(8) * F.coalesce(F.size(items), F.lit(0))).cast("long")
 
 
@@ -107,6 +119,18 @@ def row_bytes(*set_cols) -> "F.Column":
     return out
 
 
+def key_bytes(df: DataFrame, cols: list[str]) -> "F.Column":
+    """Upper bound of one row holding `cols` of `df`: sets, text or numbers."""
+    out = F.lit(ROW_OVERHEAD).cast("long")
+    for c in cols:
+        kind = df.schema[c].dataType.typeName()
+        if kind == "array":
+            out = out + set_bytes(F.col(c))
+        else:
+            out = out + F.lit(16) + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    return out
+
+
 def maybe_broadcast(df: DataFrame, n_bytes: int) -> DataFrame:
     """Broadcast `df` only when its measured size bound is small.
 

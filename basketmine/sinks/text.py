@@ -14,6 +14,14 @@ from ..functions.itemsets import FIELD_SEP, items_text, items_text_as_strings, r
 from ..sources.blocks import BLOCK_SEP
 
 
+def _checked(items):
+    """The set, if no item holds a separator of the text format."""
+    as_text = F.transform(items, lambda x: x.cast("string"))
+    bad = F.exists(as_text, lambda x: x.rlike("[,\t\r\n]"))
+    return F.when(bad, F.raise_error(F.concat(F.lit("an item holds a separator: "),
+                                              F.array_join(as_text, " | ")))).otherwise(items)
+
+
 def _write_text(value: DataFrame, path: str, partition_by: str | None = None,
                 line_sep: str | None = None) -> None:
     writer = value.write.mode("overwrite")
@@ -26,7 +34,7 @@ def _write_text(value: DataFrame, path: str, partition_by: str | None = None,
 
 def itemsets_text(itemsets: DataFrame) -> DataFrame:
     """K1 record: `i1,i2,.. \\t support` (with `k` kept for partitioning)."""
-    return itemsets.select("k", F.concat_ws(FIELD_SEP, items_text("items"),
+    return itemsets.select("k", F.concat_ws(FIELD_SEP, items_text(_checked(F.col("items"))),
                                             F.col("support").cast("string")).alias("value"))
 
 
@@ -38,7 +46,7 @@ def write_itemsets_text(itemsets: DataFrame, path: str, by_level: bool = True) -
 def write_baskets_text(baskets: DataFrame, path: str) -> None:
     """K2 record: `user \\t i1,i2,..`."""
     _write_text(baskets.select(F.concat_ws(FIELD_SEP, F.col("user_id").cast("string"),
-                                           items_text("items")).alias("value")), path)
+                                           items_text(_checked(F.col("items")))).alias("value")), path)
 
 
 def write_rules_text(rules: DataFrame, path: str, by_level: bool = True) -> None:
@@ -50,7 +58,7 @@ def write_rules_text(rules: DataFrame, path: str, by_level: bool = True) -> None
 
 def write_candidates_text(candidates: DataFrame, path: str, by_level: bool = True) -> None:
     """K4 record: one set per line, ids in string order as the reference sorts them."""
-    out = candidates.select("k", items_text_as_strings("items").alias("value"))
+    out = candidates.select("k", items_text_as_strings(_checked(F.col("items"))).alias("value"))
     _write_text(out if by_level else out.select("value"), path, "k" if by_level else None)
 
 
@@ -63,33 +71,51 @@ def write_result(result, path: str, with_rules: bool = True) -> None:
         result.rules().write.mode("overwrite").partitionBy("k").parquet(f"{path}/rules")
 
 
-def rating_blocks(ratings: DataFrame, max_block_rows: int = 100_000,
+def write_outputs(result, path: str, *, candidates: DataFrame | None = None,
+                  recommendations: DataFrame | None = None) -> None:
+    """Every output of a run: the parquet tables of `write_result` plus
+    statistics, candidates and recommendations, and the text forms (K1-K4) under `text/`."""
+    write_result(result, path)
+    result.stats().write.mode("overwrite").parquet(f"{path}/stats")
+    write_itemsets_text(result.itemsets(), f"{path}/text/itemsets")
+    write_baskets_text(result.baskets(), f"{path}/text/baskets")
+    write_rules_text(result.rules(), f"{path}/text/rules")
+    if candidates is not None:
+        candidates.write.mode("overwrite").partitionBy("k").parquet(f"{path}/candidates")
+        write_candidates_text(candidates, f"{path}/text/candidates")
+    if recommendations is not None:
+        recommendations.write.mode("overwrite").parquet(f"{path}/recommendations")
+
+
+def rating_blocks(ratings: DataFrame, max_block_rows: int | None = None,
                   by: tuple[str, ...] = ()) -> DataFrame:
     """(item_id, user_id, rating, rated_on) -> one text block per record.
 
-    An item with more than `max_block_rows` ratings is written as several
-    blocks (same header), spread by a hash of the user; readers group by
-    item over all blocks, so the result is the same and no record, task or
-    group has to hold a whole popular item.  `by` adds grouping columns
-    that are kept in the output (e.g. the target file of a block).
+    One block per item, as the rating files have it.  The text of one item is
+    one value, so it must fit a task; with `max_block_rows` an item with more
+    ratings is written as several blocks under the same header, spread by a hash
+    of the rating, and readers that group by item give the same result.  `by`
+    adds grouping columns that are kept in the output (e.g. the target file).
     """
     keys = [*by, "item_id"]
-    counts = ratings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = ratings.join(counts, keys)
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_block_rows)))
-    tagged = tagged.withColumn("_chunk", F.pmod(F.xxhash64("user_id", "rating", "rated_on"),
-                                                n_chunks))
+    tagged, chunk = ratings, []
+    if max_block_rows is not None:
+        counts = ratings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_block_rows)))
+        tagged = ratings.join(counts, keys).withColumn(
+            "_chunk", F.pmod(F.xxhash64("user_id", "rating", "rated_on"), n_chunks))
+        chunk = ["_chunk"]
     line = F.concat_ws(",", F.col("user_id").cast("string"),
                        F.coalesce(F.col("rating").cast("string"), F.lit("")),
                        F.coalesce(F.date_format("rated_on", "yyyy-MM-dd"), F.lit("")))
-    blocks = (tagged.groupBy(*keys, "_chunk")
+    blocks = (tagged.groupBy(*keys, *chunk)
               .agg(F.concat_ws("\n", F.collect_list(line)).alias("_lines")))
     return blocks.select(*by, F.concat(F.col("item_id").cast("string"), F.lit(":\n"),
                                        F.col("_lines")).alias("value"))
 
 
 def write_rating_blocks(ratings: DataFrame, path: str, raw: bool = False,
-                        max_block_rows: int = 100_000) -> None:
+                        max_block_rows: int | None = None) -> None:
     """K6: rating files, normalised (empty line between blocks) or raw."""
     _write_text(rating_blocks(ratings, max_block_rows), path,
                 line_sep="\n" if raw else BLOCK_SEP)
@@ -101,7 +127,8 @@ def write_named_text_files(value: DataFrame, folder: str, names: list[str],
 
     One pass: the rows are written once, partitioned by the index of their
     target name; Spark names its part files itself, so the parts are then
-    renamed through the Hadoop file system API (a metadata operation).
+    renamed one by one through the Hadoop file system API (on an object store
+    each rename is a copy).
     Rows whose name is not in `names` are not written.
     """
     spark = value.sparkSession

@@ -1,26 +1,28 @@
 """Rating-file readers.
 
-Input format (one movie per record):
+Input format (one movie after another, with or without empty lines between):
 
     <item_id>:
     <user_id>,<rating>,<date>
     ...
 
-* `read_rating_blocks` reads files whose records are separated by an empty
-  line (the normalised form): Spark's text source splits on "\\n\\n", so a
-  record never crosses tasks and no ordering is needed.
-* `read_raw_ratings` reads files without empty lines (the form of the
-  original download).  Splitting on ":\\n" yields one record per movie that
-  holds the ratings of that movie followed by the id of the *next* movie.
-  The owner of a record is therefore the trailing id of the record before
-  it in the same file: a `lag` over one small row per record within each
-  file split, the first record of a split taking the last id of the split
-  before it; the owners are joined back to the bodies.  Works across file
-  splits; it also reads normalised files.
+Files are read line by line, so no record, row or task ever holds a whole movie
+or file.  A header is a line that ends in ":".  The scan is written once to
+shared storage as (file, split, position, line), so positions are fixed whatever
+the split size is later.  A line's owner is the last header before it in its
+split, or else the last one of the splits before; the window spans one split.
+
+* `read_raw_ratings` ignores empty lines (the form of the original download).
+* `read_rating_blocks` reads the normalised form: an empty line ends a block,
+  so lines after it without a header of their own are malformed.
+
+LF and CRLF files read alike.  A rating line may have any number of fields; the
+first is the user id, a second and third are rating and date if they parse.
 
 Malformed input: mode="skip" drops a rating line whose user id is not a
-number and a whole record whose header is not a number; mode="fail"
-raises.  Ids are trimmed.  A header without ratings yields no rows.
+number and all lines under a header that is not a number; mode="fail"
+raises for either.  A file with lines but without any header raises in both
+modes.  Ids are trimmed.  A header without ratings yields no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ from ..functions.itemsets import normalise_blocks, strip_blank
 from ..plans.runtime import materialize, new_scratch
 
 # Fixed values of the reference's input: file names that hold ratings
-# (matched at the start of the name only, no end anchor) and the record
-# separators of the normalised and raw forms.
+# (matched at the start of the name only, no end anchor), the record separator
+# of the normalised form and the end of a header line.
 RATING_FILE_GLOB = "combined_data_*"
 RATING_FILE_REGEX = r"^combined_data_\d+\.txt"
 BLOCK_SEP = "\n\n"
-RAW_SEP = ":\n"
+HEADER_END = ":"
 
 
 def _scan(spark: SparkSession, path: str, line_sep: str, name_regex: str | None,
@@ -63,74 +65,97 @@ def _id(text: Column, mode: str, what: str) -> Column:
     raise ValueError("mode must be 'skip' or 'fail'")
 
 
-def _rating_rows(df: DataFrame, item: Column, body: Column, mode: str) -> DataFrame:
-    """(item, body) -> one row per rating line with exactly three fields."""
-    lines = df.select(item.alias("item_raw"), F.explode(F.split(body, "\n")).alias("line"))
+def _rating_rows(lines: DataFrame, mode: str) -> DataFrame:
+    """(item_raw, line) -> one row per rating line, whatever its number of fields.
+
+    Lines that are no rating lines come as null.  They are told apart inside the
+    expressions, as a filter may be evaluated after an id that raises.
+    """
     lines = lines.withColumn("f", F.split("line", ","))
-    lines = lines.filter(F.size("f") == 3)
+    there = F.col("line").isNotNull()
     out = lines.select(
-        _id(F.col("item_raw"), mode, "item id").alias("item_id"),
-        _id(F.col("f")[0], mode, "user id").alias("user_id"),
-        F.trim(F.col("f")[1]).try_cast("int").alias("rating"),
-        F.trim(F.col("f")[2]).try_cast("date").alias("rated_on"))
+        F.when(there, _id(F.col("item_raw"), mode, "item id")).alias("item_id"),
+        F.when(there, _id(F.col("f")[0], mode, "user id")).alias("user_id"),
+        F.trim(F.get("f", F.lit(1))).try_cast("int").alias("rating"),
+        F.trim(F.get("f", F.lit(2))).try_cast("date").alias("rated_on"))
     return out.filter(F.col("item_id").isNotNull() & F.col("user_id").isNotNull())
 
 
 def parse_rating_blocks(blocks: DataFrame, mode: str = "skip") -> DataFrame:
     """`value` holding whole blocks -> (item_id, user_id, rating, rated_on).
 
-    A record that holds several movies without empty lines between them is
-    first split at each header (F10), so every block has one header.
+    For text that is already in a column.  A value that holds several movies
+    without empty lines between them is first split at each header (F10), so
+    every block has one header.
     """
-    one = blocks.select(F.explode(F.split(normalise_blocks("value"), BLOCK_SEP)).alias("value"))
-    text = strip_blank("value")
-    parts = one.select(F.split(text, ":", 2).alias("p"))
+    text = F.regexp_replace("value", "\r\n", "\n")
+    one = blocks.select(F.explode(F.split(normalise_blocks(text), BLOCK_SEP)).alias("value"))
+    parts = one.select(F.split(strip_blank("value"), HEADER_END, 2).alias("p"))
     parts = parts.filter(F.size("p") == 2)
-    return _rating_rows(parts, F.col("p")[0], F.col("p")[1], mode)
+    lines = parts.select(F.col("p")[0].alias("item_raw"),
+                         F.explode(F.split(F.col("p")[1], "\n")).alias("line"))
+    rating = F.when(F.trim("line") != "", F.col("line"))
+    return _rating_rows(lines.select("item_raw", rating.alias("line")), mode)
+
+
+def _owned_lines(lines: DataFrame, blank_ends_block: bool) -> DataFrame:
+    """(file, block, pos, line) -> adds `owner`, the struct of the header a line belongs to."""
+    header = F.when(F.col("line").endswith(HEADER_END), F.struct(
+        F.expr("substring(line, 1, length(line) - 1)").alias("id")))
+    if blank_ends_block:
+        header = header.when(F.col("line") == "", F.struct(F.lit(None).cast("string").alias("id")))
+    rows = lines.withColumn("head", header)
+    upto = (Window.partitionBy("file", "block").orderBy("pos")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # One row per split: its last header, and the last header of the splits before it.
+    splits = rows.groupBy("file", "block").agg(
+        F.max_by("head", F.when(F.col("head").isNotNull(), F.col("pos"))).alias("tail"),
+        F.max(F.col("line").endswith(HEADER_END)).alias("any_header"),
+        F.max(F.col("line") != "").alias("any_line"))
+    of_file = Window.partitionBy("file")
+    before = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = splits.select("file", "block", F.last("tail", ignorenulls=True).over(before).alias("carry"),
+                          (F.max("any_line").over(of_file) & ~F.max("any_header").over(of_file))
+                          .alias("headless"))
+    here = rows.withColumn("here", F.last("head", ignorenulls=True).over(upto))
+    return (here.join(carry, ["file", "block"])
+            .withColumn("owner", F.coalesce("here", "carry")))
+
+
+def _read(spark: SparkSession, path: str, mode: str, name_regex: str | None,
+          path_glob: str | None, blank_ends_block: bool) -> DataFrame:
+    scan = _scan(spark, path, "\n", name_regex, path_glob).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+        strip_blank("value").alias("line"))
+    if not blank_ends_block:
+        scan = scan.filter(F.col("line") != "")
+    lines = materialize(scan, new_scratch(spark, "rating-lines"))
+    owned = _owned_lines(lines, blank_ends_block)
+    is_header = F.col("line").endswith(HEADER_END)
+    wanted = ~is_header & (F.col("line") != "")
+    if mode == "fail":
+        bad = is_header & F.trim(F.col("owner.id")).try_cast("bigint").isNull()
+        wanted = F.when(bad, F.raise_error(F.concat(F.lit("bad item id: "), "line"))).otherwise(wanted)
+    no_header = F.raise_error(F.concat(F.lit("no header line in "), "file")).cast("boolean")
+    wanted = F.when(F.col("headless"), no_header).otherwise(wanted)
+    item = F.col("owner.id")
+    if mode == "fail":
+        item = F.coalesce(item, F.lit(""))      # a line before any header
+    return _rating_rows(owned.select(item.alias("item_raw"), F.when(wanted, F.col("line")).alias("line")), mode)
 
 
 def read_rating_blocks(spark: SparkSession, path: str, mode: str = "skip",
                        name_regex: str | None = None, path_glob: str | None = None) -> DataFrame:
     """Normalised rating files -> (item_id, user_id, rating, rated_on)."""
-    return parse_rating_blocks(_scan(spark, path, BLOCK_SEP, name_regex, path_glob), mode)
+    return _read(spark, path, mode, name_regex, path_glob, blank_ends_block=True)
 
 
 def read_raw_ratings(spark: SparkSession, path: str, mode: str = "skip",
                      name_regex: str | None = None, path_glob: str | None = None) -> DataFrame:
     """Raw rating files (no empty lines) -> (item_id, user_id, rating, rated_on)."""
-    recs = _scan(spark, path, RAW_SEP, name_regex, path_glob).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        "value")
-    # Trailing id of every record: the id of the next movie in the file.  One
-    # small row per record, written once to shared storage, so the text is
-    # scanned twice in all (here and for the bodies) whatever comes next.
-    heads = materialize(
-        recs.select("file", "block", "pos",
-                    F.regexp_extract("value", r"(?:^|\n)[ \t]*(\d+)[ \t]*\z", 1)
-                    .alias("next_id")),
-        new_scratch(spark, "raw-heads"))
-    # Owner = trailing id of the previous record of the same file.  Inside a
-    # split that is a lag over the split's own records; the first record of
-    # a split takes the last trailing id of the previous split, from a table
-    # with one row per split.  No window spans more than a split.
-    in_split = Window.partitionBy("file", "block").orderBy("pos")
-    owners = heads.select("file", "block", "pos",
-                          F.lag("next_id").over(in_split).alias("item_raw"))
-    splits = (heads.groupBy("file", "block")
-              .agg(F.min("pos").alias("pos"), F.max_by("next_id", "pos").alias("tail")))
-    by_split = Window.partitionBy("file").orderBy("block")
-    carry = splits.select("file", "block", "pos", F.lag("tail").over(by_split).alias("carry"))
-    owners = (owners.join(carry, ["file", "block", "pos"], "left")
-              .select("file", "block", "pos",
-                      F.coalesce("item_raw", "carry").alias("item_raw")))
-    owners = owners.filter(F.col("item_raw").isNotNull() & (F.col("item_raw") != ""))
-    # One small row per record; AQE broadcasts it when its measured size is
-    # below the threshold and keeps a shuffle join otherwise.
-    bodies = recs.select("file", "block", "pos", "value")
-    joined = bodies.join(owners, ["file", "block", "pos"])
-    return _rating_rows(joined, F.col("item_raw"), F.col("value"), mode)
+    return _read(spark, path, mode, name_regex, path_glob, blank_ends_block=False)
 
 
 def select_rating_files(spark: SparkSession, path: str, name_regex: str = RATING_FILE_REGEX,

@@ -11,8 +11,10 @@ from basketmine import mine
 from basketmine.functions.itemsets import min_count_above
 from basketmine.operators.candidates import generate_candidates
 from basketmine.operators.fpgrowth import fpgrowth_itemsets
-from basketmine.operators.pairs import SkewPolicy, hot_groups, pair_join
-from basketmine.operators.support import candidate_support, count_support
+from basketmine.operators.containment import count_support, held_sets
+from basketmine.operators.pairs import SkewPolicy, bucket_pairs, hot_groups, pair_join
+from basketmine.operators.recommend import recommend
+from basketmine.operators.support import candidate_support
 from basketmine.sources import tables
 
 SF001 = "/root/testdata/sf0.001"
@@ -59,29 +61,85 @@ def test_fpgrowth_agrees(spark):
         assert ours == theirs
 
 
-def test_salting_gives_the_same_result(spark):
+def test_splitting_gives_the_same_result(spark):
     ratings = tables.order_brands(spark, SF001)
     plain = sets_of(mine(ratings, 0.003).itemsets())
-    salted = sets_of(mine(ratings, 0.003,
-                          skew=SkewPolicy(max_pairs_per_task=1, max_salts=4)).itemsets())
-    sampled = sets_of(mine(ratings, 0.003, skew=SkewPolicy(max_pairs_per_task=1, max_salts=4,
-                                                           sample_rows=50)).itemsets())
-    assert plain == salted == sampled
+    split = sets_of(mine(ratings, 0.003, skew=SkewPolicy(max_pairs_per_task=4)).itemsets())
+    assert plain == split
 
 
 def test_pair_join_splits_a_hot_group(spark):
     df = spark.range(0, 300).select(F.lit(1).alias("g"), F.col("id").alias("x"))
     df = df.unionByName(spark.range(0, 5).select(F.lit(2).alias("g"), F.col("id").alias("x")))
-    policy = SkewPolicy(max_pairs_per_task=1000, max_salts=8)
-    hot = {r["g"]: r["_s"] for r in hot_groups(df.withColumnRenamed("x", "_item"), ["g"], 305,
-                                                   policy).collect()}
-    assert hot == {1: 8}                       # 300 rows -> 44850 pairs -> capped at 8
-    salted = pair_join(df, ["g"], "x", skew=policy)
+    policy = SkewPolicy(max_pairs_per_task=1000)
+    hot = {r["g"]: r["_b"] for r in hot_groups(df, ["g"], policy).collect()}
+    assert hot == {1: 10}                      # 300 rows in buckets of about 31
+    split = pair_join(df, ["g"], "x", skew=policy)
+    # A stated row count, however large, changes nothing.
+    stated = pair_join(df, ["g"], "x", skew=policy, n_rows=10 ** 11)
     plain = pair_join(df, ["g"], "x", max_group=2)
     want = 300 * 299 // 2 + 5 * 4 // 2
-    assert salted.count() == want == plain.count()
-    assert salted.distinct().count() == want
-    assert salted.filter(F.col("item_a") >= F.col("item_b")).count() == 0
+    for pairs in (split, stated, plain):
+        assert pairs.count() == want == pairs.distinct().count()
+        assert pairs.filter(F.col("item_a") >= F.col("item_b")).count() == 0
+
+
+def test_no_bucket_pair_of_a_large_group_is_much_above_the_limit(spark):
+    policy = SkewPolicy()
+    base = spark.range(0, 100_000).select(F.lit(7).alias("g"), F.col("id").alias("_item"))
+    left, right = bucket_pairs(base, hot_groups(base, ["g"], policy), ["g"])
+    n_left = left.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("l"))
+    n_right = right.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("r"))
+    work = n_left.join(n_right, ["_i", "_j"])
+    pairs = F.when(F.col("_i") == F.col("_j"), F.col("l") * (F.col("r") - 1) / 2).otherwise(F.col("l") * F.col("r"))
+    got = work.agg(F.max(pairs).alias("most"), F.sum(pairs).alias("all")).first()
+    assert got["most"] <= 2 * policy.max_pairs_per_task
+    assert got["all"] == 100_000 * 99_999 // 2
+
+
+def test_held_sets_on_plain_tables(spark):
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "c")],
+                                  "user_id long, item_id string")
+    sets = spark.createDataFrame([(["b", "a"],), (["a"],), (["a", "b", "c"],), (["c", "x"],), ([],)],
+                                 "items array<string>")
+    got = {(r["user_id"], tuple(r["items"])) for r in held_sets(pairs, sets).collect()}
+    assert got == {(1, ("b", "a")), (2, ("b", "a")), (1, ("a",)), (2, ("a",)), (1, ("a", "b", "c"))}
+    assert held_sets(pairs, sets.limit(0)).collect() == []
+
+
+def test_rules_deeper_than_the_run_apply(spark, f2_small):
+    """Rules of a full run score the same on a run that stopped at level 2."""
+    rules = f2_small.rules()
+    short = mine(tables.order_types(spark, SF001), 0.05, max_len=2)
+    want = {tuple(r) for r in recommend(f2_small).collect()}
+    assert {tuple(r) for r in recommend(short, rules).collect()} == want
+    assert {tuple(r) for r in recommend(f2_small.baskets(), rules).collect()} == want
+
+
+def test_size_bounds_count_bytes(spark):
+    from basketmine.plans.runtime import set_bytes
+    text = "\u65e5\u672c" * 24
+    df = spark.createDataFrame([([text],)], "items array<string>")
+    assert df.select(set_bytes(F.col("items"))).first()[0] >= len(text.encode())
+    res = mine(spark.createDataFrame([(1, text), (2, text)], "user_id long, item_id string"), 0.1)
+    assert res.level(1).max_item_len == len(text.encode())
+
+
+def test_cleanup_leaves_nothing(spark):
+    import os
+    res = mine(tables.order_types(spark, SF001), 0.05)
+    path = res.scratch.removeprefix("file:")
+    assert os.path.isdir(path)
+    res.cleanup()
+    assert not os.path.exists(path) and not any(lv.table.is_cached for lv in res.levels)
+
+
+def test_bad_arguments(spark, f2_small):
+    ratings = tables.order_types(spark, SF001)
+    with pytest.raises(ValueError):
+        mine(ratings, -1)
+    with pytest.raises(ValueError):
+        generate_candidates(f2_small.level(1).table, 2, "other")
 
 
 def test_prefix_and_union_candidates(spark):
@@ -94,9 +152,8 @@ def test_prefix_and_union_candidates(spark):
     u = sets_of(candidate_support(res, 3, "union"))
     p = sets_of(candidate_support(res, 3, "prefix"))
     assert p <= u
-    # the generic two-parent join gives the same supports
-    generic = count_support(generate_candidates(lv.table, 3, "union"), lv.occurrences,
-                            res.n_users)
+    # containment of the candidates in plain baskets gives the same supports
+    generic = count_support(generate_candidates(lv.table, 3, "union"), res.baskets(), res.n_users)
     assert sets_of(generic) == u
     assert max(f for _, f in u) / res.n_users <= 0.02     # |L_3| = 0 for F4
 

@@ -67,6 +67,70 @@ def test_fail_mode_raises(spark, write_text):
         blocks.read_rating_blocks(spark, path, mode="fail").collect()
 
 
+def test_ragged_lines_are_kept(spark, write_text):
+    text = "1:\n101\n102,4\n103,4,2005-01-03\n104,4,2005-01-04,extra\n105,4,\n"
+    want = {(1, 101, None), (1, 102, 4), (1, 103, 4), (1, 104, 4), (1, 105, 4)}
+    for reader in (blocks.read_rating_blocks, blocks.read_raw_ratings):
+        for mode in ("skip", "fail"):
+            rows = reader(spark, write_text({"a.txt": text}), mode).collect()
+            assert {(r["item_id"], r["user_id"], r["rating"]) for r in rows} == want
+
+
+def test_crlf_files_read_like_lf_files(spark, write_text):
+    for normalised in (True, False):
+        path = write_text({"a.txt": f1_text(normalised=normalised).replace("\n", "\r\n")})
+        for reader in (blocks.read_rating_blocks, blocks.read_raw_ratings):
+            assert pairs(reader(spark, path, "fail")) == F1_ROWS
+
+
+def test_file_without_a_header_raises(spark, write_text):
+    path = write_text({"a.txt": "1:\n101,3,2005-01-01\n", "b.txt": "101,3,2005-01-01\n"})
+    with pytest.raises(Exception, match="no header line"):
+        blocks.read_raw_ratings(spark, path).collect()
+    # an empty file is no fault
+    assert pairs(blocks.read_raw_ratings(spark, write_text({"a.txt": "1:\n7\n", "b.txt": "\n"}))) == {(1, 7)}
+
+
+def test_lines_without_a_header_of_their_own(spark, write_text):
+    early = write_text({"a.txt": "99,1\n1:\n101,3\n"})
+    assert pairs(blocks.read_raw_ratings(spark, early)) == {(1, 101)}
+    loose = write_text({"a.txt": "1:\n101,3\n\n102,3\n\n2:\n103,1\n"})
+    assert pairs(blocks.read_rating_blocks(spark, loose)) == {(1, 101), (2, 103)}
+    for path, reader in ((early, blocks.read_raw_ratings), (loose, blocks.read_rating_blocks)):
+        with pytest.raises(Exception, match="bad item id"):
+            reader(spark, path, "fail").collect()
+
+
+def test_raw_reader_fails_on_a_bad_header(spark, write_text):
+    path = write_text({"a.txt": "1:\n101,3\nx2:\n102,3\n"})
+    assert pairs(blocks.read_raw_ratings(spark, path)) == {(1, 101)}
+    with pytest.raises(Exception, match="bad item id"):
+        blocks.read_raw_ratings(spark, path, "fail").collect()
+
+
+def test_rows_survive_a_change_of_the_split_size(spark, write_text):
+    text = "".join(f"{i}:\n" + "".join(f"{1000 * i + j},3,2005-01-01\n" for j in range(20)) for i in range(1, 119))
+    path = write_text({"a.txt": text})
+    for before, after in (("4096", "9000"), ("300", "100000"), ("100000", "70")):
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            rows = blocks.read_raw_ratings(spark, path)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", after)
+            assert pairs(rows) == {(i, 1000 * i + j) for i in range(1, 119) for j in range(20)}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_items_keep_their_blanks_and_separators_are_refused(spark, tmp_path):
+    sets = spark.createDataFrame([(1, [" pad "], 1, 0.5)], "k int, items array<string>, freq long, support double")
+    sinks.write_itemsets_text(sets, str(tmp_path / "pad"))
+    assert readers.read_itemsets_text(spark, str(tmp_path / "pad")).first()["items"] == [" pad "]
+    with pytest.raises(Exception, match="separator"):
+        sinks.write_itemsets_text(sets.withColumn("items", F.array(F.lit("a,b"))), str(tmp_path / "bad"))
+
+
 def test_same_movie_in_two_files_and_duplicates(spark, write_text):
     path = write_text({"combined_data_1.txt": "1:\n101,3,2005-01-01\n101,3,2005-01-01\n",
                        "combined_data_2.txt": "1:\n102,3,2005-01-01\n"})
@@ -98,6 +162,13 @@ def test_block_writer_round_trip_splits_hot_items(spark, f1_ratings, tmp_path, r
         assert n_blocks > 5          # items with more than 2 ratings were split
 
 
+def test_block_writer_writes_one_block_per_item(spark, f1_ratings, tmp_path):
+    sinks.write_rating_blocks(f1_ratings, str(tmp_path / "whole"))
+    headers = [r["value"].split(":")[0] for r in
+               spark.read.option("lineSep", "\n\n").text(str(tmp_path / "whole")).collect()]
+    assert sorted(headers) == ["1", "10", "2", "3", "7"]
+
+
 def test_text_round_trips(spark, f1_ratings, tmp_path):
     from basketmine import mine
     from basketmine.operators.candidates import generate_candidates
