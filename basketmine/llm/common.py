@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_sample(df: DataFrame, key: Column, max_rows: int) -> DataFrame:
+    """At most `max_rows` rows of `df`, the same ones however it is partitioned.
+
+    Rows are taken in order of a hash of `key`.  A filter on the hash first
+    leaves about 1.5 * max_rows of them, so that tasks hand on few rows whatever
+    their number.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    share = 1.5 * max_rows / max(1, df.count())
+    few = df if share >= 1 else df.filter(place < int(share * (1 << 40)))
+    return few.orderBy(place, key).limit(max_rows)
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

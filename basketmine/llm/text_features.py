@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketmine.llm.common import MAX_CACHED_WORDS
+from basketmine.llm.common import MAX_CACHED_WORDS, hash_sample
 
 DIM = 1 << 18
 GRAM = 4
@@ -91,12 +91,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, *, doc_id
                     text: str, columns: list[str]) -> tuple[list, list[np.ndarray]]:
     """A deterministic sample of labelled documents, at most `max_rows`: label rows and features.
 
-    The rows with the smallest hash of their id are taken, so the sample does
-    not depend on partitioning.  The chosen ids (a bounded list) are joined to
+    Rows are taken in order of a hash of their id, so the sample does not
+    depend on partitioning.  The chosen ids (a bounded list) are joined to
     the documents; only their features come to the driver.
     """
-    chosen = (labels.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-              .orderBy(F.xxhash64(doc_id), doc_id).limit(max_rows)
+    chosen = (hash_sample(labels.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]),
+                          F.col(doc_id), max_rows)
               .select(F.col(doc_id).alias("_tf_id"), *[F.col(c).alias(f"_tf_{c}") for c in columns]))
     rows = (docs.select(F.col(doc_id).alias("_tf_doc"), F.col(text).alias("_tf_text"))
             .join(F.broadcast(chosen), F.col("_tf_doc") == F.col("_tf_id"))
