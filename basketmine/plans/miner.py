@@ -11,8 +11,9 @@ Level k+1 is one equi-self-join of ``occ_k`` on ``(user_id, prefix)`` with
 ``a.last < b.last`` (a user holds ``prefix+a+b`` iff it holds ``prefix+a``
 and ``prefix+b``), a ``groupBy(prefix, last).count`` with partial
 aggregation in the same stage, and the strict support filter.  The joined pairs
-are never stored.  The next occurrence table is built from the frequent sets:
-``occ_k`` joined to their extensions, semi-joined to ``occ_k`` again.  Only
+are never stored.  The next occurrence table comes from a second such join
+filtered by the broadcast level table, or, when that is too large, from ``occ_k``
+joined to the frequent extensions and semi-joined to ``occ_k`` again.  Only
 combinations that really occur in some basket are ever counted, and no basket
 array is ever scanned for containment.
 
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from ..functions.itemsets import is_frequent, support
 from ..operators import prepare as prep
 from ..operators.pairs import DEFAULT_SKEW, SkewPolicy, pair_join
-from .runtime import ROW_OVERHEAD, delete_path, materialize, maybe_broadcast, new_scratch
+from .runtime import (ROW_OVERHEAD, can_broadcast, delete_path, materialize, maybe_broadcast,
+                      new_scratch)
 
 USER, ITEM = prep.USER, prep.ITEM
 
@@ -144,7 +146,8 @@ def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support
     occ = pairs.join(maybe_broadcast(table.select(F.col("last").alias(ITEM)), n_bytes),
                      ITEM, "left_semi")
     occ = occ.select(USER, empty.alias("prefix"), F.col(ITEM).alias("last"))
-    occ = materialize(occ, f"{scratch}/occ/k=1")
+    if not can_broadcast(pairs.sparkSession, n_bytes):   # else a filter of the pairs' own scan
+        occ = materialize(occ, f"{scratch}/occ/k=1")
     return Level(1, table, n1, occ, n_occ, n_bytes, item_len)
 
 
@@ -163,16 +166,22 @@ def extend_occurrences(occ: DataFrame, n_occ: int | None, skew: SkewPolicy,
                         F.col("item_b").alias("last"))
 
 
-def keep_frequent(occ: DataFrame, table: DataFrame, n_bytes: int) -> DataFrame:
+def keep_frequent(occ: DataFrame, table: DataFrame, n_bytes: int, *, n_occ: int | None = None,
+                  skew: SkewPolicy = DEFAULT_SKEW, n_frequent_items: int | None = None) -> DataFrame:
     """Occurrences (user, prefix, last) of level k -> those of the frequent (k+1)-sets in `table`.
 
-    A user holds prefix + [last] + [b] iff the user holds prefix + [last], whose
-    frequent extensions `b` the level table tells, and prefix + [b].  Only rows
-    of frequent extensions are built.
+    While the level table can be broadcast, the pairs are joined once more and
+    filtered in the same stage: nothing but `occ` is shuffled.  Beyond that a
+    user holds prefix + [last] + [b] iff the user holds prefix + [last], whose
+    frequent extensions `b` the level table tells, and prefix + [b]; only rows of
+    frequent extensions are built and shuffled.
     """
+    if can_broadcast(occ.sparkSession, n_bytes):
+        pairs = extend_occurrences(occ, n_occ, skew, n_frequent_items)
+        return pairs.join(F.broadcast(table.select("prefix", "last")), ["prefix", "last"], "left_semi")
     grown = table.select(F.col("prefix").alias("_set"), F.col("last").alias("_next"))
     held = occ.select(USER, "prefix", F.concat("prefix", F.array("last")).alias("_set"))
-    hits = held.join(maybe_broadcast(grown, n_bytes), "_set")
+    hits = held.join(grown, "_set")
     other = occ.select(USER, "prefix", F.col("last").alias("_next"))
     return (hits.join(other, [USER, "prefix", "_next"], "left_semi")
             .select(USER, F.col("_set").alias("prefix"), F.col("_next").alias("last")))
@@ -243,7 +252,9 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
         go_on = n_k > 1 and (limit is None or k + 1 <= limit)
         level = Level(k, table, n_k, n_bytes=n_bytes)
         if go_on or keep_last_occurrences:
-            occ = materialize(keep_frequent(prev.occurrences, table, n_bytes), f"{scratch}/occ/k={k}")
+            kept = keep_frequent(prev.occurrences, table, n_bytes, n_occ=prev.n_occurrences,
+                                 skew=skew, n_frequent_items=n1)
+            occ = materialize(kept, f"{scratch}/occ/k={k}")
             level.occurrences, level.n_occurrences = occ, n_occ
         levels.append(level)
         if not go_on:

@@ -131,6 +131,11 @@ def key_bytes(df: DataFrame, cols: list[str]) -> "F.Column":
     return out
 
 
+def can_broadcast(spark: SparkSession, n_bytes: int) -> bool:
+    """Is a measured size bound within the session's broadcast threshold?"""
+    return 0 <= n_bytes <= broadcast_limit(spark)
+
+
 def maybe_broadcast(df: DataFrame, n_bytes: int) -> DataFrame:
     """Broadcast `df` only when its measured size bound is small.
 
@@ -140,7 +145,4 @@ def maybe_broadcast(df: DataFrame, n_bytes: int) -> DataFrame:
     Spark plans a shuffle join (AQE may still broadcast it after measuring
     the real shuffle size).
     """
-    limit = broadcast_limit(df.sparkSession)
-    if limit > 0 and n_bytes <= limit:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if can_broadcast(df.sparkSession, n_bytes) else df

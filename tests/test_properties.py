@@ -176,3 +176,14 @@ def test_rows_mode_differs_on_duplicates(spark):
 def test_min_count_above(n, t, m):
     assert min_count_above(n, t) == m
     assert m / n > t and not (m - 1) / n > t
+
+
+def test_levels_without_any_broadcast(spark):
+    """The same sets when no level table may be broadcast (the other way to keep occurrences)."""
+    ratings = tables.order_types(spark, SF001)
+    want = sets_of(mine(ratings, 0.05).itemsets())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sets_of(mine(ratings, 0.05).itemsets()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
