@@ -12,12 +12,12 @@ from .operators.support import (candidate_support, iteration_stats, retained_bas
                                 retained_users)
 from .plans.miner import Level, MiningResult, mine
 from .plans.run import run
-from .plans.runtime import session
+from .plans.runtime import free_scratch, scratch_scope, session
 
 __all__ = [
     "Level", "MiningResult", "SkewPolicy", "association_rules", "baskets", "bounded_ratings",
     "candidate_support", "count_support", "count_users", "distinct_user_count",
-    "filter_rules", "fpgrowth_itemsets", "frequent_items", "generate_candidates", "held_sets",
+    "filter_rules", "fpgrowth_itemsets", "free_scratch", "frequent_items", "generate_candidates", "held_sets",
     "holders_of", "item_support", "iteration_stats", "mine", "pair_join", "prune_candidates",
-    "recommend", "retain_baskets", "retained_baskets", "retained_users", "run", "session", "union_generators", "with_rule_text",
+    "recommend", "retain_baskets", "retained_baskets", "retained_users", "run", "scratch_scope", "session", "union_generators", "with_rule_text",
 ]

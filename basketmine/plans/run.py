@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.candidates import generate_candidates
@@ -9,6 +11,7 @@ from ..operators.recommend import recommend
 from ..sinks.text import write_outputs
 from ..sources.blocks import read_rating_blocks, read_raw_ratings
 from .miner import MiningResult, mine
+from .runtime import scratch_scope
 
 
 def all_candidates(result: MiningResult) -> DataFrame:
@@ -31,16 +34,18 @@ def run(spark: SparkSession, input_path: str, output_path: str, *, min_support:
     """Rating files -> itemsets, baskets, candidates, rules, statistics, recommendations.
 
     Reads `input_path` (raw files, or blocks with `normalised`), mines, and writes
-    every output below `output_path` (see `write_outputs`).  With `cleanup` the
-    run's own scratch files are deleted after that; the returned result then
-    still knows its sizes, but its tables are to be read from `output_path`.
+    every output below `output_path` (see `write_outputs`).  With `cleanup` all
+    scratch files and cached tables of the run are freed after that; the returned
+    result then still knows its sizes, but its tables are to be read from
+    `output_path`.
     """
     read = read_rating_blocks if normalised else read_raw_ratings
-    ratings = read(spark, input_path, mode, name_regex, path_glob)
-    result = mine(ratings, min_support, max_len, max_item=max_item, max_user=max_user,
-                  user_bound=user_bound, l1_count=l1_count)
-    write_outputs(result, output_path, candidates=all_candidates(result),
-                  recommendations=recommend(result, min_confidence=min_confidence, top_n=top_n))
-    if cleanup:
-        result.cleanup()
+    with scratch_scope(spark, "files-to-outputs") if cleanup else contextlib.nullcontext():
+        ratings = read(spark, input_path, mode, name_regex, path_glob)
+        result = mine(ratings, min_support, max_len, max_item=max_item, max_user=max_user,
+                      user_bound=user_bound, l1_count=l1_count)
+        write_outputs(result, output_path, candidates=all_candidates(result),
+                      recommendations=recommend(result, min_confidence=min_confidence, top_n=top_n))
+        if cleanup:
+            result.cleanup()
     return result

@@ -8,6 +8,7 @@ the master is local (tests, a laptop) do we create one ourselves.
 
 from __future__ import annotations
 
+import contextlib
 import logging
 import tempfile
 import uuid
@@ -64,9 +65,38 @@ def shared_dir(spark: SparkSession, local_dir: str | None = None) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_scopes: list[str] = []      # open scratch scopes, innermost last
+
+
+def _app_scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/basketmine/{spark.sparkContext.applicationId}"
+
+
 def new_scratch(spark: SparkSession, label: str = "run") -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{shared_dir(spark)}/basketmine/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the shared checkpoint folder, in the innermost open scope."""
+    base = _scopes[-1] if _scopes else _app_scratch(spark)
+    return f"{base}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, label: str = "scope"):
+    """Deletes everything that `new_scratch` handed out inside the block.
+
+    For work that ends inside the block, such as one that writes its results:
+    a DataFrame built inside cannot be read after it.
+    """
+    path = new_scratch(spark, label)
+    _scopes.append(path)
+    try:
+        yield path
+    finally:
+        _scopes.remove(path)
+        delete_path(spark, path)
+
+
+def free_scratch(spark: SparkSession) -> None:
+    """Delete all scratch folders of this application (once its results are no longer read)."""
+    delete_path(spark, _app_scratch(spark))
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:

@@ -187,3 +187,22 @@ def test_levels_without_any_broadcast(spark):
         assert sets_of(mine(ratings, 0.05).itemsets()) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_run_frees_its_scratch(spark, write_text, tmp_path):
+    import os
+
+    from basketmine.plans.runtime import _app_scratch, free_scratch, new_scratch, scratch_scope
+    from basketmine import run
+    from conftest import f1_text
+    base = _app_scratch(spark).removeprefix("file:")
+    free_scratch(spark)
+    cached = spark._jsc.getPersistentRDDs().size()
+    res = run(spark, write_text({"a.txt": f1_text()}), str(tmp_path / "out"), min_support=0.3, max_user=200)
+    assert spark.read.parquet(str(tmp_path / "out" / "rules")).count() == 28 and res.n_users == 6
+    left = [f for _, _, files in os.walk(base) for f in files]
+    assert left == [] and spark._jsc.getPersistentRDDs().size() == cached
+    with scratch_scope(spark):
+        inner = new_scratch(spark, "x")
+        spark.range(3).write.parquet(inner)
+    assert not os.path.exists(inner.removeprefix("file:")) and not new_scratch(spark).startswith(inner)
