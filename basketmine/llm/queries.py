@@ -189,6 +189,22 @@ def op8_shingle_join(spark, d):
     out = chosen_path.join(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "class_id", "n_links")
 
+
+# All pairs that share a shingle, compared exactly; classes by reachability.
+SQL_OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM pos),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c / (a.n + b.n - c) >= 0.8),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT r.doc_id, min(r.c) AS class_id, CAST((SELECT count(*) FROM e WHERE e.x = r.doc_id) AS BIGINT) AS n_links
+FROM r GROUP BY r.doc_id
+"""
+
 # --------------------------------------------------------------- op9
 
 
@@ -222,4 +238,5 @@ ORACLES = {
     "op1_quality_rules": SQL_OP1,
     "op5_mix_sources": SQL_OP5,
     "op6_url_filter": _sql_op6(),
+    "op8_shingle_join": SQL_OP8,
 }
