@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketmine.llm.boosting import BoostedTrees
+from basketmine.llm.common import hash_sample
 from basketmine.llm.dom import N_FEATURES, Page
 
 MAX_SEEDS = 300          # pages the trees are fitted on
@@ -227,9 +228,8 @@ def extract_pages(html: list[str | None], model: BoostedTrees) -> list[tuple[str
 def train(pages: DataFrame, html: str = "html", max_seeds: int = MAX_SEEDS) -> BoostedTrees:
     """Fit on the pages with an `article` element whose hash is smallest, at most `max_seeds`."""
     h = F.col(html)
-    seeds = (pages.filter(h.contains("<article") & (F.length(h) <= MAX_SEED_CHARS)).select(h.alias("h"))
-             .orderBy(F.xxhash64("h"), "h").limit(max_seeds).collect())
-    return fit([r["h"] for r in seeds])
+    seeds = pages.filter(h.contains("<article") & (F.length(h) <= MAX_SEED_CHARS)).select(h.alias("h"))
+    return fit([r["h"] for r in hash_sample(seeds, F.col("h"), max_seeds).collect()])
 
 
 def main_text(html: Column, model: BoostedTrees) -> Column:
