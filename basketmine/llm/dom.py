@@ -17,6 +17,7 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}}
 # An open element of CLOSES is looked for up to these.
+_NOT_P = BLOCK - {"p"}
 FENCE = frozenset("ul ol menu dl table tbody thead tfoot body div section article".split())
 
 # Words of class, id, role and aria-label, and tags, by what they usually mark.
@@ -69,16 +70,15 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
-                self._text(" " if tag == "br" else "")
+            if tag == "br":
+                self._text(" ")
             self.block += tag == "hr"
             return
         if tag in SILENT:
             self.silent += 1
         elif tag in BLOCK:
             self.block += 1
-            if any(t == "p" for t, _ in self.open[1:]):
-                self._pop("p", frozenset(BLOCK - {"p"}))
+            self._pop("p", _NOT_P)       # a block ends an open paragraph
             for old in CLOSES.get(tag, ()):
                 self._pop(old, FENCE)
         self.links += tag == "a"
@@ -132,9 +132,8 @@ class Page(HTMLParser):
         if at == 0 and not data.strip():
             return
         self.pieces.append((at, self.block, data))
-        n = len(data) - data.count(" ") if len(data) < 5 else len(data)
-        node = self.nodes[at]
-        if data.strip():
+        n, node = len(data.strip()), self.nodes[at]
+        if n:
             node.own += n
             node.chars += n
             node.words += data.count(" ") + 1
