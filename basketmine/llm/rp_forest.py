@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketmine.llm.common import hash_sample
 from basketmine.plans.runtime import materialize, new_scratch
 
 TREES = 8
@@ -144,7 +145,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, *, vec_id: str = "v
     rows = materialize(clean(index).filter(F.size("v") == dim).dropDuplicates(["id", "v"])
                        .withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1)
                        .select("id", "v"), new_scratch(spark, "rp-rows"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()["v"]
+    sample = hash_sample(rows, F.col("id"), sample_rows).select("v").toArrow()["v"]
     forest = Forest(_unit(_matrix(sample.combine_chunks(), dim)), trees, depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
