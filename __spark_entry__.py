@@ -308,8 +308,7 @@ def q_itemset_text_roundtrip(spark, d):
 
 def _outputs(spark, path):
     """Every output of a run read back from `path` as (output, k, key, value)."""
-    def read(name):
-        return spark.read.parquet(f"{path}/{name}")
+    read = sinks.read_outputs(spark, path).__getitem__
 
     def rows(df, output, k, key, value):
         return df.select(F.lit(output).alias("output"), F.col(k).cast("int").alias("k") if isinstance(k, str)

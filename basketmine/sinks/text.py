@@ -87,6 +87,26 @@ def write_outputs(result, path: str, *, candidates: DataFrame | None = None,
         recommendations.write.mode("overwrite").parquet(f"{path}/recommendations")
 
 
+def read_outputs(spark, path: str) -> dict[str, DataFrame]:
+    """The parquet tables of `write_outputs`, by name.
+
+    A table written by level has no file at all when it is empty, so its schema
+    is stated here; the item type comes from the baskets, which are not.
+    """
+    baskets = spark.read.parquet(f"{path}/baskets")
+    sets = baskets.schema["items"].dataType.simpleString()
+    item = baskets.schema["items"].dataType.elementType.simpleString()
+    by_level = {
+        "itemsets": f"items {sets}, freq long, support double, k int",
+        "candidates": f"items {sets}, k int",
+        "rules": f"antecedent {sets}, consequent {item}, confidence double, support double, "
+                 "antecedent_support double, k int",
+    }
+    out = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in by_level.items()}
+    return out | {"baskets": baskets} | {name: spark.read.parquet(f"{path}/{name}")
+                                         for name in ("stats", "recommendations")}
+
+
 def rating_blocks(ratings: DataFrame, max_block_rows: int | None = None,
                   by: tuple[str, ...] = ()) -> DataFrame:
     """(item_id, user_id, rating, rated_on) -> one text block per record.

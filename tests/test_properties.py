@@ -194,12 +194,18 @@ def test_a_run_frees_its_scratch(spark, write_text, tmp_path):
 
     from basketmine.plans.runtime import _app_scratch, free_scratch, new_scratch, scratch_scope
     from basketmine import run
+    from basketmine.sinks.text import read_outputs
     from conftest import f1_text
     base = _app_scratch(spark).removeprefix("file:")
     free_scratch(spark)
     cached = spark._jsc.getPersistentRDDs().size()
     res = run(spark, write_text({"a.txt": f1_text()}), str(tmp_path / "out"), min_support=0.3, max_user=200)
     assert spark.read.parquet(str(tmp_path / "out" / "rules")).count() == 28 and res.n_users == 6
+    # Nothing is frequent: the tables by level are empty and still readable.
+    none = str(tmp_path / "none")
+    run(spark, write_text({"a.txt": f1_text()}), none, min_support=0.99)
+    assert {n: t.count() for n, t in read_outputs(spark, none).items()} == {
+        "itemsets": 0, "candidates": 0, "rules": 0, "baskets": 0, "stats": 2, "recommendations": 0}
     left = [f for _, _, files in os.walk(base) for f in files]
     assert left == [] and spark._jsc.getPersistentRDDs().size() == cached
     with scratch_scope(spark):
