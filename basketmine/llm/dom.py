@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 # Fixed tag sets of HTML.
@@ -63,6 +64,7 @@ class Page(HTMLParser):
         self.nodes = [Node("#", -1, 0, 0, 0)]
         self.pieces: list[tuple[int, int, str]] = []
         self.open: list[tuple[str, int]] = [("#", 0)]     # (tag, its node or that around it)
+        self.n_open = Counter()                           # open elements by tag
         self.silent, self.links, self.block, self.at = 0, 0, 0, 0
         self.feed(html)
         self.close()
@@ -99,6 +101,7 @@ class Page(HTMLParser):
             at = len(self.nodes) - 1
         self.nodes[at].tags += 1
         self.open.append((tag, at))
+        self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -112,9 +115,12 @@ class Page(HTMLParser):
 
     def _pop(self, tag, fence) -> None:
         """Close the innermost open `tag` and all inside it, unless an element of `fence` is between."""
+        if not self.n_open[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 for t, _ in self.open[i:]:
+                    self.n_open[t] -= 1
                     self.silent -= t in SILENT
                     self.links -= t == "a"
                 del self.open[i:]
@@ -156,15 +162,19 @@ class Page(HTMLParser):
         """One row per node: subtree density, attribute tokens, depth, place and siblings."""
         nodes, total = self.nodes, max(1, self.nodes[0].chars)
         above = [0] * len(nodes)                           # marks of all ancestors
+        # Of each node's children, once: the most characters, how many per tag, how many are links.
+        most_of = [max((nodes[c].chars for c in n.children), default=0) for n in nodes]
+        tags_of = [Counter(nodes[c].tag for c in n.children) for n in nodes]
+        links_of = [sum(nodes[c].link > 0.5 * nodes[c].chars for c in n.children) for n in nodes]
         out = []
         for i, node in enumerate(nodes):
             up = nodes[node.parent] if i else node
             if i:
                 above[i] = above[node.parent] | up.marks
             chars, kids = node.chars, up.children
-            most = max((nodes[c].chars for c in kids), default=0) if i else chars
-            same = sum(nodes[c].tag == node.tag for c in kids) if i else 1
-            linked = sum(nodes[c].link > 0.5 * nodes[c].chars for c in kids) if i else 0
+            most = most_of[node.parent] if i else chars
+            same = tags_of[node.parent][node.tag] if i else 1
+            linked = links_of[node.parent] if i else 0
             row = [chars, chars / total, node.link / max(1, chars), chars / (1 + node.tags), node.punct / max(1, node.words),
                    chars / max(1, node.pieces), node.words, node.tags, len(node.children), node.depth,
                    node.start / total, (node.start + chars) / total, node.own / max(1, chars),
