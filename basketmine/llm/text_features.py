@@ -5,6 +5,10 @@ A text becomes the set of its hashed features: lower-cased words, character
 binned counts (share of distinct words, words equal to the one before, repeated
 lines).  Presence only: how often a feature occurs does not count, so a very
 long text is one set like any other.
+
+Words end at Unicode white space and are taken whole, however long: a text
+without spaces (Chinese, Japanese, Thai) is one word with all its 4-grams and
+shapes.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ from basketmine.llm.common import MAX_CACHED_WORDS, hash_sample
 
 DIM = 1 << 18
 GRAM = 4
+SHAPE_WINDOW = 20            # longer shapes become all their windows of this length
+LONGEST_CACHED = 200         # bytes; the features of longer words are not remembered
+# White space beyond ASCII in UTF-8: U+0085, U+00A0, U+1680, U+2000-200A, U+2028-2029, U+202F, U+205F, U+3000.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _SHAPE = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1{2,}"), r"\1\1\1"))
 
 
@@ -31,31 +39,36 @@ def _bucket(token: str) -> int:
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    """Buckets of one word: itself, its 4-grams and its shape."""
-    low = word.lower()[:200]
+    """Buckets of one word: itself, its 4-grams and the windows of its shape."""
+    low = word.lower()
     out = {_bucket("w" + low)}
     letters = "".join(c for c in low if c.isalnum())
     padded = f"^{letters}$"
     out.update(_bucket("g" + padded[i:i + GRAM]) for i in range(len(padded) - GRAM + 1))
     shape = "U" if word.isupper() and len(letters) > 1 else ""
-    short = word[:200]
+    short = word
     for pattern, to in _SHAPE:
         short = pattern.sub(to, short)
-    out.add(_bucket("s" + shape + short[:20]))
+    out.update(_bucket("s" + shape + short[i:i + SHAPE_WINDOW])
+               for i in range(max(1, len(short) - SHAPE_WINDOW + 1)))
     return tuple(out)
 
 
+def _words(data: bytes) -> list[bytes]:
+    return (data if data.isascii() else _WIDE_SPACE.sub(b" ", data)).split()
+
+
 class Featurizer(dict):
     """text -> sorted array of its feature buckets; remembers a bounded number of words."""
 
     def __missing__(self, word: bytes):
         f = word_features(word.decode("utf-8", "replace"))
-        if len(self) < MAX_CACHED_WORDS:
+        if len(self) < MAX_CACHED_WORDS and len(word) <= LONGEST_CACHED:
             self[word] = f
         return f
 
     def features(self, data: bytes | None) -> np.ndarray:
-        words = (data or b"").split()
+        words = _words(data or b"")
         distinct = set(words)
         found = set(chain.from_iterable(map(self.__getitem__, distinct)))
         found.update(self._bins(data or b"", words, distinct))

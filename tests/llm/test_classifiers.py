@@ -19,6 +19,21 @@ def make_docs(spark, n=400):
     return spark.createDataFrame(rows, "doc_id long, text string, grade int, tail int, score string")
 
 
+def test_long_words_are_taken_whole():
+    f = tf.Featurizer()
+    grams = lambda *words: {tf._bucket("g" + w) for w in words}
+    # Text without spaces is one word: what comes late in it counts.
+    late = "".join(chr(0x4E00 + i) for i in range(3000)) + "終わりの文"
+    assert grams("終わりの", "りの文$") <= set(f.features(late.encode()).tolist())
+    assert not len(f)                                                     # and is not kept in the cache
+    assert tf._bucket("s" + "a-" * 9 + "?9") in tf.word_features("ab-" * 300 + "?7")
+    assert f.features(("x" * 300 + "1").encode()).tolist() != f.features(("x" * 300 + "2").encode()).tolist()
+    # Any white space parts words.
+    plain = f.features(b"one two two three").tolist()
+    for space in "\u00a0\u2009\u202f\u3000\x85":
+        assert f.features("one two two three".replace(" ", space).encode()).tolist() == plain
+
+
 def test_ordinal_fit_recovers_the_order():
     rng = np.random.default_rng(1)
     x = [np.array(sorted(set(rng.integers(0, 40, 6))), dtype=np.int32) for _ in range(3000)]
