@@ -13,6 +13,8 @@ SILENT = frozenset("script style template noscript head title iframe svg math ob
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset "
                   "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu "
                   "nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+# What may stand in head; any other start tag, or text, ends a head left open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A start tag of the key ends an open element of the values (end tags that HTML lets one leave out).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -71,6 +73,8 @@ class Page(HTMLParser):
         self._sum()
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop("head", frozenset())
         if tag in VOID:
             if tag == "br":
                 self._text(" ")
@@ -132,6 +136,8 @@ class Page(HTMLParser):
         self._text(data)
 
     def _text(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self._pop("head", frozenset())
         if self.silent or not data:
             return
         at = self.open[-1][1]

@@ -47,6 +47,17 @@ def test_another_layout(model):
     assert extraction.extract_pages([page], model)[0][0] == want
 
 
+def test_head_without_end_tag():
+    rest = "<article><p>Hello</p><p>World</p></article>"
+    head = "<html><head><meta charset=utf-8><title>x</title><style>p {}</style><script>var a;</script>"
+    for page in (f"{head}<body>{rest}</body></html>", f"{head}{rest}</html>", f"{head}</head><body>{rest}</body></html>",
+                 f"{head}<img src=a>{rest}", f"<head><noscript><link><body>{rest}"):
+        p = Page(page)
+        assert p.text([True] * len(p.nodes)) == "Hello World", page
+    p = Page(f"{head}Text first {rest}")
+    assert p.text([True] * len(p.nodes)) == "Text first Hello World"
+
+
 def test_decoding_is_consistent():
     page = Page("<div><p>main one</p><div class=x><p>a</p><p>b</p></div></div><div><p>other</p></div>")
     rng = np.random.default_rng(0)
