@@ -11,6 +11,12 @@ notation; whoever holds the key can reverse them.
 The permutation is E^-1(E(x) + 1 mod N), E a Feistel network with cycle
 walking: one cycle over all N values, so no value is ever its own pseudonym.
 
+A card or IBAN may stand next to other groups of digits or capitals.  In a run
+of such groups every place that may hold one is tried, the usual notations
+first, and the rest of the run again after a find.  A pseudonym that would make
+a place tried before it valid is permuted once more, so the way back finds the
+same places; only there does a value get another pseudonym than elsewhere.
+
 Documents are handled one by one in Arrow batches, without a shuffle; texts
 without a digit or '@' never leave the JVM.
 """
@@ -96,6 +102,17 @@ def put_digits(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+# Groups of digits that cards are printed in, by how soon they are tried (a lone group comes first).
+CARD_SHAPES = {(4, 4, 4, 4): 2, (4, 6, 5): 2, (4, 6, 4): 2, (4, 4, 4, 4, 3): 3}
+CARD_GROUPS = 5               # in a longer row of groups these are tried: see Pseudonyms._card_places
+# Length of the IBANs of each country; other lengths are tried after it.
+IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CR CH HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC"}.items() for c in cs.split()}
+LONGEST_PLACE = 50            # above the characters of any card or IBAN
+
 _ALPHABETS = ((string.digits, string.digits), (string.ascii_lowercase,) * 2,
               (string.ascii_uppercase, string.ascii_lowercase))
 
@@ -107,7 +124,9 @@ class Pseudonyms:
     EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
     IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
     IPV4 = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])")
-    CARD = re.compile(r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9])")
+    # Runs of groups in which IBANs and cards are looked for.
+    IBAN_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*(?: [A-Z0-9]+)*(?![A-Za-z0-9])")
+    CARD_RUN = re.compile(r"(?<![\w.])(?=[0-9](?:[ -]?[0-9]){12})[0-9]+(?:[ -][0-9]+)*(?!\w|\.[0-9])")
     SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
     DATE = re.compile(r"(?<![\w./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})"
                       r"|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![\w/-]|\.[0-9])")
@@ -151,19 +170,34 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out)) + "." + tld
 
-    def card(self, value: str, back=False) -> str | None:
+    # Places depend on the groups only, not on their digits or letters; `order` may ask for more.
+
+    @staticmethod
+    def card_valid(value: str, order: int = 0) -> bool:
+        if value[0] not in ("6" if order == 1 else "23456"):
+            return False
         d = re.sub("[ -]", "", value)
-        if not 13 <= len(d) <= 19 or d[0] not in "23456" or luhn_digit(d[:-1]) != d[-1]:
+        return 13 <= len(d) <= 19 and luhn_digit(d[:-1]) == d[-1]
+
+    @staticmethod
+    def iban_valid(value: str, order: int = 1) -> bool:
+        v = value.replace(" ", "")
+        return (15 <= len(v) <= 34 and (order > 0 or IBAN_LENGTH.get(v[:2]) == len(v))
+                and iban_check(v[:2], v[4:]) == v[2:4])
+
+    def card(self, value: str, back=False) -> str | None:
+        if not self.card_valid(value):
             return None
+        d = re.sub("[ -]", "", value)
         # The issuer class (first digit) stays, the check digit follows.
         body = d[0] + self._digits("card" + d[0], d[1:-1], back)
         return put_digits(value, body + luhn_digit(body))
 
     def iban(self, value: str, back=False) -> str | None:
-        v = value.replace(" ", "")
-        country, check, body = v[:2], v[2:4], v[4:]
-        if not 15 <= len(v) <= 34 or iban_check(country, body) != check:
+        if not self.iban_valid(value):
             return None
+        v = value.replace(" ", "")
+        country, body = v[:2], v[4:]
         sets = [string.digits if c.isdigit() else string.ascii_uppercase for c in body]
         x, n = 0, 1
         for c, s in zip(body, sets):
@@ -241,19 +275,102 @@ class Pseudonyms:
             self.seen[k] = getattr(self, kind)(value, back)
         return self.seen[k]
 
+    def _card_places(self, text: str, start: int, end: int):
+        """(order, start, end) of the places in a run of digit groups that may hold a card.
+
+        Up to CARD_GROUPS groups all rows of groups with 13-19 digits are tried;
+        of more groups the longest row from the left or at the end of the run,
+        and rows of equal groups between others.
+        """
+        groups = [m.span() for m in re.compile("[0-9]+").finditer(text, start, end)]
+        size = [e - s for s, e in groups]
+        left = 0                                          # where the longest row from the left starts
+        for i, (s, _) in enumerate(groups):
+            n, ends = 0, []
+            for j in range(i, len(groups)):
+                n += size[j]
+                if n > 19:
+                    break
+                if n >= 13:
+                    ends.append(j)
+            first = i == left
+            if first:
+                left = ends[-1] + 1 if ends else i + 1
+            for j in ends:
+                shape = tuple(size[i:j + 1])
+                order = 0 if i == j else CARD_SHAPES.get(shape, 4)
+                if order == 3:
+                    yield 1, s, groups[j][1]              # for issuers with longer numbers
+                alike = (len(set(shape)) == 1 and (i == 0 or size[i - 1] != size[i])
+                         and (j + 1 == len(groups) or size[j + 1] != size[j]))
+                last = j + 1 == len(groups) and (i == 0 or sum(size[i - 1:]) > 19)
+                if len(shape) <= CARD_GROUPS or first and j == ends[-1] or alike or last:
+                    yield order, s, groups[j][1]
+
+    def _iban_places(self, text: str, start: int, end: int):
+        """(order, start, end) of the places in a run of groups that may hold an IBAN."""
+        groups = [m.span() for m in re.compile("[A-Z0-9]+").finditer(text, start, end)]
+        for i, (s, _) in enumerate(groups):
+            if not re.compile("[A-Z]{2}[0-9]{2}").match(text, s):
+                continue
+            n = 0
+            for b, e in (groups[j] for j in range(i, len(groups))):
+                n += e - b
+                if n > 34:
+                    break
+                if n >= 15 and self.IBAN.fullmatch(text[s:e]):
+                    yield 0, s, e                         # if the length is that of the country
+                    yield 1, s, e
+
+    def _in_runs(self, kind: str, text: str, taken: list[tuple[int, int]], back: bool):
+        """Cards or IBANs outside the places in `taken` (sorted), as (start, end, kind, new value)."""
+        places, valid = getattr(self, f"_{kind}_places"), getattr(self, f"{kind}_valid")
+        for run in getattr(self, f"{kind.upper()}_RUN").finditer(text):
+            a, b = run.span()
+            used = bytearray(b - a)
+            k = max(0, bisect.bisect_left(taken, (a, a)) - 1)
+            while k < len(taken) and taken[k][0] < b:
+                for at in range(max(a, taken[k][0]), min(b, taken[k][1])):
+                    used[at - a] = 1
+                k += 1
+            chosen, failed = [], {}                       # failed: start -> (end, order)
+            for order, s, e in sorted(places(text, a, b), key=lambda p: (p[0], p[1], -p[2])):
+                if 1 in used[s - a:e - a]:
+                    continue
+                if not valid(text[s:e], order):
+                    failed.setdefault(s, []).append((e, order))
+                    continue
+                used[s - a:e - a] = b"\1" * (e - s)
+                chosen.append((s, e, [(p, q, o) for p in range(max(a, s - LONGEST_PLACE), e)
+                                      for q, o in failed.get(p, ()) if q > s]))
+            now = list(text[a:b]) if chosen else []
+            for s, e, before in reversed(chosen) if back else chosen:
+                new = text[s:e]
+                while True:
+                    new = self.replace(kind, new, back)
+                    now[s - a:e - a] = new
+                    if not any(valid("".join(now[p - a:q - a]), o) for p, q, o in before):
+                        break
+                yield s, e, kind, new
+
     def rewrite(self, text: str, back=False) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with all valid values replaced, and their spans in the given text."""
         found, taken = [], []
         for kind in self.KINDS:
             if kind == "email" and "@" not in text:
                 continue
+            if kind in ("card", "iban"):
+                found += self._in_runs(kind, text, taken, back)
+                taken = sorted((s, e) for s, e, _, _ in found)
+                continue
             for m in getattr(self, kind.upper()).finditer(text):
-                if any(m.start() < e and s < m.end() for s, e in taken):
+                k = bisect.bisect_left(taken, (m.end(),))
+                if k and taken[k - 1][1] > m.start():
                     continue
                 new = self.replace(kind, m.group(), back)
                 if new is not None:
                     found.append((m.start(), m.end(), kind, new))
-            taken = [(s, e) for s, e, _, _ in found]
+            taken = sorted((s, e) for s, e, _, _ in found)
         found.sort()
         out, at = [], 0
         for s, e, _, new in found:

@@ -62,6 +62,39 @@ def test_kinds_and_validation():
     assert pii.iban_check(check[:2], check[4:]) == check[2:4]
 
 
+def test_cards_and_ibans_next_to_other_groups():
+    cases = {"born 1990-02-28 4845168114407329": ["1990-02-28", "4845168114407329"],
+             "4111111111111111 12/25": ["4111111111111111"],
+             "card 4111 1111 1111 1111 123": ["4111 1111 1111 1111"],
+             "order 12 4111111111111111": ["4111111111111111"],
+             "4111-1111-1111-1111-123": ["4111-1111-1111-1111"],
+             "2024 4111 1111 1111 1111 1234 3782 822463 10005": ["4111 1111 1111 1111", "3782 822463 10005"],
+             "12 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1": [" ".join("4111111111111111")],
+             "4111111111111111 4845168114407329 7": ["4111111111111111", "4845168114407329"],
+             "pay BE68 5390 0754 7034 2024 now": ["BE68 5390 0754 7034"],
+             "REF AB12 DE89 3704 0044 0532 0130 00 EUR": ["DE89 3704 0044 0532 0130 00"],
+             "BE68539007547034 DE89370400440532013000": ["BE68539007547034", "DE89370400440532013000"]}
+    for text, values in cases.items():
+        new, spans = P.rewrite(text)
+        assert [text[s:e] for _, s, e in spans] == values, text
+        for v in values:
+            kind = "date" if v.startswith("1990") else "iban" if v[0].isalpha() else "card"
+            assert getattr(P, kind)(v) in new and len(new) == len(text)
+        assert P.rewrite(new, back=True)[0] == text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text("0123456789", min_size=1, max_size=5),
+                          st.text("23456", min_size=4, max_size=4),
+                          st.sampled_from(["4111 1111 1111 1111", "4845168114407329", "3782 822463 10005"])),
+                min_size=1, max_size=14))
+def test_runs_of_digit_groups_come_back(groups):
+    text = " ".join(groups)
+    new, spans = P.rewrite(text)
+    assert P.rewrite(new, back=True)[0] == text
+    assert all(P.card_valid(text[s:e]) and P.card_valid(new[s:e]) and new[s:e] != text[s:e] for _, s, e in spans)
+
+
 def test_column(spark):
     rows = [(1, "a@b.example.com and a@b.example.com"), (2, None), (3, ""), (4, "clean text"),
             (5, "see a@b.example.com"), (6, "x" * 200_000 + " 4111111111111111 @" + "y" * 200_000), (5, "1")]
