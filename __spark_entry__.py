@@ -271,7 +271,7 @@ def q_select_rating_files(spark, d):
     name = F.coalesce(*[F.when(F.col("l_returnflag") == k, F.lit(v))
                         for k, v in FILE_OF_FLAG.items()], F.lit(OTHER_FILE))
     ratings = rows.select("item_id", "user_id", "rating", "rated_on", name.alias("file_name"))
-    text = sinks.rating_blocks(ratings, by=("file_name",))
+    text = sinks.block_lines(sinks.rating_lines(ratings, by=("file_name",)), normalised=False, by=("file_name",))
     sinks.write_named_text_files(text, path, [*FILE_OF_FLAG.values(), OTHER_FILE])
     return blocks.read_raw_ratings(spark, path, name_regex=blocks.RATING_FILE_REGEX,
                                    path_glob=blocks.RATING_FILE_GLOB).select("item_id", "user_id")
@@ -441,29 +441,24 @@ def _ragged_lines(spark, d):
     return li.select(F.col("l_partkey").alias("item_id"), line.alias("line"))
 
 
-def _blocks_of(lines, sep):
-    return lines.groupBy("item_id").agg(F.concat_ws(sep, F.collect_list("line")).alias("body")).select(
-        F.concat(F.col("item_id").cast("string"), F.lit(":" + sep), "body").alias("value"))
-
-
 def q_ragged_rating_lines(spark, d):
     path = new_scratch(spark, "ragged")
-    _blocks_of(_ragged_lines(spark, d), "\n").write.option("lineSep", "\n\n").text(path)
+    sinks.write_block_lines(_ragged_lines(spark, d), path)
     return blocks.read_rating_blocks(spark, path, mode="fail")
 
 
 def q_crlf_rating_files(spark, d):
     path = new_scratch(spark, "crlf")
-    _blocks_of(_ragged_lines(spark, d), "\r\n").write.option("lineSep", "\r\n").text(path)
+    sinks.write_block_lines(_ragged_lines(spark, d), path, raw=True, line_sep="\r\n")
     return blocks.read_raw_ratings(spark, path, mode="fail")
 
 
 def q_split_bundled_blocks(spark, d):
-    """Up to ten movies in one text value, split at their headers."""
-    one = _blocks_of(_ragged_lines(spark, d), "\n")
-    key = F.split("value", ":")[0].cast("long")
-    bundle = one.groupBy(F.floor(key / 10).alias("b")).agg(
-        F.concat_ws("\n", F.collect_list("value")).alias("value"))
+    """Up to ten movies in one text value, split at their headers; a value holds some 10,000 lines at most."""
+    rows = sinks.block_lines(_ragged_lines(spark, d), normalised=False, max_block_rows=1000)
+    lines = F.sort_array(F.collect_list(F.struct("_item", "_kind", "value")))
+    bundle = rows.groupBy(F.floor(F.col("_item").cast("long") / 10).alias("b"), "_chunk").agg(
+        F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("value"))
     return blocks.parse_rating_blocks(bundle.select("value"))
 
 

@@ -1,14 +1,13 @@
 """Which users hold which sets: containment on plain tables.
 
-`held_sets(pairs, sets)` finds every (user, set) with the set inside the user's
-items.  The members of each set are ordered from rare to frequent and the sets
-are walked as a prefix tree: users who hold a prefix are joined to the prefixes
-one member longer, and a semi-join against the pairs keeps those who hold the
-added member.  So a user meets only sets whose rarest members the user holds;
-there is no scan of all baskets against all sets.
-
-The walk takes as many rounds as the largest set has members; each round's
-holders are written to shared storage.
+Sets are found by an inverted index on their two rarest members.  A basket meets
+a set only if it holds both, which one equi-join on the rarest member and a look
+into the basket tell; then the whole set is verified against the basket.  There
+is no scan of all baskets against all sets, and the number of joins does not
+depend on the size of the sets.
+
+`held_sets` returns all holders; `holders` stops at a user's first verified set
+of each index entry, by a semi-join.
 """
 
 from __future__ import annotations
@@ -23,51 +22,69 @@ from . import prepare as prep
 USER, ITEM = prep.USER, prep.ITEM
 
 
+def whole_baskets(baskets: DataFrame) -> DataFrame:
+    """(user_id, items) with one row per user and every item once, null items left out."""
+    return (baskets.filter("items IS NOT NULL").groupBy(USER)
+            .agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+            .withColumn("items", F.array_compact("items")))
+
+
 def basket_pairs(baskets: DataFrame) -> DataFrame:
     """(user_id, items) -> distinct (user_id, item_id)."""
     return baskets.select(USER, F.explode("items").alias(ITEM)).distinct()
 
 
-def held_sets(pairs: DataFrame, sets: DataFrame, scratch: str | None = None) -> DataFrame:
-    """(user_id, items) for every set of `sets` (column `items`) that a user holds.
+def set_index(baskets: DataFrame, sets: DataFrame, scratch: str) -> tuple[DataFrame, int]:
+    """(items, r1, r2) of each distinct set, its two rarest members, and a bound of its bytes.
 
-    `pairs` are distinct (user_id, item_id).  Sets count once each, whatever
-    their order; a set with an item that nobody holds, and the empty set, are
-    held by nobody.
+    A set of one member has r1 = r2.  Empty sets, sets with a null and sets with
+    an item that no basket holds are left out: nobody holds them.
     """
-    spark = pairs.sparkSession
-    scratch = scratch or new_scratch(spark, "held")
-    wanted = sets.select("items").distinct()
+    wanted = sets.select("items").distinct().filter((F.size("items") > 0) & ~F.exists("items", lambda x: x.isNull()))
     members = wanted.select("items", F.explode(F.array_distinct("items")).alias(ITEM))
-    counts = pairs.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = members.join(counts, ITEM, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    path = F.transform(F.sort_array(F.collect_list(F.struct("_n", ITEM))), lambda x: x[ITEM])
+    counts = baskets.select(F.explode("items").alias(ITEM)).groupBy(ITEM).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = members.join(counts, ITEM, "left")
     # A set's members form one group; its size is that of the set.
-    paths = materialize(ranked.groupBy("items").agg(path.alias("path"), F.min("_n").alias("_least"))
-                        .filter("_least > 0").select("items", "path"), f"{scratch}/paths")
-    size = paths.agg(F.coalesce(F.max(F.size("path")), F.lit(0)).alias("k"),
-                     F.coalesce(F.sum(key_bytes(paths, ["items", "path"])), F.lit(0)).alias("b")).first()
-    held, done = None, []
-    for i in range(1, size["k"] + 1):
-        steps = (paths.filter(F.size("path") >= i)
-                 .select(F.slice("path", 1, i - 1).alias("path"), F.col("path")[i - 1].alias(ITEM)).distinct())
-        steps = maybe_broadcast(steps, size["b"])
-        if i == 1:
-            grown = pairs.join(steps.select(ITEM), ITEM, "left_semi").select(
-                USER, F.array(ITEM).alias("path"))
-        else:
-            grown = (held.join(steps, "path").join(pairs, [USER, ITEM], "left_semi")
-                     .select(USER, F.concat("path", F.array(ITEM)).alias("path")))
-        held = materialize(grown, f"{scratch}/step={i}")
-        full = maybe_broadcast(paths.filter(F.size("path") == i), size["b"])
-        done.append(held.join(full, "path").select(USER, "items"))
-    if not done:
-        return pairs.filter(F.lit(False)).select(
-            USER, F.lit(None).cast(sets.schema["items"].dataType).alias("items"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    rare = F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col(ITEM).alias("x"))))
+    index = (ranked.groupBy("items").agg(rare.alias("rare")).filter("rare[0].n > 0")
+             .selectExpr("items", "rare[0].x as r1", "coalesce(get(rare, 1).x, rare[0].x) as r2"))
+    index = materialize(index, f"{scratch}/index")
+    n_bytes = index.agg(F.coalesce(F.sum(key_bytes(index, ["items", "r1", "r2"])), F.lit(0))).first()[0]
+    return index, int(n_bytes)
+
+
+def _met(baskets: DataFrame, index: DataFrame, n_bytes: int) -> DataFrame:
+    """(user_id, basket, r1, r2): the index entries whose two members a basket holds."""
+    entries = index.select(F.col("r1").alias(ITEM), "r2").distinct()
+    return (baskets.select(USER, F.col("items").alias("basket"), F.explode("items").alias(ITEM))
+            .join(maybe_broadcast(entries, n_bytes), ITEM).filter("array_contains(basket, r2)")
+            .withColumnRenamed(ITEM, "r1"))
+
+
+def held_sets(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) -> DataFrame:
+    """(user_id, items) for every set of `sets` (column `items`) that a user holds.
+
+    `baskets` is (user_id, items); several rows of a user are one basket.  Sets
+    count once each, whatever their order; the empty set and sets with a null are
+    held by nobody.
+    """
+    whole = whole_baskets(baskets)
+    index, n_bytes = set_index(whole, sets, scratch or new_scratch(baskets.sparkSession, "held"))
+    met = _met(whole, index, n_bytes).join(maybe_broadcast(index, n_bytes), ["r1", "r2"])
+    return met.filter(contains_all("basket", "items")).select(USER, "items")
+
+
+def holders(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) -> DataFrame:
+    """(user_id), repeated: the users that hold at least one set.
+
+    A semi-join takes each index entry a basket meets at the first of its sets
+    that the basket holds; no table of held sets is made.
+    """
+    whole = whole_baskets(baskets)
+    index, n_bytes = set_index(whole, sets, scratch or new_scratch(baskets.sparkSession, "holders"))
+    met, sets_of = _met(whole, index, n_bytes).alias("m"), maybe_broadcast(index, n_bytes).alias("s")
+    same = (F.col("m.r1") == F.col("s.r1")) & (F.col("m.r2") == F.col("s.r2"))
+    return met.join(sets_of, same & contains_all("m.basket", "s.items"), "left_semi").select(USER)
 
 
 def count_support(candidates: DataFrame, baskets: DataFrame, n_users: int) -> DataFrame:
@@ -76,7 +93,7 @@ def count_support(candidates: DataFrame, baskets: DataFrame, n_users: int) -> Da
     Candidates that no basket holds are absent, as in the reference, whose
     reducer only sees candidates that were emitted.
     """
-    held = held_sets(basket_pairs(baskets), candidates)
+    held = held_sets(baskets, candidates)
     return (held.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
             .select(F.size("items").alias("k"), "items", "freq",
                     support("freq", n_users).alias("support")))
@@ -84,8 +101,7 @@ def count_support(candidates: DataFrame, baskets: DataFrame, n_users: int) -> Da
 
 def retain_baskets(baskets: DataFrame, candidates: DataFrame) -> DataFrame:
     """Baskets that hold at least one candidate, items unchanged."""
-    users = held_sets(basket_pairs(baskets), candidates).select(USER).distinct()
-    return baskets.join(users, USER, "left_semi")
+    return baskets.join(holders(baskets, candidates), USER, "left_semi")
 
 
 def holders_of(baskets: DataFrame, items: list) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import ROW_OVERHEAD, key_bytes, maybe_broadcast
+from ..plans.runtime import ROW_OVERHEAD, key_bytes, materialize, maybe_broadcast, new_scratch
 from . import prepare as prep
 from .containment import basket_pairs, held_sets
 from .rules import filter_rules
@@ -19,15 +19,39 @@ from .rules import filter_rules
 USER, ITEM = prep.USER, prep.ITEM
 
 
+WHOLE_LATTICE = 8        # antecedents up to this size are held against all their subsets
+
+
+def undominated_rules(rules: DataFrame) -> DataFrame:
+    """Rules (antecedent, consequent, confidence) that can set a score.
+
+    A rule A -> c never does if some proper subset B of A has a rule B -> c with at
+    least its confidence: whoever holds A holds B.  All subsets of antecedents up
+    to WHOLE_LATTICE members are looked up, of longer ones those one member
+    shorter; a dominated rule that is overlooked only costs time.
+    """
+    kind = rules.schema["antecedent"].dataType.simpleString()
+    every = (f"aggregate(antecedent, array(cast(array() as {kind})), "
+             "(acc, x) -> concat(acc, transform(acc, s -> concat(s, array(x)))))")
+    shorter = "transform(antecedent, x -> array_remove(antecedent, x))"
+    subsets = (f"filter(if(size(antecedent) <= {WHOLE_LATTICE}, {every}, {shorter}), "
+               "s -> size(s) > 0 and size(s) < size(antecedent))")
+    parts = rules.selectExpr("antecedent", "consequent", "confidence", f"explode_outer({subsets}) as part")
+    known = rules.selectExpr("antecedent as part", "consequent", "confidence as _less").distinct()
+    return (parts.join(known, ["part", "consequent"], "left").groupBy("antecedent", "consequent", "confidence")
+            .agg(F.max("_less").alias("_less")).filter("_less IS NULL OR _less < confidence")
+            .select("antecedent", "consequent", "confidence"))
+
+
 def recommend(baskets, rules: DataFrame | None = None, min_confidence: float | None = None,
               top_n: int | None = None) -> DataFrame:
     """(user_id, item_id, score, rank) for every user with an applicable rule.
 
     `baskets` is a table (user_id, items), e.g. of new users, or a MiningResult.
     A MiningResult without `rules` takes its own rules, whose antecedents are
-    looked up in the occurrence tables the miner kept.  For any other rules the
+    looked up in the classes the miner kept.  For any other rules the
     holders of the antecedents are found in the baskets, so rules of any depth
-    apply.  The best score per (user, item) is aggregated before the anti-join
+    apply.  Rules that another one dominates are left out first, which changes no score.  The best score per (user, item) is aggregated before the anti-join
     that drops items the user already has, and the ranking window is per user,
     whose rows are bounded by the number of consequents.
     """
@@ -38,13 +62,16 @@ def recommend(baskets, rules: DataFrame | None = None, min_confidence: float | N
     rules = baskets.rules() if own else rules
     if min_confidence is not None:
         rules = filter_rules(rules, min_confidence)
-    r = rules.select("antecedent", F.col("consequent").alias(ITEM), "confidence")
+    r = (undominated_rules(rules.select("antecedent", "consequent", "confidence"))
+         .withColumnRenamed("consequent", ITEM))
     if own:
         held, n_bytes = _kept_occurrences(baskets), _rules_bytes(baskets.levels)
         pairs = baskets.level(1).occurrences.select(USER, F.col("last").alias(ITEM))
     else:
-        pairs = basket_pairs(baskets if plain else baskets.baskets())
-        held = held_sets(pairs, r.select(F.col("antecedent").alias("items")))
+        plain_baskets = baskets if plain else baskets.baskets()
+        pairs = basket_pairs(plain_baskets)
+        r = materialize(r, new_scratch(r.sparkSession, "rules"))     # read three times
+        held = held_sets(plain_baskets, r.select(F.col("antecedent").alias("items")))
         n_bytes = r.agg(F.coalesce(F.sum(key_bytes(r, ["antecedent", ITEM])), F.lit(0))).first()[0]
     applied = held.withColumnRenamed("items", "antecedent").join(
         maybe_broadcast(r, int(n_bytes)), "antecedent", "inner")
@@ -67,8 +94,9 @@ def _kept_occurrences(result) -> DataFrame:
     """(user_id, items) of every level that has rules above it."""
     held = None
     for lv in result.levels[:-1]:
+        result.written_classes(lv.k)
         part = lv.occurrence_sets()
         held = part if held is None else held.unionByName(part)
     if held is None:
-        raise ValueError("no occurrence tables kept")
+        raise ValueError("no levels were mined")
     return held

@@ -1,7 +1,7 @@
 """Candidate support, basket retention and per-level statistics (M4, M5, M7).
 
 The reference tests every basket against every candidate (a replicated
-containment scan).  Here containment comes from occurrence tables: a
+containment scan).  Here containment comes from the classes the miner kept: a
 basket holds candidate c = a + b iff it holds both parents a and b, so
 support is two equi-joins and a count, and retention is an aggregate.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import support
+from . import classes as cls
 from . import prepare as prep
 from .candidates import generate_candidates, union_generators
 from .pairs import pair_join
@@ -19,27 +20,16 @@ from .pairs import pair_join
 USER = prep.USER
 
 
-def _occurrences(result, k: int) -> DataFrame:
-    lv = result.level(k)
-    if lv.occurrences is None:
-        raise ValueError(f"level {k} occurrences were not kept; mine with a larger "
-                         "max_len or keep_last_occurrences=True")
-    return lv.occurrences
-
-
 def candidate_support(result, k: int, method: str = "union") -> DataFrame:
     """(k, items, freq, support) of every level-k candidate held by a basket.
 
     Only sets that a user actually holds are paired.  For candidates on plain
     tables see `containment.count_support`.
     """
-    from ..plans.miner import count_occurrences, extend_occurrences
     prev = result.level(k - 1)
-    occ = _occurrences(result, k - 1)
     if k == 2 or method == "prefix":
-        n1 = result.level(1).n_frequent
-        counted = count_occurrences(
-            extend_occurrences(occ, prev.n_occurrences, result.skew, n1), k)
+        largest = prev.metrics["largest"] if prev.metrics else 0
+        counted = cls.count_next(prev.classes, largest, result.skew)
         return (counted.select("k", "items", "freq")
                 .withColumn("support", support("freq", result.n_users)))
     n1 = result.level(1).n_frequent
@@ -62,22 +52,34 @@ def candidate_support(result, k: int, method: str = "union") -> DataFrame:
                     support("freq", result.n_users).alias("support")))
 
 
+def _rests(classes: DataFrame, k: int) -> DataFrame:
+    """(k, user_id, rest, n): the remainders of a user's sets when one item is taken away.
+
+    A class row with two extensions shows by itself that two sets share all but
+    one item; it stands as one row with n = 2.  Only the set of a row with a single
+    extension, which can share its items with other such rows alone, is taken apart.
+    """
+    sets = "array(cast(null as array<{0}>))".format(classes.schema["exts"].dataType.elementType.simpleString())
+    parts = "transform(concat(prefix, exts), x -> array_remove(concat(prefix, exts), x))"
+    return classes.selectExpr(f"{k} as k", USER, f"explode(if(size(exts) > 1, {sets}, {parts})) as rest",
+                              "if(size(exts) > 1, 2, 1) as n")
+
+
+def _sharing_users(rests: DataFrame) -> DataFrame:
+    """(k, user_id) of the users with a remainder of two sets."""
+    return rests.groupBy("k", USER, "rest").agg(F.sum("n").alias("n")).filter("n > 1").select("k", USER).distinct()
+
+
 def retained_users(result, k: int) -> DataFrame:
     """Users whose basket holds at least one level-k candidate.
 
     A union candidate is two frequent (k-1)-sets that share k-2 items, so a
-    user qualifies iff, after removing one member from each of the user's
-    frequent (k-1)-sets, some remainder appears twice.  An aggregate, no
-    pairs, no candidate table.
+    user qualifies iff two of the user's frequent (k-1)-sets do.  No pairs, no
+    candidate table.
     """
     if k == 1:
-        return _occurrences(result, 1).select(USER).distinct()
-    _occurrences(result, k - 1)
-    sets = result.level(k - 1).occurrence_sets()
-    rests = sets.select(USER, "items", F.explode("items").alias("x"))
-    rests = rests.select(USER, F.array_remove("items", F.col("x")).alias("rest"))
-    return (rests.groupBy(USER, "rest").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 1).select(USER).distinct())
+        return result.level(1).classes.select(USER)
+    return _sharing_users(_rests(result.level(k - 1).classes, k)).select(USER)
 
 
 def retained_baskets(result, k: int) -> DataFrame:
@@ -86,29 +88,22 @@ def retained_baskets(result, k: int) -> DataFrame:
 
 
 def _retained_counts(result) -> dict[int, int]:
-    """Retained users per level, all levels in one aggregation chain.
+    """Retained users per level.
 
-    Rows (k, user, rest) from every level's exploded occurrences are
-    unioned first, so there is one count per (k, user, rest), one distinct
-    (k, user) and one count per k, instead of a chain per level.
+    Levels 1 and 2 were counted in flight when the first classes were written:
+    every user with a frequent item, and every user with two.  The levels above
+    are one job.
     """
-    none = F.col("prefix")      # empty at level 1, of the items' own type
-    parts = [_occurrences(result, 1).select(F.lit(1).alias("k"), USER, none.alias("rest_key"))]
-    for lv in result.levels[1:]:
-        _occurrences(result, lv.k - 1)
-        sets = result.level(lv.k - 1).occurrence_sets()
-        rests = sets.select(USER, "items", F.explode("items").alias("x"))
-        parts.append(rests.select(
-            F.lit(lv.k).alias("k"), USER,
-            F.array_remove("items", F.col("x")).alias("rest_key")))
-    allk = parts[0]
-    for p in parts[1:]:
-        allk = allk.unionByName(p)
-    grouped = allk.groupBy("k", USER, "rest_key").agg(F.count(F.lit(1)).alias("n"))
-    # level 1 keeps every user with a frequent item; level k >= 2 needs a
-    # remainder shared by two of the user's frequent (k-1)-sets
-    kept = grouped.filter((F.col("k") == 1) | (F.col("n") > 1)).select("k", USER).distinct()
-    return {r["k"]: r["n"] for r in kept.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    metrics = result.level(1).metrics
+    out = {1: int(metrics["rows"]), 2: int(metrics["growing"])}
+    above = [_rests(result.written_classes(lv.k - 1), lv.k) for lv in result.levels if lv.k >= 3]
+    if above:
+        rests = above[0]
+        for part in above[1:]:
+            rests = rests.unionByName(part)
+        per = _sharing_users(rests).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        out.update({r["k"]: r["n"] for r in per.collect()})      # one row per level
+    return out
 
 
 def _counts_by_level(parts: list[DataFrame]) -> dict[int, int]:
@@ -121,20 +116,24 @@ def _counts_by_level(parts: list[DataFrame]) -> dict[int, int]:
     return {r["k"]: r["n"] for r in allk.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def iteration_stats(result) -> DataFrame:
+def iteration_stats(result, candidates: DataFrame | None = None) -> DataFrame:
     """(k, n_candidates, n_frequent, n_users, n_rules) for every level run.
 
     Level 1 counts every distinct item within the item bound as a candidate
     (the reference judges every movie block, whatever its raters).
     Candidates are the reference's union candidates; their count for k = 2
-    is n1*(n1-1)/2.  Candidates and retained users are one job each over all
-    levels; the rule count is k * |L_k| (tested against the rule table).
+    is n1*(n1-1)/2.  Above that they are counted in `candidates` (k, items), if
+    given, else generated for the count.  Candidates and retained users are one
+    job each over all levels; the rule count is k * |L_k| (tested against the rule table).
     """
     n1 = result.level(1).n_frequent
-    cands = [generate_candidates(result.level(lv.k - 1).table, lv.k, "union",
-                                 n_rows=result.level(lv.k - 1).n_frequent, max_group=n1,
-                                 skew=result.skew).select("k")
-             for lv in result.levels if lv.k >= 3]
+    if candidates is not None:
+        cands = [candidates.select("k").filter("k > 2")]
+    else:
+        cands = [generate_candidates(result.level(lv.k - 1).table, lv.k, "union",
+                                     n_rows=result.level(lv.k - 1).n_frequent, max_group=n1,
+                                     skew=result.skew).select("k")
+                 for lv in result.levels if lv.k >= 3]
     n_cand = _counts_by_level(cands)
     n_cand[1] = result.all_items.count()
     if result.max_k >= 2:

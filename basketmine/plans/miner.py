@@ -4,43 +4,48 @@ Data kept per level k:
 
 * ``L_k(k, prefix, last, items, freq, support)`` -- frequent k-sets (cached); the
   set is ``prefix + [last]`` (sorted, so ``last`` is its largest member).
-* ``occ_k(user_id, prefix, last)`` -- one row per user and frequent k-set
-  contained in the user's basket (parquet on shared storage).
-
-Level k+1 is one equi-self-join of ``occ_k`` on ``(user_id, prefix)`` with
-``a.last < b.last`` (a user holds ``prefix+a+b`` iff it holds ``prefix+a``
-and ``prefix+b``), a ``groupBy(prefix, last).count`` with partial
-aggregation in the same stage, and the strict support filter.  The joined pairs
-are never stored.  The next occurrence table comes from a second such join
-filtered by the broadcast level table, or, when that is too large, from ``occ_k``
-joined to the frequent extensions and semi-joined to ``occ_k`` again.  Only
-combinations that really occur in some basket are ever counted, and no basket
-array is ever scanned for containment.
-
-Level tables are small and cached (their lineage is one join back to the
-last written occurrence table); occurrence tables are written to shared
-storage, which cuts the lineage of the loop.
+* ``classes_k(user_id, prefix, exts)`` -- per user and shared prefix the last
+  items of the frequent k-sets that the user holds (see `operators.classes`).
+
+Growing the classes is a narrow step, so levels are counted without a join: all
+sets of the next level, and of the levels after it while they are few, come from
+one plan and go into one aggregate keyed by the set.  How far a job looks ahead
+follows from class sizes measured in flight, while the classes are written: it
+may cost as much again as the next level alone, or AHEAD_ROWS rows.  Only
+combinations that really occur in some basket are ever counted, no basket array
+is scanned for containment, and nothing of the grown rows is stored.
+
+Only the last level of a job is written as classes, and only if the loop goes on;
+the classes between, and those of the last level, are plans over the written
+ones, filtered by the level tables, for whoever needs them.
+
+Level tables are small and cached (their lineage is one step back to the last
+written classes); class tables are written to shared storage, which cuts the
+lineage of the loop.
 
 Loop control follows the reference: level 2 always runs, then continue
 while the last level has more than one set and the next size is within
-``max_len``.  One driver round trip per level: its size.
+``max_len``.  Levels counted ahead beyond that are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property, partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import is_frequent, support
+from ..operators import classes as cls
 from ..operators import prepare as prep
-from ..operators.pairs import DEFAULT_SKEW, SkewPolicy, pair_join
-from .runtime import (ROW_OVERHEAD, can_broadcast, delete_path, materialize, maybe_broadcast,
-                      new_scratch)
+from ..operators.pairs import DEFAULT_SKEW, SkewPolicy
+from .runtime import ROW_OVERHEAD, delete_path, materialize, materialize_measured, maybe_broadcast, new_scratch
 
 USER, ITEM = prep.USER, prep.ITEM
+AHEAD_ROWS = 6_000_000      # counted rows that cost no more than a job of their own
 
 
 @dataclass
@@ -48,20 +53,28 @@ class Level:
     k: int
     table: DataFrame            # k, prefix, last, items, freq, support
     n_frequent: int
-    occurrences: DataFrame | None = None   # user_id, prefix, last
-    n_occurrences: int | None = None
-    n_bytes: int = 0                       # upper bound of the table's size
-    max_item_len: int = 0                  # longest item text (level 1)
+    make_classes: Callable[[], DataFrame]   # user_id, prefix, exts
+    n_occurrences: int          # users x sets held: the sum of freq
+    n_bytes: int = 0            # upper bound of the table's size
+    max_item_len: int = 0       # longest item text (level 1)
+    metrics: dict | None = None     # of the classes, where they are written
 
     def itemsets(self) -> DataFrame:
         return self.table.select("k", "items", "freq", "support")
 
+    @cached_property
+    def classes(self) -> DataFrame:
+        """(user_id, prefix, exts): written, or a plan over the written ones below."""
+        return self.make_classes()
+
+    @property
+    def occurrences(self) -> DataFrame:
+        """(user_id, prefix, last) for every frequent k-set a user holds."""
+        return cls.held(self.classes)
+
     def occurrence_sets(self) -> DataFrame:
         """(user_id, items) for every frequent k-set a user holds."""
-        if self.occurrences is None:
-            raise ValueError(f"occurrences of level {self.k} were not kept")
-        return self.occurrences.select(
-            USER, F.concat("prefix", F.array("last")).alias("items"))
+        return self.occurrences.select(USER, F.concat("prefix", F.array("last")).alias("items"))
 
 
 @dataclass
@@ -74,6 +87,7 @@ class MiningResult:
     item_freq: DataFrame | None = None   # (item_id, freq, support), all items
     all_items: DataFrame | None = None   # distinct items within the item bound
     skew: SkewPolicy = field(default=DEFAULT_SKEW)
+    cached: list[DataFrame] = field(default_factory=list)
 
     def level(self, k: int) -> Level:
         return self.levels[k - 1]
@@ -95,37 +109,43 @@ class MiningResult:
 
     def baskets(self) -> DataFrame:
         """user -> sorted frequent items (the reference's users file)."""
-        return prep.baskets(self.pairs, self.frequent_items())
+        return self.levels[0].classes.select(USER, F.col("exts").alias("items"))
+
+    def written_classes(self, k: int) -> DataFrame:
+        """The classes of level k on shared storage; written from those of the level below if need be."""
+        lv = self.level(k)
+        if lv.metrics is None:
+            self.written_classes(k - 1)
+            above = _classes_above(self.level(k - 1), lv.table, lv.n_bytes, self.skew)
+            lv.classes, lv.metrics = _write_classes(above, f"{self.scratch}/classes/k={k}")
+        return lv.classes
 
     def rules(self) -> DataFrame:
         from ..operators.rules import association_rules
         return association_rules(self)
 
-    def stats(self) -> DataFrame:
+    def stats(self, candidates: DataFrame | None = None) -> DataFrame:
         from ..operators.support import iteration_stats
-        return iteration_stats(self)
+        return iteration_stats(self, candidates)
 
     def cleanup(self) -> None:
         """Delete this run's files on shared storage and its cached tables (call when done)."""
-        for lv in self.levels:
-            lv.table.unpersist()
+        for table in self.cached:
+            table.unpersist()
         delete_path(self.pairs.sparkSession, self.scratch)
 
 
-def _cache_level(table: DataFrame, measure_items: bool = False) -> tuple[DataFrame, int, int, int]:
-    """Cache a level table; returns it with its size, its total count and
-    (level 1 only) the longest text of its items, all from one aggregate.
+def _cache_levels(table: DataFrame, measure_items: bool = False) -> tuple[DataFrame, dict]:
+    """Cache the table of one or more levels; returns it with (n, occ, len) by k, all from one aggregate.
 
-    Each (user, set) containment is counted once, so the total count is
-    exactly the row count of the level's occurrence table.
+    Each (user, set) containment is counted once, so the total count is the
+    number of the level's occurrences; `len` is the longest text of its items (level 1 only).
     """
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    aggs = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("freq"), F.lit(0)).alias("occ")]
-    if measure_items:
-        aggs.append(F.coalesce(F.max(F.octet_length(F.col("last").cast("string"))), F.lit(0))
-                    .alias("len"))
-    row = table.agg(*aggs).first()
-    return table, int(row["n"]), int(row["occ"]), int(row["len"]) if measure_items else 0
+    longest = F.max(F.octet_length(F.col("last").cast("string"))) if measure_items else F.lit(0)
+    rows = table.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("freq").alias("occ"),
+                                  longest.alias("len")).collect()       # one row per level
+    return table, {r["k"]: (int(r["n"]), int(r["occ"]), int(r["len"])) for r in rows}
 
 
 def level_bytes(n_sets: int, k: int, max_item_len: int) -> int:
@@ -134,6 +154,10 @@ def level_bytes(n_sets: int, k: int, max_item_len: int) -> int:
     return n_sets * (ROW_OVERHEAD + 16 + k * (max_item_len + 8))
 
 
+def _write_classes(classes: DataFrame, path: str) -> tuple[DataFrame, dict]:
+    return materialize_measured(classes, path, cls.size_metrics())
+
+
 def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support: float,
                scratch: str) -> Level:
     item_type = pairs.schema[ITEM].dataType.simpleString()
@@ -141,67 +165,24 @@ def _level_one(pairs: DataFrame, item_freq: DataFrame, n_users: int, min_support
     table = (prep.frequent_items(item_freq, n_users, min_support)
              .select(F.lit(1).alias("k"), empty.alias("prefix"), F.col(ITEM).alias("last"),
                      F.array(ITEM).alias("items"), "freq", "support"))
-    table, n1, n_occ, item_len = _cache_level(table, measure_items=True)
+    table, found = _cache_levels(table, measure_items=True)
+    n1, n_occ, item_len = found.get(1, (0, 0, 0))
     n_bytes = level_bytes(n1, 1, item_len)
-    occ = pairs.join(maybe_broadcast(table.select(F.col("last").alias(ITEM)), n_bytes),
-                     ITEM, "left_semi")
-    occ = occ.select(USER, empty.alias("prefix"), F.col(ITEM).alias("last"))
-    if not can_broadcast(pairs.sparkSession, n_bytes):   # else a filter of the pairs' own scan
-        occ = materialize(occ, f"{scratch}/occ/k=1")
-    return Level(1, table, n1, occ, n_occ, n_bytes, item_len)
-
-
-def extend_occurrences(occ: DataFrame, n_occ: int | None, skew: SkewPolicy,
-                       n_frequent_items: int | None = None) -> DataFrame:
-    """(user, prefix, last) of level k -> (user, prefix, last) of level k+1.
-
-    The new prefix is the old set ``prefix + [a]`` and the new last item is
-    ``b > a``; output rows are (user, candidate) containments.  A join group
-    (user, prefix) holds distinct frequent items, so it has at most
-    ``n_frequent_items`` rows.
-    """
-    pairs = pair_join(occ, [USER, "prefix"], "last", n_rows=n_occ,
-                      max_group=n_frequent_items, skew=skew)
-    return pairs.select(USER, F.concat("prefix", F.array("item_a")).alias("prefix"),
-                        F.col("item_b").alias("last"))
+    kept = pairs.join(maybe_broadcast(table.select(F.col("last").alias(ITEM)), n_bytes), ITEM, "left_semi")
+    classes, metrics = _write_classes(cls.first_classes(kept), f"{scratch}/classes/k=1")
+    return Level(1, table, n1, lambda: classes, n_occ, n_bytes, item_len, metrics)
 
 
-def keep_frequent(occ: DataFrame, table: DataFrame, n_bytes: int, *, n_occ: int | None = None,
-                  skew: SkewPolicy = DEFAULT_SKEW, n_frequent_items: int | None = None) -> DataFrame:
-    """Occurrences (user, prefix, last) of level k -> those of the frequent (k+1)-sets in `table`.
-
-    While the level table can be broadcast, the pairs are joined once more and
-    filtered in the same stage: nothing but `occ` is shuffled.  Beyond that a
-    user holds prefix + [last] + [b] iff the user holds prefix + [last], whose
-    frequent extensions `b` the level table tells, and prefix + [b]; only rows of
-    frequent extensions are built and shuffled.
-    """
-    if can_broadcast(occ.sparkSession, n_bytes):
-        pairs = extend_occurrences(occ, n_occ, skew, n_frequent_items)
-        return pairs.join(F.broadcast(table.select("prefix", "last")), ["prefix", "last"], "left_semi")
-    grown = table.select(F.col("prefix").alias("_set"), F.col("last").alias("_next"))
-    held = occ.select(USER, "prefix", F.concat("prefix", F.array("last")).alias("_set"))
-    hits = held.join(grown, "_set")
-    other = occ.select(USER, "prefix", F.col("last").alias("_next"))
-    return (hits.join(other, [USER, "prefix", "_next"], "left_semi")
-            .select(USER, F.col("_set").alias("prefix"), F.col("_next").alias("last")))
-
-
-def count_occurrences(occ_next: DataFrame, k: int) -> DataFrame:
-    """(k, prefix, last, items, freq) over all candidates that occur.
-
-    The level is derived from the set (no per-level literal), so every level
-    runs the same generated code.
-    """
-    items = F.concat("prefix", F.array("last"))
-    return (occ_next.groupBy("prefix", "last").agg(F.count(F.lit(1)).alias("freq"))
-            .select(F.size(items).alias("k"), "prefix", "last", items.alias("items"), "freq"))
+def _classes_above(prev: Level, table: DataFrame, n_bytes: int, skew: SkewPolicy) -> DataFrame:
+    """The classes of the level whose frequent sets are `table`, from those of the level below."""
+    largest = prev.metrics["largest"] if prev.metrics else 0
+    return cls.keep_frequent(cls.grow(prev.classes, largest, skew), table, n_bytes)
 
 
 def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
          max_item=None, max_user=None, user_bound: str = "inclusive",
          l1_count: str = "distinct", user_col: str = USER, item_col: str = ITEM,
-         skew: SkewPolicy = DEFAULT_SKEW, keep_last_occurrences: bool = False,
+         skew: SkewPolicy = DEFAULT_SKEW, ahead_rows: int = AHEAD_ROWS,
          scratch: str | None = None) -> MiningResult:
     """Mine all itemsets with support > min_support (M1).
 
@@ -213,6 +194,8 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
                   max_user, baskets and level 1 keep user < max_user (Q3)
     l1_count      "distinct" (default) or "rows": level-1 support counts
                   rating rows, as the reference does (Q5)
+    ahead_rows    counted rows up to which a job may look levels ahead; the
+                  result does not depend on it
     """
     if min_support is None or not min_support >= 0:
         raise ValueError("min_support is required and must not be negative")
@@ -236,30 +219,33 @@ def mine(ratings: DataFrame, min_support: float, max_len: int | None = None, *,
     item_freq = prep.item_support(basket_rows if l1_count == "rows" else pairs, n_users,
                                   count="rows")
     first = _level_one(pairs, item_freq, n_users, min_support, scratch)
-    levels = [first]
+    levels, cached = [first], [first.table]
 
     limit = max(2, max_len) if max_len is not None else None
-    n1 = first.n_frequent
-    k = 2
     while True:
-        prev = levels[-1]
-        # Counted in the same stage that joins: the pairs are never stored.
-        cand = extend_occurrences(prev.occurrences, prev.n_occurrences, skew, n1)
-        counted = count_occurrences(cand, k).filter(is_frequent("freq", n_users, min_support))
-        table, n_k, n_occ, _ = _cache_level(
-            counted.withColumn("support", support("freq", n_users)))
-        n_bytes = level_bytes(n_k, k, first.max_item_len)
-        go_on = n_k > 1 and (limit is None or k + 1 <= limit)
-        level = Level(k, table, n_k, n_bytes=n_bytes)
-        if go_on or keep_last_occurrences:
-            kept = keep_frequent(prev.occurrences, table, n_bytes, n_occ=prev.n_occurrences,
-                                 skew=skew, n_frequent_items=n1)
-            occ = materialize(kept, f"{scratch}/occ/k={k}")
-            level.occurrences, level.n_occurrences = occ, n_occ
-        levels.append(level)
+        base = levels[-1]
+        ahead = cls.levels_ahead(base.metrics, ahead_rows)
+        if limit is not None:
+            ahead = min(ahead, limit - base.k)
+        # Counted in the stage that grows them: the rows are never stored.
+        sets = (cls.count_ahead(base.classes, ahead) if ahead > 1
+                else cls.count_next(base.classes, base.metrics["largest"], skew))
+        counted = sets.filter(is_frequent("freq", n_users, min_support))
+        table, found = _cache_levels(counted.withColumn("support", support("freq", n_users)))
+        cached.append(table)
+        for k in range(base.k + 1, base.k + 1 + ahead):
+            n_k, n_occ, _ = found.get(k, (0, 0, 0))
+            n_bytes = level_bytes(n_k, k, first.max_item_len)
+            part = table.filter(F.col("k") == k)
+            levels.append(Level(k, part, n_k, partial(_classes_above, levels[-1], part, n_bytes, skew), n_occ, n_bytes))
+            go_on = n_k > 1 and (limit is None or k + 1 <= limit)
+            if not go_on:
+                break
         if not go_on:
             break
-        k += 1
+        last = levels[-1]
+        classes, last.metrics = _write_classes(last.classes, f"{scratch}/classes/k={last.k}")
+        last.classes = classes
 
     return MiningResult(n_users, min_support, pairs, levels, scratch, item_freq,
-                        all_pairs.select(ITEM).distinct(), skew)
+                        all_pairs.select(ITEM).distinct(), skew, cached)

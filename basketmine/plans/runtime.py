@@ -13,7 +13,7 @@ import logging
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Settings a caller should run with; `session()` applies them for tests and
@@ -110,6 +110,12 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_measured(df: DataFrame, path: str, aggregates: list) -> tuple[DataFrame, dict]:
+    """`materialize`, with aggregates over the rows taken in flight by the same job."""
+    seen = Observation()
+    return materialize(df.observe(seen, *aggregates), path), seen.get
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder on whatever file system holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

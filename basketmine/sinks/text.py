@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import FIELD_SEP, items_text, items_text_as_strings, rule_text
-from ..sources.blocks import BLOCK_SEP
+from ..plans.runtime import key_bytes, materialize, maybe_broadcast, new_scratch
+from ..sources.blocks import HEADER_END
 
 
 def _checked(items):
@@ -62,29 +63,41 @@ def write_candidates_text(candidates: DataFrame, path: str, by_level: bool = Tru
     _write_text(out if by_level else out.select("value"), path, "k" if by_level else None)
 
 
-def write_result(result, path: str, with_rules: bool = True) -> None:
-    """K5: all outputs of one run as parquet; each level is computed once
-    (levels are cached / on shared storage) and written by level."""
-    result.itemsets().write.mode("overwrite").partitionBy("k").parquet(f"{path}/itemsets")
-    result.baskets().write.mode("overwrite").parquet(f"{path}/baskets")
+def _stored(df: DataFrame, path: str, by_level: bool = True) -> DataFrame:
+    """Writes `df` as parquet and returns the written table."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy("k") if by_level else writer).parquet(path)
+    # A table written by level has no file at all when it is empty.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_result(result, path: str, with_rules: bool = True) -> dict[str, DataFrame]:
+    """K5: the tables of one run as parquet, each evaluated once; returns the written tables."""
+    out = {"itemsets": _stored(result.itemsets(), f"{path}/itemsets"),
+           "baskets": _stored(result.baskets(), f"{path}/baskets", by_level=False)}
     if with_rules and len(result.levels) > 1:
-        result.rules().write.mode("overwrite").partitionBy("k").parquet(f"{path}/rules")
+        out["rules"] = _stored(result.rules(), f"{path}/rules")
+    return out
 
 
 def write_outputs(result, path: str, *, candidates: DataFrame | None = None,
                   recommendations: DataFrame | None = None) -> None:
     """Every output of a run: the parquet tables of `write_result` plus
-    statistics, candidates and recommendations, and the text forms (K1-K4) under `text/`."""
-    write_result(result, path)
-    result.stats().write.mode("overwrite").parquet(f"{path}/stats")
-    write_itemsets_text(result.itemsets(), f"{path}/text/itemsets")
-    write_baskets_text(result.baskets(), f"{path}/text/baskets")
-    write_rules_text(result.rules(), f"{path}/text/rules")
+    statistics, candidates and recommendations, and the text forms (K1-K4) under `text/`.
+
+    Each table is evaluated by one write; its text form, and the statistics'
+    number of candidates, come from the written table.
+    """
+    out = write_result(result, path)
     if candidates is not None:
-        candidates.write.mode("overwrite").partitionBy("k").parquet(f"{path}/candidates")
-        write_candidates_text(candidates, f"{path}/text/candidates")
+        out["candidates"] = _stored(candidates, f"{path}/candidates")
+    _stored(result.stats(out.get("candidates")), f"{path}/stats", by_level=False)
     if recommendations is not None:
-        recommendations.write.mode("overwrite").parquet(f"{path}/recommendations")
+        _stored(recommendations, f"{path}/recommendations", by_level=False)
+    for name, write in (("itemsets", write_itemsets_text), ("baskets", write_baskets_text),
+                        ("rules", write_rules_text), ("candidates", write_candidates_text)):
+        if name in out:
+            write(out[name], f"{path}/text/{name}")
 
 
 def read_outputs(spark, path: str) -> dict[str, DataFrame]:
@@ -107,43 +120,67 @@ def read_outputs(spark, path: str) -> dict[str, DataFrame]:
                                          for name in ("stats", "recommendations")}
 
 
-def rating_blocks(ratings: DataFrame, max_block_rows: int | None = None,
-                  by: tuple[str, ...] = ()) -> DataFrame:
-    """(item_id, user_id, rating, rated_on) -> one text block per record.
+BLOCK_ROWS = 100_000     # ratings under one header before it is repeated
+_ORDER = ["_item", "_chunk", "_kind"]
 
-    One block per item, as the rating files have it.  The text of one item is
-    one value, so it must fit a task; with `max_block_rows` an item with more
-    ratings is written as several blocks under the same header, spread by a hash
-    of the rating, and readers that group by item give the same result.  `by`
-    adds grouping columns that are kept in the output (e.g. the target file).
+
+def block_lines(lines: DataFrame, *, normalised: bool, max_block_rows: int = BLOCK_ROWS,
+                by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., item_id, line) -> the lines of rating files in order, headers among them.
+
+    Columns: `by`, `value` and the order (_item, _chunk, _kind).  Headers and
+    ratings are rows of their own, so no item is ever one value.  An item with more
+    than `max_block_rows` lines is dealt into chunks by a hash of the line, each
+    under a header of its own; chunks are spread over the partitions and sorted
+    there.  Readers that go by the header above a line see one item.  With
+    `normalised` an empty line ends a chunk.
     """
-    keys = [*by, "item_id"]
-    tagged, chunk = ratings, []
-    if max_block_rows is not None:
-        counts = ratings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        n_chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_block_rows)))
-        tagged = ratings.join(counts, keys).withColumn(
-            "_chunk", F.pmod(F.xxhash64("user_id", "rating", "rated_on"), n_chunks))
-        chunk = ["_chunk"]
+    spark = lines.sparkSession
+    rows = lines.select(*by, F.col("item_id").cast("string").alias("_item"), F.col("line").alias("value"))
+    keys = [*by, "_item"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = materialize(counts.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_n") / max_block_rows))
+                                       .cast("int").alias("_c")), new_scratch(spark, "chunks"))
+    hot = chunks.filter("_c > 1")
+    size = hot.agg(F.coalesce(F.sum(key_bytes(hot, keys)), F.lit(0))).first()[0]
+    dealt = (rows.join(maybe_broadcast(hot, int(size)), keys, "left")
+             .withColumn("_chunk", F.pmod(F.xxhash64("value"),
+                                          F.coalesce("_c", F.lit(1))).cast("int")))
+    marks = [F.struct(F.lit(0).alias("_kind"), F.concat("_item", F.lit(HEADER_END)).alias("value"))]
+    if normalised:
+        marks.append(F.struct(F.lit(2).alias("_kind"), F.lit("").alias("value")))
+    heads = (chunks.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("_chunk"))
+             .select(*keys, "_chunk", F.explode(F.array(*marks)).alias("_m"))
+             .select(*keys, "_chunk", "_m._kind", "_m.value"))
+    every = dealt.select(*keys, "_chunk", F.lit(1).alias("_kind"), "value").unionByName(heads)
+    return (every.repartition(*keys, "_chunk").sortWithinPartitions(*by, *_ORDER)
+            .select(*by, *_ORDER, "value"))
+
+
+def rating_lines(ratings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., item_id, user_id, rating, rated_on) -> (by..., item_id, line)."""
     line = F.concat_ws(",", F.col("user_id").cast("string"),
                        F.coalesce(F.col("rating").cast("string"), F.lit("")),
                        F.coalesce(F.date_format("rated_on", "yyyy-MM-dd"), F.lit("")))
-    blocks = (tagged.groupBy(*keys, *chunk)
-              .agg(F.concat_ws("\n", F.collect_list(line)).alias("_lines")))
-    return blocks.select(*by, F.concat(F.col("item_id").cast("string"), F.lit(":\n"),
-                                       F.col("_lines")).alias("value"))
+    return ratings.select(*by, "item_id", line.alias("line"))
+
+
+def write_block_lines(lines: DataFrame, path: str, raw: bool = False, max_block_rows: int = BLOCK_ROWS,
+                      line_sep: str = "\n") -> None:
+    """Rating files from (item_id, line): normalised (an empty line after each block) or raw."""
+    rows = block_lines(lines, normalised=not raw, max_block_rows=max_block_rows)
+    _write_text(rows.select("value"), path, line_sep=line_sep)
 
 
 def write_rating_blocks(ratings: DataFrame, path: str, raw: bool = False,
-                        max_block_rows: int | None = None) -> None:
+                        max_block_rows: int = BLOCK_ROWS) -> None:
     """K6: rating files, normalised (empty line between blocks) or raw."""
-    _write_text(rating_blocks(ratings, max_block_rows), path,
-                line_sep="\n" if raw else BLOCK_SEP)
+    write_block_lines(rating_lines(ratings), path, raw, max_block_rows)
 
 
 def write_named_text_files(value: DataFrame, folder: str, names: list[str],
                            name_col: str = "file_name") -> None:
-    """Writes rows with `name_col == n` to files `<folder>/<n>.<part>`.
+    """Writes rows of `block_lines` with `name_col == n` to files `<folder>/<n>.<part>`.
 
     One pass: the rows are written once, partitioned by the index of their
     target name; Spark names its part files itself, so the parts are then
@@ -153,7 +190,9 @@ def write_named_text_files(value: DataFrame, folder: str, names: list[str],
     """
     spark = value.sparkSession
     index = F.coalesce(*[F.when(F.col(name_col) == n, F.lit(i)) for i, n in enumerate(names)])
-    staged = value.select(index.alias("_file"), "value").filter(F.col("_file").isNotNull())
+    # Sorted by file first, as a write by file asks for; so the lines keep their order.
+    staged = (value.withColumn("_file", index).filter(F.col("_file").isNotNull())
+              .sortWithinPartitions("_file", *_ORDER).select("_file", "value"))
     staging = f"{folder}/_staging"
     (staged.write.mode("overwrite").option("lineSep", "\n").partitionBy("_file")
      .text(staging))

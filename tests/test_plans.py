@@ -1,5 +1,5 @@
-"""Physical-plan checks: no cross/nested-loop joins and no Python UDFs, one
-shared exchange for the occurrence self-join, column pruning at the scans."""
+"""Physical-plan checks: no cross/nested-loop joins and no Python UDFs, levels
+counted without a join, column pruning at the scans."""
 
 import contextlib
 import io
@@ -9,7 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from basketmine import mine
-from basketmine.plans.miner import count_occurrences, extend_occurrences
+from basketmine.operators.classes import count_ahead, count_next
+from basketmine.operators.containment import held_sets, holders
 from basketmine.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -35,20 +36,44 @@ def test_no_cross_or_nested_loop_joins(spark, name):
         assert op not in plan, (name, op)
 
 
-def test_occurrence_self_join_shares_one_exchange(spark):
-    res = mine(tables.order_types(spark, SF), 0.05, max_len=2, keep_last_occurrences=True)
-    lv = res.level(2)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_levels_are_counted_without_a_join(spark):
+    res = mine(tables.order_types(spark, SF), 0.05, max_len=2)
+    for counted in (count_next(res.level(1).classes), count_ahead(res.level(1).classes, 4)):
+        plan = plan_of(counted)
+        assert "Join" not in plan and plan.count("Exchange") <= 2      # of the sets' counts only
+        assert "partial_count" in plan                                 # pre-aggregated before shuffling
+        assert not re.search(r"hashpartitioning\(user_id", plan)
+
+
+def _jobs(spark, work):
+    group = "jobs-of-a-test"
+    spark.sparkContext.setJobGroup(group, "")
     try:
-        q = count_occurrences(extend_occurrences(lv.occurrences, lv.n_occurrences, res.skew,
-                                                 res.level(1).n_frequent), 3)
-        plan = plan_of(q)
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert "SortMergeJoin" in plan
-    assert "ReusedExchange" in plan                      # both sides: one shuffle
-    assert "partial_count" in plan                       # pre-aggregated before shuffling
-    assert re.search(r"hashpartitioning\(user_id#\d+L, prefix#\d+", plan)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_several_levels_take_one_count(spark):
+    """Looking ahead saves the jobs of the levels between."""
+    ratings = tables.order_types(spark, SF)
+    levels = []
+    ahead = _jobs(spark, lambda: levels.append(mine(ratings, 0.05).max_k))
+    single = _jobs(spark, lambda: levels.append(mine(ratings, 0.05, ahead_rows=0).max_k))
+    assert levels[0] == levels[1] >= 4
+    assert ahead < single
+
+
+def test_containment_joins_do_not_grow_with_the_sets(spark):
+    baskets = spark.createDataFrame([(1, list(range(12)))], "user_id long, items array<long>")
+    plans = []
+    for size in (2, 10):
+        sets = spark.createDataFrame([(list(range(size)),)], "items array<long>")
+        plans.append(plan_of(held_sets(baskets, sets)))
+    assert plans[0].count("Join") == plans[1].count("Join") > 0
+    plan = plan_of(holders(baskets, sets))
+    assert "LeftSemi" in plan
 
 
 def test_fixture_scans_read_key_columns_only(spark):

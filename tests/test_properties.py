@@ -4,16 +4,19 @@ Runs on fixtures derived from the warehouse tables at sf0.001 (and F2 at
 sf0.01 where FIXTURES.md lists the expected level sizes).
 """
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from basketmine import mine
 from basketmine.functions.itemsets import min_count_above
 from basketmine.operators.candidates import generate_candidates
+from basketmine.operators.classes import deal_hot, grow, held
+from basketmine.operators.containment import count_support, held_sets, holders
 from basketmine.operators.fpgrowth import fpgrowth_itemsets
-from basketmine.operators.containment import count_support, held_sets
 from basketmine.operators.pairs import SkewPolicy, bucket_pairs, hot_groups, pair_join
-from basketmine.operators.recommend import recommend
+from basketmine.operators.recommend import recommend, undominated_rules
 from basketmine.operators.support import candidate_support
 from basketmine.sources import tables
 
@@ -98,13 +101,64 @@ def test_no_bucket_pair_of_a_large_group_is_much_above_the_limit(spark):
 
 
 def test_held_sets_on_plain_tables(spark):
-    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "c")],
-                                  "user_id long, item_id string")
-    sets = spark.createDataFrame([(["b", "a"],), (["a"],), (["a", "b", "c"],), (["c", "x"],), ([],)],
-                                 "items array<string>")
-    got = {(r["user_id"], tuple(r["items"])) for r in held_sets(pairs, sets).collect()}
-    assert got == {(1, ("b", "a")), (2, ("b", "a")), (1, ("a",)), (2, ("a",)), (1, ("a", "b", "c"))}
-    assert held_sets(pairs, sets.limit(0)).collect() == []
+    baskets = spark.createDataFrame([(1, ["a", "b"]), (1, ["c", "b", None]), (2, ["a", "b"]), (3, ["c"]), (4, []), (5, None)],
+                                    "user_id long, items array<string>")
+    sets = spark.createDataFrame([(["b", "a"],), (["b", "a"],), (["a"],), (["a", "b", "c"],), (["c", "x"],), ([],),
+                                  (["a", None],)], "items array<string>")
+    got = sorted((r["user_id"], tuple(r["items"])) for r in held_sets(baskets, sets).collect())
+    assert got == sorted([(1, ("b", "a")), (2, ("b", "a")), (1, ("a",)), (2, ("a",)), (1, ("a", "b", "c"))])
+    assert held_sets(baskets, sets.limit(0)).collect() == []
+    assert {r["user_id"] for r in holders(baskets, sets).collect()} == {1, 2}
+    assert holders(baskets, sets.limit(0)).collect() == []
+
+
+def test_held_sets_of_ten_members(spark):
+    """Against brute force, on sets of up to ten members."""
+    rng = random.Random(4)
+    data = [(u, sorted(rng.sample(range(16), rng.randrange(1, 16)))) for u in range(80)]
+    wanted = [sorted(rng.sample(range(16), k)) for k in (1, 2, 3, 5, 8, 10) for _ in range(8)]
+    baskets = spark.createDataFrame(data, "user_id long, items array<long>")
+    sets = spark.createDataFrame([(s,) for s in wanted], "items array<long>")
+    want = {(u, tuple(s)) for u, items in data for s in wanted if set(s) <= set(items)}
+    got = [(r["user_id"], tuple(r["items"])) for r in held_sets(baskets, sets).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r["user_id"] for r in holders(baskets, sets).collect()} == {u for u, _ in want}
+
+
+def test_dominated_rules_change_no_score(spark):
+    rng = random.Random(9)
+    rules = {}
+    for _ in range(400):
+        a = tuple(sorted(rng.sample("abcdefg", rng.randrange(1, 5))))
+        c = rng.choice([x for x in "abcdefgh" if x not in a])
+        rules[a, c] = rng.randrange(1, 6) / 5
+    table = spark.createDataFrame([(list(a), c, v) for (a, c), v in rules.items()],
+                                  "antecedent array<string>, consequent string, confidence double")
+    kept = {(tuple(r["antecedent"]), r["consequent"]) for r in undominated_rules(table).collect()}
+    want = {(a, c) for (a, c), v in rules.items()
+            if not any(set(b) < set(a) and d == c and w >= v for (b, d), w in rules.items())}
+    assert kept == want and len(kept) < len(rules)
+
+
+def test_looking_ahead_changes_nothing(spark, f2_small):
+    ratings = tables.order_types(spark, SF001)
+    for rows in (0, 10 ** 9):
+        other = mine(ratings, 0.05, ahead_rows=rows)
+        assert sets_of(other.itemsets()) == sets_of(f2_small.itemsets())
+        assert [lv.n_frequent for lv in other.levels] == [lv.n_frequent for lv in f2_small.levels]
+        assert [tuple(r) for r in other.stats().collect()] == [tuple(r) for r in f2_small.stats().collect()]
+
+
+def test_classes_of_a_heavy_user_are_dealt(spark):
+    """One user with a thousand items: every pair once, over many tasks."""
+    one = spark.range(1).selectExpr("id as user_id", "cast(array() as array<long>) as prefix", "sequence(1L, 1000L) as exts")
+    policy = SkewPolicy(max_pairs_per_task=20_000)
+    dealt = deal_hot(one, 1000, policy)
+    most = dealt.selectExpr("max((hi - lo) * size(exts)) as m", "count(*) as n").first()
+    assert most["m"] <= policy.max_pairs_per_task and most["n"] == 50
+    pairs = held(grow(one, 1000, policy))
+    assert pairs.count() == pairs.distinct().count() == 1000 * 999 // 2
+    assert grow(one, 1000, policy).select(F.spark_partition_id()).distinct().count() > 4
 
 
 def test_rules_deeper_than_the_run_apply(spark, f2_small):

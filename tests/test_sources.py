@@ -169,6 +169,37 @@ def test_block_writer_writes_one_block_per_item(spark, f1_ratings, tmp_path):
     assert sorted(headers) == ["1", "10", "2", "3", "7"]
 
 
+def test_an_item_of_ten_million_rows(spark, tmp_path):
+    """No item is one value: its lines are rows, spread over the files, each under a header."""
+    out = str(tmp_path / "hot")
+    ratings = spark.range(10_000_000).selectExpr("7L as item_id", "id as user_id", "cast(id % 5 as int) as rating",
+                                                 "cast(null as date) as rated_on")
+    sinks.write_rating_blocks(ratings, out, raw=True)
+    lines = spark.read.text(out).select("value", F.col("_metadata.file_name").alias("f"))
+    per = lines.groupBy("f").agg(F.count_if(F.col("value") == "7:").alias("heads"), F.count(F.lit(1)).alias("n"),
+                                 F.max(F.length("value")).alias("longest")).collect()
+    assert len(per) > 4 and all(r["heads"] >= 1 and r["longest"] < 20 for r in per)
+    assert sum(r["n"] - r["heads"] for r in per) == 10_000_000
+    assert max(r["n"] for r in per) < 5_000_000
+
+
+def test_outputs_are_evaluated_once(spark, f1_ratings, tmp_path):
+    """The text forms and the candidate count come from the written tables."""
+    from basketmine import mine
+    from basketmine.operators.recommend import recommend
+    from basketmine.plans.run import all_candidates
+    res = mine(f1_ratings.select("user_id", F.col("item_id").cast("string").alias("item_id")), 0.3, max_user=200)
+    out = str(tmp_path / "out")
+    sinks.write_outputs(res, out, candidates=all_candidates(res), recommendations=recommend(res))
+    back = sinks.read_outputs(spark, out)
+    for name, want in (("itemsets", res.itemsets()), ("baskets", res.baskets()), ("rules", res.rules()),
+                       ("stats", res.stats()), ("candidates", all_candidates(res)), ("recommendations", recommend(res))):
+        cols = sorted(want.columns)
+        assert sorted(map(str, back[name].select(cols).collect())) == sorted(map(str, want.select(cols).collect())), name
+    rules = readers.read_rules_text(spark, f"{out}/text/rules")
+    assert rules.count() == back["rules"].count() > 0
+
+
 def test_text_round_trips(spark, f1_ratings, tmp_path):
     from basketmine import mine
     from basketmine.operators.candidates import generate_candidates
