@@ -103,9 +103,12 @@ def _buckets(reps: DataFrame, runs: int, small: int) -> DataFrame:
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     first = materialize(rows.join(counts, "bucket"), new_scratch(spark, "cp-first"))
     large = first.filter(F.col("c") > small)
-    following = F.get("lists", F.pmod(F.col("r") + 1, F.lit(runs)))
-    parts = (large.join(reps.select("node", "lists"), "node")
-             .select("node", "bucket", "c", F.explode(following).alias("t"))
+    # One row per node meets its lists; its large buckets are at most its chosen tokens.
+    mine = large.groupBy("node").agg(F.collect_list(F.struct("r", "bucket", "c")).alias("mine"))
+    following = F.get("lists", F.pmod(F.col("x.r") + 1, F.lit(runs)))
+    parts = (mine.join(reps.select("node", "lists"), "node")
+             .select("node", "lists", F.explode("mine").alias("x"))
+             .select("node", "x.bucket", "x.c", F.explode(following).alias("t"))
              .select("node", F.col("bucket").alias("parent"), F.col("c").alias("pc"),
                      F.xxhash64("bucket", "t").alias("bucket")))
     sizes = (parts.groupBy("parent", "pc", "bucket").agg(F.count(F.lit(1)).alias("c")))

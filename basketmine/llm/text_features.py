@@ -1,91 +1,197 @@
 """Hashed text features for the linear classifiers, and their bounded training sample.
 
 A text becomes the set of its hashed features: lower-cased words, character
-4-grams of words, word shapes (letter runs, digit runs, punctuation), and a few
-binned counts (share of distinct words, words equal to the one before, repeated
-lines).  Presence only: how often a feature occurs does not count, so a very
-long text is one set like any other.
+4-grams of the letters and digits of words, word shapes (letter runs, digit runs,
+punctuation), and a few binned counts (share of distinct words, words equal to
+the one before, repeated lines).  Presence only: how often a feature occurs does
+not count, so a very long text is one set like any other.
 
 Words end at Unicode white space and are taken whole, however long: a text
 without spaces (Chinese, Japanese, Thai) is one word with all its 4-grams and
 shapes.
+
+All texts of a group are hashed at once over one array of code points: a polynomial
+hash with prefix sums gives the hash of any stretch, so words, shapes and
+lines cost one pass each.  Scoring keeps only features that have a weight.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketmine.llm.common import MAX_CACHED_WORDS, hash_sample
+from basketmine.llm.common import hash_sample
+from basketmine.llm.shingles import mix
 
-DIM = 1 << 18
-GRAM = 4
+BITS = 18
+DIM = 1 << BITS
 SHAPE_WINDOW = 20            # longer shapes become all their windows of this length
-LONGEST_CACHED = 200         # bytes; the features of longer words are not remembered
-# White space beyond ASCII in UTF-8: U+0085, U+00A0, U+1680, U+2000-200A, U+2028-2029, U+202F, U+205F, U+3000.
-_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_SHAPE = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"(.)\1{2,}"), r"\1\1\1"))
-
-
-def _bucket(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "replace")) % DIM
-
-
-def word_features(word: str) -> tuple[int, ...]:
-    """Buckets of one word: itself, its 4-grams and the windows of its shape."""
-    low = word.lower()
-    out = {_bucket("w" + low)}
-    letters = "".join(c for c in low if c.isalnum())
-    padded = f"^{letters}$"
-    out.update(_bucket("g" + padded[i:i + GRAM]) for i in range(len(padded) - GRAM + 1))
-    shape = "U" if word.isupper() and len(letters) > 1 else ""
-    short = word
-    for pattern, to in _SHAPE:
-        short = pattern.sub(to, short)
-    out.update(_bucket("s" + shape + short[i:i + SHAPE_WINDOW])
-               for i in range(max(1, len(short) - SHAPE_WINDOW + 1)))
-    return tuple(out)
-
-
-def _words(data: bytes) -> list[bytes]:
-    return (data if data.isascii() else _WIDE_SPACE.sub(b" ", data)).split()
+PIECE = 400_000              # code points hashed at once; a longer text is several pieces of whole words
+_TABLE = 1 << 16             # code points looked up; of those beyond, only the ideographs count as letters
+_IDEOGRAPHS = 0x20000
+_BASE = 0x9E3779B97F4A7C15   # odd, so it has an inverse modulo 2^64
+_WORD, _GRAM, _SHAPE, _CAPITALS, _BIN = (np.uint64(k * 0xD6E8FEB86659FD93 % 2 ** 64) for k in range(1, 6))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+class Featurizer:
+    """Texts -> sorted arrays of their feature buckets, of those in `wanted` (a mask; all by default)."""
+
+    def __init__(self, wanted: np.ndarray | None = None):
+        chars = [chr(i) for i in range(_TABLE)]
+        self.space, self.letter, self.digit, self.alnum, self.upper, self.lower = (
+            np.array([f(c) for c in chars]) for f in
+            (str.isspace, str.isalpha, str.isdecimal, str.isalnum, str.isupper, str.islower))
+        self.low = np.array([ord(c.lower()[0]) for c in chars], np.uint32)
+        self.wanted = wanted
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, PIECE + 1)
+            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 2 ** 64))):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        """Prefix sums for `_stretch`."""
+        self._grow(len(values) + 1)
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mix(values.astype(np.uint64) + _BIN) * self.power[:len(values)], out=out[1:])
+        return out
+
+    def _stretch(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of values[a:b], wherever it stands."""
+        return (sums[b] - sums[a]) * self.inverse[a]
+
+    def _hits(self, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """owner * DIM + bucket of each feature that is wanted, once."""
+        bucket = _bucket(h)
+        if self.wanted is not None:
+            keep = self.wanted[bucket]
+            owner, bucket = owner[keep], bucket[keep]
+        return np.unique(owner * DIM + bucket)
+
+    def _piece(self, texts: list[str], owners: list[int]):
+        """Hits, and (owner, hash) of the words and of the lines with a word, in order."""
+        cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.array(owners, np.int64), [len(t) + 1 for t in texts])
+        at = np.minimum(cp, _TABLE - 1)
+        far = cp >= _TABLE
+        space = self.space[at] & ~far
+        if space.all():
+            return np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.int64)] * 2
+        wide = cp >= _IDEOGRAPHS
+        alnum = (self.alnum[at] & ~far) | wide
+        low = np.where(far, cp, self.low[at])
+        edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
+        a, b = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = self._sums(low)
+        word, of = self._stretch(sums, a, b), owner[a]
+        hits = [self._hits(of, word + _WORD)]
+        # 4-grams over letters and digits, 0 at both ends of a word.
+        stay = alnum | space
+        g, g_owner = np.where(alnum, low + np.uint32(1), np.uint32(0))[stay], owner[stay]
+        once = np.concatenate([[True], (g[1:] != 0) | (g[:-1] != 0)])
+        g, g_owner = np.concatenate([[0], g[once]]).astype(np.uint64), np.concatenate([[0], g_owner[once]])
+        if len(g) > 3:
+            ok = np.flatnonzero((g[1:-2] != 0) & (g[2:-1] != 0))
+            h = np.zeros(len(ok), np.uint64)
+            for i in range(4):
+                h = mix(h + _GRAM + g[ok + i])
+            hits.append(self._hits(g_owner[ok + 1], h))
+        # Shapes: a run of letters or digits as one mark, of other characters as three at most.
+        letter, digit = (self.letter[at] & ~far) | wide, self.digit[at] & ~far
+        mark = np.where(space, 0, np.where(letter, 1, np.where(digit, 2, cp.astype(np.int64) + 16)))
+        index = np.arange(len(mark))
+        new = np.concatenate([[True], mark[1:] != mark[:-1]])
+        run = index - np.maximum.accumulate(np.where(new, index, 0))
+        stay = (run == 0) | ((run < 3) & (mark > 2))
+        short = mark[stay]
+        edge = np.diff(np.concatenate([[1], (short == 0).view(np.int8), [1]]))
+        sa, sb = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)      # the same words, in the same order
+        capital = np.add.reduceat(self.upper[at] & ~far, a, dtype=np.int64) > 0
+        capital &= np.add.reduceat(self.lower[at] & ~far, a, dtype=np.int64) == 0
+        capital &= np.add.reduceat(alnum, a, dtype=np.int64) > 1
+        salt = np.where(capital, _CAPITALS, _SHAPE)
+        windows = np.maximum(sb - sa - SHAPE_WINDOW + 1, 1)
+        w = np.repeat(np.arange(len(sa)), windows)
+        first = sa[w] + np.arange(len(w)) - np.repeat(np.cumsum(windows) - windows, windows)
+        shape = self._stretch(self._sums(short), first, np.minimum(first + SHAPE_WINDOW, sb[w]))
+        hits.append(self._hits(of[w], shape + salt[w]))
+        ends = np.flatnonzero(cp == 10)
+        line = np.unique(np.searchsorted(ends, a))
+        begin = np.concatenate([[0], ends[:-1] + 1])
+        return np.concatenate(hits), of, word, owner[begin[line]], self._stretch(sums, begin[line], ends[line])
 
-
-class Featurizer(dict):
-    """text -> sorted array of its feature buckets; remembers a bounded number of words."""
-
-    def __missing__(self, word: bytes):
-        f = word_features(word.decode("utf-8", "replace"))
-        if len(self) < MAX_CACHED_WORDS and len(word) <= LONGEST_CACHED:
-            self[word] = f
-        return f
+    @staticmethod
+    def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+        """Number of distinct hashes per owner (their upper 44 bits)."""
+        both = np.unique((owner.astype(np.uint64) << np.uint64(44)) | (mix(h.astype(np.uint64)) >> np.uint64(20)))
+        return np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=n)
+
+    def _bins(self, n: int, of, word, line_of, line) -> np.ndarray:
+        words, lines = np.bincount(of, minlength=n), np.bincount(line_of, minlength=n)
+        same = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
+        repeats = np.bincount(of[1:][same], minlength=n)
+        some = np.maximum(words, 1)
+        size = np.where(words == 0, 15, np.minimum(np.log2(some).astype(np.int64), 10))
+        bins = [np.minimum(size, 5) + 64 * (words == 0), size * 16 + 8 * self._distinct(of, word, n) // some,
+                np.minimum(8, 16 * repeats // some),
+                4 * self._distinct(line_of, line, n) // np.maximum(lines, 1)]
+        out = [self._hits(np.arange(n), mix(b.astype(np.uint64) + np.uint64(1000 * k)) + _BIN)
+               for k, b in enumerate(bins)]
+        return np.concatenate(out)
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        pieces, now, owners, size = [], [], [], 0
+        for i, text in enumerate(texts):
+            start = 0
+            while True:
+                end = len(text)
+                if end - start > PIECE:       # cut at the last white space, or inside a word longer than a piece
+                    end = start + PIECE
+                    cut = max(text.rfind(c, start, end) for c in " \n\t")
+                    end = cut + 1 if cut > start else end
+                if size + end - start > PIECE and now:
+                    pieces.append((now, owners))
+                    now, owners, size = [], [], 0
+                now.append(text[start:end])
+                owners.append(i)
+                size += end - start
+                start = end
+                if start >= len(text):
+                    break
+        parts = [self._piece(*p) for p in [*pieces, (now, owners)]]
+        hits, *stats = (np.concatenate(x) for x in zip(*parts))
+        keys = np.unique(np.concatenate([hits, self._bins(len(texts), *stats)]))
+        cuts = np.searchsorted(keys, np.arange(len(texts) + 1) * DIM)
+        buckets = (keys % DIM).astype(np.int32)
+        return [buckets[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def features_of(self, batch) -> Iterator[np.ndarray]:
+        """Features of each text of `batch` (UTF-8 bytes, null for none), some texts at a time."""
+        group, size = [], 0
+        for data in batch:
+            text = data.decode("utf-8", "replace") if isinstance(data, bytes) else ""
+            group.append(text)
+            size += len(text)
+            if size >= PIECE or len(group) >= 2000:
+                yield from self._group(group)
+                group, size = [], 0
+        if group:
+            yield from self._group(group)
 
     def features(self, data: bytes | None) -> np.ndarray:
-        words = _words(data or b"")
-        distinct = set(words)
-        found = set(chain.from_iterable(map(self.__getitem__, distinct)))
-        found.update(self._bins(data or b"", words, distinct))
-        return np.sort(np.fromiter(found, np.int32, len(found)))
-
-    @staticmethod
-    def _bins(data: bytes, words: list[bytes], distinct: set[bytes]):
-        n = len(words)
-        if not n:
-            return [_bucket("b:empty")]
-        size = min(int(np.log2(n)), 10)
-        repeats = sum(map(bytes.__eq__, words, words[1:]))
-        lines = [x for x in data.split(b"\n") if x.strip()]
-        return [_bucket(f"b:size{min(size, 5)}"),
-                _bucket(f"b:distinct{size}:{int(8 * len(distinct) / n)}"),
-                _bucket(f"b:same{min(8, int(16 * repeats / n))}"),
-                _bucket(f"b:lines{int(4 * len(set(lines)) / len(lines)) if lines else 0}")]
+        return next(self.features_of([data]))
 
 
 def features_column(text: Column) -> Column:
@@ -94,8 +200,7 @@ def features_column(text: Column) -> Column:
     def featurize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = Featurizer()
         for b in batches:
-            yield pd.Series([f.features(t if isinstance(t, bytes) else None).tobytes() for t in b],
-                            dtype=object)
+            yield pd.Series([x.tobytes() for x in f.features_of(b)], dtype=object)
 
     return featurize(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -105,15 +210,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, *, doc_id
     """A deterministic sample of labelled documents, at most `max_rows`: label rows and features.
 
     Rows are taken in order of a hash of their id, so the sample does not
-    depend on partitioning.  The chosen ids (a bounded list) are joined to
-    the documents; only their features come to the driver.
+    depend on partitioning.  Of several labels of an id the least counts, of
+    several texts the one with the least hash.  The chosen ids (a bounded list) are
+    joined to the documents; only their features come to the driver, a
+    document's at most DIM numbers.
     """
-    chosen = (hash_sample(labels.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]),
-                          F.col(doc_id), max_rows)
-              .select(F.col(doc_id).alias("_tf_id"), *[F.col(c).alias(f"_tf_{c}") for c in columns]))
+    one = (labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_tf_id"))
+           .agg(F.count(F.lit(1)).alias("_tf_n"), *[F.min(c).alias(f"_tf_{c}") for c in columns]))
+    chosen = hash_sample(one, F.col("_tf_id"), max_rows)
     rows = (docs.select(F.col(doc_id).alias("_tf_doc"), F.col(text).alias("_tf_text"))
             .join(F.broadcast(chosen), F.col("_tf_doc") == F.col("_tf_id"))
-            .dropDuplicates(["_tf_doc"])
+            .groupBy("_tf_doc", *[f"_tf_{c}" for c in columns])
+            .agg(F.min_by("_tf_text", F.struct(F.xxhash64("_tf_text"), "_tf_text")).alias("_tf_text"))
             .select("_tf_doc", *[f"_tf_{c}" for c in columns],
                     features_column(F.col("_tf_text")).alias("_tf_x"))
             .collect())
@@ -190,10 +298,8 @@ def score_column(text: Column, weights: np.ndarray, fields: str, make) -> Column
 
     @F.pandas_udf(fields)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        f = Featurizer()
+        f = Featurizer(weights != 0)
         for b in batches:
-            dots = np.array([float(weights[f.features(t if isinstance(t, bytes) else None)].sum(dtype=np.float64))
-                             for t in b], dtype=np.float64)
-            yield make(dots)
+            yield make(np.array([weights[x].sum(dtype=np.float64) for x in f.features_of(b)], dtype=np.float64))
 
     return score(F.coalesce(text, F.lit("")).cast("binary"))
