@@ -1,4 +1,7 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from basketmine.llm import queries, rp_forest
 
@@ -33,20 +36,20 @@ def test_full_share_is_exact_with_ties_and_odd_vectors(spark):
     odd = [(300, None), (301, []), (302, [0.0] * 6), (303, [1.0, None] + [0.0] * 4), (304, [float("nan")] * 6),
            (305, [float("inf")] + [0.0] * 5), (None, rows[0][1]), (306, [1.0, 2.0])]
     want = brute(rows, set(range(400)))
-    got = run(spark, rows + odd + rows[:5], share=100.0)
+    got = run(spark, rows + odd + rows[:5], leaves=10 ** 9)
     assert got.keys() == want.keys()
     for q, near in want.items():
         assert [i for i, _ in got[q]] == [i for i, _ in near], q
         assert np.allclose([s for _, s in got[q]], [s for _, s in near], rtol=0, atol=1e-15)
 
 
-def test_chunks_and_blocks_give_the_same(spark, monkeypatch):
+def test_chunks_and_slices_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(150)]
-    plain = run(spark, rows, 3, share=100.0, depth=2)
+    plain = run(spark, rows, 3, leaves=10 ** 9, depth=2)
     monkeypatch.setattr(rp_forest, "CHUNK", 9)
-    monkeypatch.setattr(rp_forest, "QUERY_BLOCK", 11)
-    assert run(spark, rows, 3, share=100.0, depth=2) == plain
+    monkeypatch.setattr(rp_forest, "SLICE", 11)
+    assert run(spark, rows, 3, leaves=10 ** 9, depth=2) == plain
 
 
 def test_few_candidates_and_empty_table(spark):
@@ -75,3 +78,50 @@ def test_recall_of_the_registered_query(spark):
         best = set(ids[np.lexsort((ids, -s))[:5]].tolist())
         hits, total = hits + len(best & got[ids[q]]), total + 5
     assert hits / total >= 0.9
+
+
+def recall_and_leaves(spark, folder, x, monkeypatch):
+    """Recall at 5 over the queries, and the share of all leaves that a query takes."""
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x.astype(np.float32)))}),
+                   f"{folder}/embeddings.parquet")
+    seen, measure = [], rp_forest.leaves_for
+
+    def spy(forest, held, *rest):
+        seen.append(measure(forest, held, *rest))
+        seen.append(held.size)
+        return seen[0]
+
+    monkeypatch.setattr(rp_forest, "leaves_for", spy)
+    got = {}
+    for r in queries.op4_nearest(spark, str(folder)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    monkeypatch.setattr(rp_forest, "leaves_for", measure)
+    unit = x.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    hits = total = 0
+    for q in range(0, len(x), 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits, total = hits + len(set(np.argsort(-s, kind="stable")[:5].tolist()) & got[q]), total + 5
+    return hits / total, seen[0] / seen[1]
+
+
+def clustered(rng, n):
+    """Groups of 40 vectors around centres of their own."""
+    return np.repeat(rng.normal(size=(n // 40, 64)), 40, axis=0) + 0.3 * rng.normal(size=(n, 64))
+
+
+@pytest.mark.parametrize("n", [5_000, 20_000])
+def test_recall_on_random_directions(spark, tmp_path, monkeypatch, n):
+    recall, _ = recall_and_leaves(spark, tmp_path, np.random.default_rng(3).normal(size=(n, 64)), monkeypatch)
+    assert recall >= 0.9
+
+
+def test_clustered_vectors_need_a_falling_share(spark, tmp_path, monkeypatch):
+    shares = []
+    for n in (4_000, 40_000):
+        (tmp_path / str(n)).mkdir()
+        recall, share = recall_and_leaves(spark, tmp_path / str(n), clustered(np.random.default_rng(4), n), monkeypatch)
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[1] < shares[0] / 3
