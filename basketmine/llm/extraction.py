@@ -8,15 +8,17 @@ other.
 
 The trees are fitted on a bounded, deterministic sample of the pages themselves.
 Pages that mark their article with the `article` element serve as seeds: their
-blocks inside it are main, the rest is not.  To learn other layouts as well,
-each seed's text is set again in varied layouts (containers, menus, notices,
-side bars, forms, reader comments, with usual class and id words) whose labels
-are known by construction.
+blocks inside it are main, the rest is not.  Copies of a page are one seed.  To
+learn other layouts as well, each seed's text is set again in varied layouts
+(containers, menus, notices, side bars, forms, reader comments, with usual class
+and id words) whose labels are known by construction.  Where no page can be a seed,
+the trees learn from such layouts of invented sentences alone.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from html import escape
 
@@ -32,9 +34,11 @@ from basketmine.llm.dom import N_FEATURES, Page
 MAX_SEEDS = 300          # pages the trees are fitted on
 MAX_SEED_CHARS = 20_000  # longer pages are no seeds (they are extracted like any other)
 LAYOUTS = 3              # varied layouts per seed
+INVENTED = 100           # invented stories if there is no seed
 MIXED_COST = 0.7         # what a mixed verdict costs, in log units
 SLICE = 200              # pages whose nodes are scored at a time
 MARK = "\x02"            # stands before main text in training layouts
+ARTICLE = re.compile("(?i)<article[^>]*>")
 
 SCHEMA = "text string, n_chars long, n_nodes int"
 
@@ -77,10 +81,11 @@ def _blocks(page: Page, wanted: list[bool]) -> list[str]:
 
 def _shortened(rng: random.Random, html: str, main: list[str]) -> str:
     """The seed page with an article of a few words."""
-    start = html.index(">", html.index("<article")) + 1
-    end = html.find("</article", start)
+    start = ARTICLE.search(html).end()
+    close = re.compile("(?i)</article").search(html, start)
+    end = close.start() if close else len(html)
     words = escape(" ".join(rng.choice(main).split()[:rng.randint(1, 12)]))
-    return f"{html[:start]}<h1>{words[:60]}</h1><p>{words}</p>{html[end if end > 0 else len(html):]}"
+    return f"{html[:start]}<h1>{words[:60]}</h1><p>{words}</p>{html[end:]}"
 
 
 # Containers of the main text and of boilerplate in the layouts.
@@ -150,9 +155,32 @@ def _layout(rng: random.Random, main: list[str], other: list[str]) -> str:
             + _wrap(rng, _FOOT, some(1, 150)[0]) + "</body></html>")
 
 
+def _invented(rng: random.Random) -> list[str]:
+    """Blocks of a story of invented words."""
+    def word():
+        return "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+
+    def sentence():
+        return " ".join(word() for _ in range(rng.randint(4, 18))).capitalize() + rng.choice([".", ".", "?", ", and so on."])
+
+    return [" ".join(sentence() for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 12))]
+
+
 def fit(seeds: list[str], seed: int = 3) -> BoostedTrees:
-    """Fit on the seed pages and their varied layouts; without any seed every node is as likely as not."""
+    """Fit on the seed pages and their varied layouts; without any usable seed on invented ones."""
     rng, rows, labels = random.Random(seed), [], []
+
+    def learn(page: Page, wanted: list[bool]):
+        r, y = _labels(page, wanted)
+        rows.extend(r)
+        labels.extend(y)
+
+    def learn_layouts(main: list[str], pool: list[str]):
+        for _ in range(LAYOUTS):
+            few = [" ".join(main[0].split()[:rng.randint(1, 15)])] if rng.random() < 0.2 else main[:40]
+            layout = Page(_layout(rng, few, pool))
+            learn(layout, [d.lstrip().startswith(MARK) for _, _, d in layout.pieces])
+
     parsed = [Page(h) for h in seeds]
     articles = [(p, _in_article(p)) for p in parsed]
     mains = [_blocks(p, w) for p, w in articles]
@@ -161,19 +189,16 @@ def fit(seeds: list[str], seed: int = 3) -> BoostedTrees:
     for html, (page, wanted), main in zip(seeds, articles, mains):
         if not main or not pool:
             continue
-        r, y = _labels(page, wanted)
-        rows += r
-        labels += y
-        short = Page(_shortened(rng, html, main))
-        r, y = _labels(short, _in_article(short))
-        rows += r
-        labels += y
-        for _ in range(LAYOUTS):
-            few = [" ".join(main[0].split()[:rng.randint(1, 15)])] if rng.random() < 0.2 else main[:40]
-            layout = Page(_layout(rng, few, pool))
-            r, y = _labels(layout, [d.lstrip().startswith(MARK) for _, _, d in layout.pieces])
-            rows += r
-            labels += y
+        learn(page, wanted)
+        if ARTICLE.search(html):
+            short = Page(_shortened(rng, html, main))
+            learn(short, _in_article(short))
+        learn_layouts(main, pool)
+    if not rows:
+        stories = [_invented(rng) for _ in range(INVENTED)]
+        pool = [b for story in stories for b in story]
+        for story in stories:
+            learn_layouts(story, pool)
     x = np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES)
     return BoostedTrees(x, np.array(labels, dtype=np.float64))
 
@@ -226,10 +251,17 @@ def extract_pages(html: list[str | None], model: BoostedTrees) -> list[tuple[str
 
 
 def train(pages: DataFrame, html: str = "html", max_seeds: int = MAX_SEEDS) -> BoostedTrees:
-    """Fit on the pages with an `article` element whose hash is smallest, at most `max_seeds`."""
+    """Fit on distinct pages with an `article` element (in any case), at most `max_seeds` of them.
+
+    Pages are told apart and drawn by a hash, so copies never crowd others out and
+    the seeds do not depend on the partitioning.  Only hashes are shuffled.
+    """
     h = F.col(html)
-    seeds = pages.filter(h.contains("<article") & (F.length(h) <= MAX_SEED_CHARS)).select(h.alias("h"))
-    return fit([r["h"] for r in hash_sample(seeds, F.col("h"), max_seeds).collect()])
+    able = (pages.filter(h.rlike("(?i)<article") & (F.length(h) <= MAX_SEED_CHARS))
+            .select(h.alias("h"), F.xxhash64(h).alias("k")))
+    drawn = [r["k"] for r in hash_sample(able.select("k").distinct(), F.col("k"), max_seeds).collect()]
+    seeds = able.filter(F.col("k").isin(drawn)).groupBy("k").agg(F.min("h").alias("h"))
+    return fit([r["h"] for r in seeds.orderBy("k").collect()])
 
 
 def main_text(html: Column, model: BoostedTrees) -> Column:
@@ -237,7 +269,10 @@ def main_text(html: Column, model: BoostedTrees) -> Column:
 
     Defined cases: a null or empty page has an empty text; text outside any
     element counts as its own node at the root; unclosed elements end with their
-    parent; scripts, styles and form controls never give text.
+    parent; scripts, styles and form controls never give text.  Pages are read
+    whole, however long; equal pages have equal texts; a node as likely as not is
+    kept; an empty table gives no rows.  Only the given column is read, so other
+    columns may have any name.
     """
     @F.pandas_udf(SCHEMA)
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -110,7 +110,27 @@ def test_edge_cases(spark, model):
 
 def test_training_without_seeds(spark):
     none = extraction.train(spark.createDataFrame([(1, "<p>no article"), (2, None)], "page_id int, html string"))
-    assert isinstance(extraction.extract_pages(["<p>x"], none)[0][0], str)
+    story = "The keeper lit the lamp at dusk, and the boats came home one by one. Nobody spoke of the storm. "
+    page = (f"<html><body><div class=menu><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div>"
+            f"<div class=post-content><p>{story * 3}</p><p>{story}</p></div><footer>Foot 2020</footer></body></html>")
+    assert extraction.extract_pages([page], none)[0][0] == " ".join((story * 4).split())
+
+
+def test_copies_are_one_seed_whatever_the_case_and_partitioning(spark, monkeypatch):
+    def page(i, tag="article"):
+        return f"<html><body><nav>Menu</nav><{tag}><p>Story number {i}.</p></{tag}></body></html>"
+
+    rows = [(page(0),)] * 3000 + [(page(i, "ARTICLE" if i % 2 else "article"),) for i in range(1, 51)] + [(None,)]
+    got = []
+    monkeypatch.setattr(extraction, "fit", lambda seeds: got.append(seeds))
+    df = spark.createDataFrame(rows, "html string")
+    extraction.train(df.repartition(3))
+    extraction.train(df.repartition(11))
+    assert got[0] == got[1] and sorted(got[0]) == sorted({r[0] for r in rows} - {None})
+    extraction.train(df, max_seeds=20)
+    assert len(set(got[2])) == 20
+    monkeypatch.undo()
+    assert extraction.extract_pages([page(7, "ARTICLE")], extraction.fit(got[0]))[0][0] == "Story number 7."
 
 
 def test_boosting_learns_an_interaction():
