@@ -96,7 +96,7 @@ def op4_nearest(spark, d):
 def op5_mix_sources(spark, d):
     out = mixing.mix(table(spark, d, "documents").select("doc_id", "text", "source"),
                      keep=("doc_id", "source"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 # Sources in order of cap / weight are capped up to the first one whose cap is
@@ -122,8 +122,8 @@ c AS (SELECT source, h, CAST(sum(size) AS BIGINT) AS n, CAST(sum(sum(size)) OVER
 e AS (SELECT p.source, p.k, max(CASE WHEN cum <= budget OR (cum - n <= budget AND cum - budget < budget - (cum - n))
       THEN h END) AS cut FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source
       WHERE budget > 0 GROUP BY p.source, p.k)
-SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-  CAST(d.size * (SELECT count(*) FROM e WHERE e.source IS NOT DISTINCT FROM d.source AND d.h <= e.cut) AS BIGINT) AS taken
+SELECT d.doc_id, d.size, t.source_size, t.target,
+  CAST(d.size * (SELECT count(*) FROM e WHERE e.source IS NOT DISTINCT FROM d.source AND d.h <= e.cut) AS BIGINT) AS taken, d.source
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
@@ -136,30 +136,39 @@ OP6_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
 def op6_url_filter(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
     return (pages.withColumn("j", url_filter.judge_url(F.col("url"), OP6_RULES))
-            .select("page_id", "j.host", "j.path", "j.rule", "j.verdict", "j.n_strict", "j.n_soft"))
+            .select("page_id", "j.host", "j.path", "j.rule", "j.verdict", "j.n_strict", "j.n_soft",
+                    "j.soft_weight"))
 
 
 def _sql_op6() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    edge = r"[^a-z0-9\x{80}-\x{10FFFF}]"
+    part = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 
-    def hits(kind):
-        return " + ".join(f"CAST(regexp_matches(u, '(^|{edge}){t}($|{edge})') AS INTEGER)"
-                          for t, k in url_filter.VOCABULARY if k == kind)
+    # Terms of letters only: a URL holds one at boundaries if it is one of the URL's parts.
+    def hits(weights):
+        terms = "', '".join(t for t, w in weights)
+        return f"len(list_intersect(parts, ['{terms}']))"
+
+    strict = [(t, w) for t, k, w in url_filter.VOCABULARY if k == url_filter.STRICT]
+    soft = [(t, w) for t, k, w in url_filter.VOCABULARY if k == url_filter.SOFT]
+    weight = " + ".join(f"{n} * {hits([(t, w) for t, w in soft if w == n])}" for n in sorted({w for _, w in soft}))
 
     fits = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
         for _, h, p in sorted(OP6_RULES, key=lambda r: -len(r[1] + r[2])))
     verdicts = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in OP6_RULES)
     return f"""
-WITH a AS (SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS u,
+WITH a AS (SELECT page_id, regexp_replace(translate(coalesce(url, ''), '{upper}', '{lower}'), '%[0-9a-f]{{2}}', ' ', 'g') AS u,
   CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-b AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+b AS (SELECT page_id, list_distinct(regexp_extract_all(u, '{part}')) AS parts, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, CASE {fits} END AS rule, {hits("strict")} AS n_strict, {hits("soft")} AS n_soft FROM b)
+c AS (SELECT *, CASE {fits} END AS rule, {hits(strict)} AS n_strict, {hits(soft)} AS n_soft,
+  {weight} AS soft_weight FROM b)
 SELECT page_id, host, path, rule, CASE {verdicts}
-  WHEN n_strict > 0 OR n_soft >= {url_filter.MIN_SOFT} THEN 'block' ELSE 'allow' END AS verdict,
-  CAST(n_strict AS INTEGER) AS n_strict, CAST(n_soft AS INTEGER) AS n_soft FROM c
+  WHEN n_strict > 0 OR n_soft >= {url_filter.MIN_SOFT} AND soft_weight >= {url_filter.MIN_WEIGHT} THEN 'block'
+  ELSE 'allow' END AS verdict,
+  CAST(n_strict AS INTEGER) AS n_strict, CAST(n_soft AS INTEGER) AS n_soft, CAST(soft_weight AS INTEGER) AS soft_weight
+FROM c
 """
 
 # --------------------------------------------------------------- op7

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from basketmine.llm import queries
@@ -21,6 +22,13 @@ CASES = {
     "": ("", "", None, "allow"),
     None: ("", "", None, "allow"),
     "x://h#f": ("h", "", None, "allow"),
+    "https://news.com/free-offer/win": ("news.com", "/free-offer/win", None, "block"),     # 3 weak terms
+    "https://news.com/free-offer": ("news.com", "/free-offer", None, "allow"),             # 2 weak terms
+    "https://poker.com/poker/POKER": ("poker.com", "/poker/POKER", None, "allow"),         # one telling term
+    "https://poker.com/bonus": ("poker.com", "/bonus", None, "block"),
+    "https://essex.gov.uk/analysis-of-pharmacy_law": ("essex.gov.uk", "/analysis-of-pharmacy_law", None, "allow"),
+    "https://shop.com/?q=cheap%20viagra": ("shop.com", "/", None, "block"),
+    "https://docs.org/xxx1/1xxx/xxxé": ("docs.org", "/xxx1/1xxx/xxxé", None, "allow"),
     "https://éads.com/track": ("éads.com", "/track", None, "allow"),
     "https://long.com/" + "a" * 100_000: ("long.com", "/" + "a" * 100_000, None, "allow"),
 }
@@ -47,3 +55,25 @@ def test_empty_table_and_empty_vocabulary(spark):
     assert df.select(u.judge_url(F.col("url"), queries.OP6_RULES)).collect() == []
     one = spark.createDataFrame([("http://casino.com/",)], "url string")
     assert one.select(u.judge_url(F.col("url"), vocabulary=())["verdict"]).first()[0] == "allow"
+
+
+def test_vocabulary_table(spark):
+    cols = "term string, kind string, weight int, verdict string"
+    rows = [(" Alpha ", "soft", 1, "x"), ("alpha", "soft", 2, "x"), ("beta", "soft", 5, "x"), ("beta", "strict", 1, "x"),
+            ("gamma-ray", "soft", 2, "x")]
+    vocabulary = u.read_vocabulary(spark.createDataFrame(rows, cols))
+    assert vocabulary == [("alpha", "soft", 2), ("beta", "strict", 1), ("gamma-ray", "soft", 2)]
+    df = spark.createDataFrame([("h://a/alpha",), ("h://a/alpha/gamma-ray",), ("h://beta",)], "url string")
+    got = df.select(u.judge_url(F.col("url"), vocabulary=vocabulary).alias("j")).select("j.*").collect()
+    assert [(r.verdict, r.n_strict, r.n_soft, r.soft_weight) for r in got] == [
+        ("allow", 0, 1, 2), ("block", 0, 2, 4), ("block", 1, 0, 0)]
+    with pytest.raises(ValueError):
+        u.read_vocabulary(spark.createDataFrame(rows, cols), max_terms=4)
+    for bad in ((None, "soft", 1, ""), ("a", "mild", 1, ""), ("a", "soft", 0, "")):
+        with pytest.raises(ValueError):
+            u.read_vocabulary(spark.createDataFrame([bad], cols))
+
+
+def test_built_in_terms_stand_once():
+    terms = [t for t, _, _ in u.VOCABULARY]
+    assert len(set(terms)) == len(terms) and all(t == t.lower() for t in terms)
