@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from basketmine.llm import chosen_path as cp
 from basketmine.llm import components
@@ -81,6 +83,48 @@ def test_large_buckets_are_split_and_compared_in_blocks(spark):
     check(spark, rows + [(100 + d, t) for d, t in corpus(5, 4)], small=4, block=7)
 
 
+def buckets_of(spark, texts, **kw):
+    docs = spark.createDataFrame(list(enumerate(texts)), "_cp_id long, _cp_text string").selectExpr(
+        "_cp_id", "xxhash64(_cp_text) AS _cp_hash", "_cp_text")
+    nodes = cp._sketch(docs, 0.8, cp.runs_for(0.9999)).filter("node IS NOT NULL").cache()
+    found = cp._buckets(nodes, cp.SMALL, cp.LEVELS, 0.8)
+    return nodes, found.groupBy("node").agg(F.collect_list(F.struct(F.col("bucket").alias("b"), "c")).alias("buckets"))
+
+
+def test_a_shared_passage_is_split_away(spark):
+    rng = random.Random(8)
+    passage, m = [f"p{i}" for i in range(60)], 1_000
+    texts = [" ".join(passage + [f"w{rng.randrange(10 ** 6)}" for _ in range(300)]) for _ in range(m)]
+    _, found = buckets_of(spark, texts)
+    cost = found.select(F.explode("buckets").alias("x")).agg(F.sum("x.c")).first()[0] or 0
+    assert cost < 0.5 * m * m          # cells of the compared matrices, of m * m
+
+
+def test_sets_of_near_copies_are_shipped_few_times(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([f"x{i}" if k == at else w for k, w in enumerate(base)])
+             for i in range(300) for at in [rng.randrange(300)]]
+    nodes, found = buckets_of(spark, texts)
+    places = cp._places(nodes.select("node", "n").join(found, "node"), 1_000, 0.8)
+    every = found.agg(F.sum(F.size("buckets"))).first()[0]
+    assert 300 <= places.count() < every / 2
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 9)), st.sets(st.integers(0, 3)), st.booleans()), min_size=2,
+                max_size=9), st.booleans())
+def test_matrix_of_linked_pairs(rows, split):
+    sets, before, sides = ([np.array(sorted(r[0]), np.uint64) for r in rows],
+                           [np.array(sorted(r[1]), np.int64) for r in rows], np.array([r[2] for r in rows]))
+    got = cp.compare(sets, sides if split else None, before, 0.5)
+    for i, (s, b, side) in enumerate(rows):
+        for j, (t, d, other) in enumerate(rows):
+            want = (i != j and bool(s & t) and len(s & t) >= 0.5 * len(s | t) and not b & d
+                    and (not split or side != other))
+            assert got[i, j] == want
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "one two"), (6, "one  two\n"), (7, "One two"),
             (8, "a b c d e"), (9, "a b c d e f"), (None, "n o p q r s"), (11, "n o p q r s"), (None, "alone here"),
@@ -98,6 +142,7 @@ def test_empty_table(spark):
 
 def test_runs_reach_the_recall():
     assert cp.runs_for(0.99) < cp.runs_for(0.9999) < 20
+    assert cp.runs_for(0.9999, 1) < cp.runs_for(0.9999, 3)
     with pytest.raises(ValueError):
         cp.runs_for(1.0)
 
