@@ -122,13 +122,13 @@ def _sketch(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
                                "lists array<array<long>>, pool array<int>")
 
 
-def _split(large: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _split(large: DataFrame, pools: DataFrame, threshold: float) -> DataFrame:
     """(node, parent, bucket, c): the parts, of 2 nodes or more, of the buckets of `large` (node, bucket)."""
     size = F.lit(threshold) * F.col("n")
     limit = F.lit(2.0 ** 63) * F.least(F.lit(1.0), F.lit(BELOW) / F.least(F.lit(POOL), size))
     # One row per node meets its pool.
     mine = large.groupBy("node").agg(F.collect_list("bucket").alias("mine"))
-    kids = (mine.join(reps.select("node", "n", "pool"), "node")
+    kids = (mine.join(pools, "node")
             .select("node", "pool", limit.alias("limit"), F.explode("mine").alias("parent"))
             .select("node", "parent", F.explode(F.filter(
                 "pool", lambda t: F.xxhash64("parent", t).bitwiseAND(2 ** 63 - 1) < F.col("limit"))).alias("t"))
@@ -145,11 +145,15 @@ def _buckets(reps: DataFrame, small: int, levels: int, threshold: float) -> Data
             .select("node", F.xxhash64("r", "t").alias("bucket")))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     level = [materialize(rows.join(counts, "bucket").select("node", "bucket", "c"), new_scratch(spark, "cp-first"))]
+    pools = None                                     # of the nodes that any large bucket holds
     for _ in range(levels):
         large = level[-1].filter(F.col("c") > small)
         if large.isEmpty():
             break
-        level.append(materialize(_split(large, reps, threshold), new_scratch(spark, "cp-parts")))
+        if pools is None:
+            pools = materialize(reps.select("node", "n", "pool").join(large.select("node").distinct(), "node", "left_semi"),
+                                new_scratch(spark, "cp-pools"))
+        level.append(materialize(_split(large, pools, threshold), new_scratch(spark, "cp-parts")))
     # From the last level up: what a bucket costs, split wherever that gains enough.
     square = F.col("c").cast("double") * F.col("c")
     gains, below = [], None
