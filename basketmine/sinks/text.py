@@ -7,11 +7,13 @@ DataFrame write: each task writes its own part file.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import FIELD_SEP, items_text, items_text_as_strings, rule_text
-from ..plans.runtime import key_bytes, materialize, maybe_broadcast, new_scratch
+from ..plans.runtime import TASK_ROWS, key_bytes, materialize, maybe_broadcast, new_scratch
 from ..sources.blocks import HEADER_END
 
 
@@ -131,19 +133,21 @@ def block_lines(lines: DataFrame, *, normalised: bool, max_block_rows: int = BLO
     Columns: `by`, `value` and the order (_item, _chunk, _kind).  Headers and
     ratings are rows of their own, so no item is ever one value.  An item with more
     than `max_block_rows` lines is dealt into chunks by a hash of the line, each
-    under a header of its own; chunks are spread over the partitions and sorted
-    there.  Readers that go by the header above a line see one item.  With
+    under a header of its own; chunks are spread over the partitions, whose number
+    follows from the number of lines, and sorted there.  Readers that go by the header above a line see one item.  With
     `normalised` an empty line ends a chunk.
     """
     spark = lines.sparkSession
     rows = lines.select(*by, F.col("item_id").cast("string").alias("_item"), F.col("line").alias("value"))
     keys = [*by, "_item"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    chunks = materialize(counts.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_n") / max_block_rows))
+    chunks = materialize(counts.select(*keys, "_n", F.greatest(F.lit(1), F.ceil(F.col("_n") / max_block_rows))
                                        .cast("int").alias("_c")), new_scratch(spark, "chunks"))
-    hot = chunks.filter("_c > 1")
-    size = hot.agg(F.coalesce(F.sum(key_bytes(hot, keys)), F.lit(0))).first()[0]
-    dealt = (rows.join(maybe_broadcast(hot, int(size)), keys, "left")
+    hot = chunks.filter("_c > 1").drop("_n")
+    found = chunks.agg(F.sum("_n").alias("rows"),
+                       F.sum(F.when(F.col("_c") > 1, key_bytes(chunks, keys))).alias("bytes")).first()
+    n_tasks = math.ceil((found["rows"] or 0) / TASK_ROWS)
+    dealt = (rows.join(maybe_broadcast(hot, int(found["bytes"] or 0)), keys, "left")
              .withColumn("_chunk", F.pmod(F.xxhash64("value"),
                                           F.coalesce("_c", F.lit(1))).cast("int")))
     marks = [F.struct(F.lit(0).alias("_kind"), F.concat("_item", F.lit(HEADER_END)).alias("value"))]
@@ -153,7 +157,8 @@ def block_lines(lines: DataFrame, *, normalised: bool, max_block_rows: int = BLO
              .select(*keys, "_chunk", F.explode(F.array(*marks)).alias("_m"))
              .select(*keys, "_chunk", "_m._kind", "_m.value"))
     every = dealt.select(*keys, "_chunk", F.lit(1).alias("_kind"), "value").unionByName(heads)
-    return (every.repartition(*keys, "_chunk").sortWithinPartitions(*by, *_ORDER)
+    number = [n_tasks] if n_tasks > 1 else []
+    return (every.repartition(*number, *keys, "_chunk").sortWithinPartitions(*by, *_ORDER)
             .select(*by, *_ORDER, "value"))
 
 

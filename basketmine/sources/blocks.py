@@ -9,8 +9,10 @@ Input format (one movie after another, with or without empty lines between):
 Files are read line by line, so no record, row or task ever holds a whole movie
 or file.  A header is a line that ends in ":".  The scan is written once to
 shared storage as (file, split, position, line), so positions are fixed whatever
-the split size is later.  A line's owner is the last header before it in its
-split, or else the last one of the splits before; the window spans one split.
+the split size is later.  A split is cut into pieces of at most PIECE_ROWS lines.  A
+line's owner is the last header before it in its piece, or else the last one of the
+pieces before.  The window spans one piece, and the number of tasks follows from the
+number of lines, so no task sorts more for a larger file or split.
 
 * `read_raw_ratings` ignores empty lines (the form of the original download).
 * `read_rating_blocks` reads the normalised form: an empty line ends a block,
@@ -27,11 +29,14 @@ modes.  Ids are trimmed.  A header without ratings yields no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import normalise_blocks, strip_blank
-from ..plans.runtime import materialize, new_scratch
+from ..plans.runtime import (TASK_ROWS, key_bytes, materialize, materialize_measured, maybe_broadcast,
+                             new_scratch)
 
 # Fixed values of the reference's input: file names that hold ratings
 # (matched at the start of the name only, no end anchor), the record separator
@@ -40,6 +45,7 @@ RATING_FILE_GLOB = "combined_data_*"
 RATING_FILE_REGEX = r"^combined_data_\d+\.txt"
 BLOCK_SEP = "\n\n"
 HEADER_END = ":"
+PIECE_ROWS = 16_384      # lines of a split that are put in order together
 
 
 def _scan(spark: SparkSession, path: str, line_sep: str, name_regex: str | None,
@@ -98,27 +104,39 @@ def parse_rating_blocks(blocks: DataFrame, mode: str = "skip") -> DataFrame:
     return _rating_rows(lines.select("item_raw", rating.alias("line")), mode)
 
 
-def _owned_lines(lines: DataFrame, blank_ends_block: bool) -> DataFrame:
-    """(file, block, pos, line) -> adds `owner`, the struct of the header a line belongs to."""
+def _owned_lines(lines: DataFrame, n_rows: int, blank_ends_block: bool) -> DataFrame:
+    """(file, block, pos, line) -> adds `owner`, the struct of the header a line belongs to.
+
+    `headless` is the path of a file that has lines but no header at all, else null.
+    """
+    spark, keys = lines.sparkSession, ["file", "block", "piece"]
     header = F.when(F.col("line").endswith(HEADER_END), F.struct(
         F.expr("substring(line, 1, length(line) - 1)").alias("id")))
     if blank_ends_block:
         header = header.when(F.col("line") == "", F.struct(F.lit(None).cast("string").alias("id")))
-    rows = lines.withColumn("head", header)
-    upto = (Window.partitionBy("file", "block").orderBy("pos")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # One row per split: its last header, and the last header of the splits before it.
-    splits = rows.groupBy("file", "block").agg(
-        F.max_by("head", F.when(F.col("head").isNotNull(), F.col("pos"))).alias("tail"),
+    # Positions of a split are consecutive (but for lines left out), so its pieces are in its order.
+    rows = lines.withColumn("head", header).withColumn("piece", F.floor(F.col("pos") / PIECE_ROWS))
+    # One row per piece, of numbers only: an aggregate of texts would sort whole scan tasks.
+    pieces = materialize(rows.groupBy(*keys).agg(
+        F.max(F.when(F.col("head").isNotNull(), F.col("pos"))).alias("tail_pos"),
         F.max(F.col("line").endswith(HEADER_END)).alias("any_header"),
-        F.max(F.col("line") != "").alias("any_line"))
+        F.max(F.col("line") != "").alias("any_line")), new_scratch(spark, "pieces"))
+    n_bytes = pieces.agg(F.coalesce(F.sum(key_bytes(pieces, keys)), F.lit(0))).first()[0]
+    ends = pieces.filter("tail_pos IS NOT NULL").select(F.col("tail_pos").alias("pos"))
+    tails = (rows.filter(F.col("head").isNotNull()).join(maybe_broadcast(ends, int(n_bytes)), "pos")
+             .select(F.col("pos").alias("tail_pos"), F.col("head").alias("tail")))
     of_file = Window.partitionBy("file")
-    before = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = splits.select("file", "block", F.last("tail", ignorenulls=True).over(before).alias("carry"),
-                          (F.max("any_line").over(of_file) & ~F.max("any_header").over(of_file))
-                          .alias("headless"))
-    here = rows.withColumn("here", F.last("head", ignorenulls=True).over(upto))
-    return (here.join(carry, ["file", "block"])
+    before = of_file.orderBy("block", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    no_header = F.max("any_line").over(of_file) & ~F.max("any_header").over(of_file)
+    carry = materialize(pieces.join(tails, "tail_pos", "left").select(
+        *keys, F.last("tail", ignorenulls=True).over(before).alias("carry"),
+        F.when(no_header, F.col("file")).alias("headless")), new_scratch(spark, "carry"))
+    carry_bytes = carry.agg(F.coalesce(F.sum(
+        key_bytes(carry, [*keys, "headless"]) + F.coalesce(F.octet_length("carry.id"), F.lit(0))), F.lit(0))).first()[0]
+    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = (rows.repartition(max(1, math.ceil(n_rows / TASK_ROWS)), *keys)
+            .withColumn("here", F.last("head", ignorenulls=True).over(upto)))
+    return (here.join(maybe_broadcast(carry, int(carry_bytes)), keys)
             .withColumn("owner", F.coalesce("here", "carry")))
 
 
@@ -131,15 +149,15 @@ def _read(spark: SparkSession, path: str, mode: str, name_regex: str | None,
         strip_blank("value").alias("line"))
     if not blank_ends_block:
         scan = scan.filter(F.col("line") != "")
-    lines = materialize(scan, new_scratch(spark, "rating-lines"))
-    owned = _owned_lines(lines, blank_ends_block)
+    lines, seen = materialize_measured(scan, new_scratch(spark, "rating-lines"), [F.count(F.lit(1)).alias("rows")])
+    owned = _owned_lines(lines, int(seen["rows"]), blank_ends_block)
     is_header = F.col("line").endswith(HEADER_END)
     wanted = ~is_header & (F.col("line") != "")
     if mode == "fail":
         bad = is_header & F.trim(F.col("owner.id")).try_cast("bigint").isNull()
         wanted = F.when(bad, F.raise_error(F.concat(F.lit("bad item id: "), "line"))).otherwise(wanted)
-    no_header = F.raise_error(F.concat(F.lit("no header line in "), "file")).cast("boolean")
-    wanted = F.when(F.col("headless"), no_header).otherwise(wanted)
+    no_header = F.raise_error(F.concat(F.lit("no header line in "), "headless")).cast("boolean")
+    wanted = F.when(F.col("headless").isNotNull(), no_header).otherwise(wanted)
     item = F.col("owner.id")
     if mode == "fail":
         item = F.coalesce(item, F.lit(""))      # a line before any header

@@ -227,3 +227,26 @@ def test_malformed_text_records_are_dropped(spark, write_text):
     path = write_text({"a": "1,2\t0.5\nonlyone\n1\t2\t3\n\n3\t0.25\n"})
     got = {(tuple(r["items"]), r["support"]) for r in readers.read_itemsets_text(spark, path).collect()}
     assert got == {(("1", "2"), 0.5), (("3",), 0.25)}
+
+
+def test_owners_are_found_across_pieces_and_tasks(spark, write_text, monkeypatch):
+    """A file is cut into pieces of few lines, so that no task sorts a whole split."""
+    monkeypatch.setattr(blocks, "PIECE_ROWS", 3)
+    monkeypatch.setattr(blocks, "TASK_ROWS", 4)
+    wanted, files = set(), {}
+    for f in (1, 2):
+        lines = []
+        for item in range(f * 100, f * 100 + 5):
+            users = range(1, 1 + item % 100 * 4)
+            lines += [f"{item}:", *[f"{u},3,2005-01-01" for u in users]]
+            wanted |= {(item, u) for u in users}
+        files[f"combined_data_{f}.txt"] = "\n".join(lines) + "\n"
+    for read in (blocks.read_raw_ratings, blocks.read_rating_blocks):
+        got = read(spark, write_text(files))
+        rows = [(r["item_id"], r["user_id"]) for r in got.collect()]
+        assert len(rows) == len(wanted) and set(rows) == wanted
+        assert got.rdd.getNumPartitions() == 23         # of 90 lines
+    # An empty line ends a block of the normalised form, also in an earlier piece.
+    text = "1:\n" + "\n".join(f"{u},3," for u in range(1, 6)) + "\n\n" + "\n".join(f"{u},3," for u in range(6, 20))
+    got = blocks.read_rating_blocks(spark, write_text({"combined_data_1.txt": text}))
+    assert sorted(r["user_id"] for r in got.collect()) == [1, 2, 3, 4, 5]
