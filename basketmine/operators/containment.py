@@ -1,10 +1,12 @@
 """Which users hold which sets: containment on plain tables.
 
-Sets are found by an inverted index on their two rarest members.  A basket meets
-a set only if it holds both, which one equi-join on the rarest member and a look
-into the basket tell; then the whole set is verified against the basket.  There
-is no scan of all baskets against all sets, and the number of joins does not
-depend on the size of the sets.
+Sets are found by an inverted index on their three rarest members.  The members
+that follow one in the index are one array, so a basket is led from member to
+member by an equi-join and an intersection of that array with the basket; sets
+with more members are then verified against the basket.  There is no scan of all
+baskets against all sets, and the number of joins does not depend on the size of
+the sets.  What a basket holds does not depend on its user, so equal baskets are
+matched once (`BasketKinds`), dealt into tasks whose number follows from their items.
 
 `held_sets` returns all holders; `holders` stops at a user's first verified set
 of each index entry, by a semi-join.
@@ -12,53 +14,99 @@ of each index entry, by a semi-join.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import contains_all, support
-from ..plans.runtime import key_bytes, materialize, maybe_broadcast, new_scratch
+from ..plans.runtime import key_bytes, materialize, materialize_measured, maybe_broadcast, new_scratch
 from . import prepare as prep
 
 USER, ITEM = prep.USER, prep.ITEM
+BASKET_ITEMS = 200_000   # items of the baskets that one task matches
+INDEX = ["r1", "r2", "r3"]
+
+
+@dataclass
+class BasketKinds:
+    """Baskets of users, and the distinct ones among them."""
+    users: DataFrame        # user_id, basket
+    kinds: DataFrame        # kind, basket, n_users
+    n_items: int            # items of all kinds
+
+    def dealt(self) -> DataFrame:
+        """The kinds, partitioned by `kind` into tasks of about BASKET_ITEMS items."""
+        return self.kinds.repartition(max(1, math.ceil(self.n_items / BASKET_ITEMS)), "kind")
+
+    def of_users(self, found: DataFrame, scratch: str) -> DataFrame:
+        """Rows found for kinds (basket, ...) as rows of their users (user_id, ...)."""
+        found = materialize(found, scratch)
+        size = found.agg(F.coalesce(F.sum(key_bytes(found, found.columns)), F.lit(0))).first()[0]
+        return self.users.join(maybe_broadcast(found, int(size)), "basket").drop("basket")
 
 
 def whole_baskets(baskets: DataFrame) -> DataFrame:
-    """(user_id, items) with one row per user and every item once, null items left out."""
+    """(user_id, items) with one row per user and every item once, sorted, null items left out."""
     return (baskets.filter("items IS NOT NULL").groupBy(USER)
-            .agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-            .withColumn("items", F.array_compact("items")))
+            .agg(F.sort_array(F.array_compact(F.array_distinct(F.flatten(F.collect_list("items"))))).alias("items")))
 
 
-def basket_pairs(baskets: DataFrame) -> DataFrame:
-    """(user_id, items) -> distinct (user_id, item_id)."""
-    return baskets.select(USER, F.explode("items").alias(ITEM)).distinct()
+def basket_kinds(baskets: DataFrame, scratch: str) -> BasketKinds:
+    """The baskets' users and kinds, both written once; `baskets` is evaluated once."""
+    users = materialize(whole_baskets(baskets).withColumnRenamed("items", "basket"), f"{scratch}/users")
+    kinds = users.groupBy("basket").agg(F.count(F.lit(1)).alias("n_users"))
+    kinds, seen = materialize_measured(
+        kinds.select(F.monotonically_increasing_id().alias("kind"), "basket", "n_users"), f"{scratch}/kinds",
+        [F.expr("coalesce(sum(size(basket)), 0L) as items")])
+    return BasketKinds(users, kinds, int(seen["items"]))
 
 
-def set_index(baskets: DataFrame, sets: DataFrame, scratch: str) -> tuple[DataFrame, int]:
-    """(items, r1, r2) of each distinct set, its two rarest members, and a bound of its bytes.
+def set_index(kinds: DataFrame, sets: DataFrame, scratch: str) -> tuple[DataFrame, int]:
+    """(id, items, r1, r2, r3, more) of each distinct set, and a bound of its bytes.
 
-    A set of one member has r1 = r2.  Empty sets, sets with a null and sets with
-    an item that no basket holds are left out: nobody holds them.
+    r1, r2, r3 are the set's rarest members, the last one repeated in smaller
+    sets; `more` tells that it has others.  Empty sets, sets with a null and sets
+    with an item that no basket holds are left out: nobody holds them.
     """
     wanted = sets.select("items").distinct().filter((F.size("items") > 0) & ~F.exists("items", lambda x: x.isNull()))
     members = wanted.select("items", F.explode(F.array_distinct("items")).alias(ITEM))
-    counts = baskets.select(F.explode("items").alias(ITEM)).groupBy(ITEM).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (kinds.select(F.explode("basket").alias(ITEM), "n_users").groupBy(ITEM)
+              .agg(F.sum("n_users").alias("_n")))
     ranked = members.join(counts, ITEM, "left")
     # A set's members form one group; its size is that of the set.
     rare = F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col(ITEM).alias("x"))))
     index = (ranked.groupBy("items").agg(rare.alias("rare")).filter("rare[0].n > 0")
-             .selectExpr("items", "rare[0].x as r1", "coalesce(get(rare, 1).x, rare[0].x) as r2"))
+             .selectExpr("monotonically_increasing_id() as id", "items", "rare[0].x as r1",
+                         "rare[least(size(rare), 2) - 1].x as r2", "rare[least(size(rare), 3) - 1].x as r3",
+                         "size(rare) > 3 as more"))
     index = materialize(index, f"{scratch}/index")
-    n_bytes = index.agg(F.coalesce(F.sum(key_bytes(index, ["items", "r1", "r2"])), F.lit(0))).first()[0]
+    n_bytes = index.agg(F.coalesce(F.sum(key_bytes(index, ["items", *INDEX])), F.lit(0))).first()[0]
     return index, int(n_bytes)
 
 
-def _met(baskets: DataFrame, index: DataFrame, n_bytes: int) -> DataFrame:
-    """(user_id, basket, r1, r2): the index entries whose two members a basket holds."""
-    entries = index.select(F.col("r1").alias(ITEM), "r2").distinct()
-    return (baskets.select(USER, F.col("items").alias("basket"), F.explode("items").alias(ITEM))
-            .join(maybe_broadcast(entries, n_bytes), ITEM).filter("array_contains(basket, r2)")
-            .withColumnRenamed(ITEM, "r1"))
+def _met(kinds: DataFrame, index: DataFrame, n_bytes: int) -> DataFrame:
+    """(kind, basket, n_users, r1, r2, r3): the index entries whose members a basket holds."""
+    met = kinds.select("*", F.explode("basket").alias("r1"))
+    for i in (1, 2):
+        after = index.groupBy(*INDEX[:i]).agg(F.collect_set(INDEX[i]).alias("_next"))
+        met = (met.join(maybe_broadcast(after, n_bytes), INDEX[:i])
+               .select(*kinds.columns, *INDEX[:i],
+                       F.explode(F.array_intersect("_next", "basket")).alias(INDEX[i])))
+    return met
+
+
+def held_by_kinds(baskets: BasketKinds, sets: DataFrame, scratch: str) -> tuple[DataFrame, DataFrame]:
+    """(kind, basket, n_users, id, items) for every set of `sets` that a kind of basket
+    holds, and the sets (id, items).
+
+    While the sets are few enough to be broadcast, the rows are partitioned by kind.
+    """
+    index, n_bytes = set_index(baskets.kinds, sets, scratch)
+    met = _met(baskets.dealt(), index, n_bytes).join(maybe_broadcast(index, n_bytes), INDEX)
+    held = met.filter(~F.col("more") | contains_all("basket", "items"))
+    return held.select(*baskets.kinds.columns, "id", "items"), index.select("id", "items")
 
 
 def held_sets(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) -> DataFrame:
@@ -68,23 +116,27 @@ def held_sets(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) -
     count once each, whatever their order; the empty set and sets with a null are
     held by nobody.
     """
-    whole = whole_baskets(baskets)
-    index, n_bytes = set_index(whole, sets, scratch or new_scratch(baskets.sparkSession, "held"))
-    met = _met(whole, index, n_bytes).join(maybe_broadcast(index, n_bytes), ["r1", "r2"])
-    return met.filter(contains_all("basket", "items")).select(USER, "items")
+    scratch = scratch or new_scratch(baskets.sparkSession, "held")
+    whole = basket_kinds(baskets, scratch)
+    held, _ = held_by_kinds(whole, sets, scratch)
+    return whole.of_users(held.select("basket", "items"), f"{scratch}/held")
 
 
 def holders(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) -> DataFrame:
-    """(user_id), repeated: the users that hold at least one set.
+    """(user_id): the users that hold at least one set.
 
     A semi-join takes each index entry a basket meets at the first of its sets
     that the basket holds; no table of held sets is made.
     """
-    whole = whole_baskets(baskets)
-    index, n_bytes = set_index(whole, sets, scratch or new_scratch(baskets.sparkSession, "holders"))
-    met, sets_of = _met(whole, index, n_bytes).alias("m"), maybe_broadcast(index, n_bytes).alias("s")
-    same = (F.col("m.r1") == F.col("s.r1")) & (F.col("m.r2") == F.col("s.r2"))
-    return met.join(sets_of, same & contains_all("m.basket", "s.items"), "left_semi").select(USER)
+    scratch = scratch or new_scratch(baskets.sparkSession, "holders")
+    whole = basket_kinds(baskets, scratch)
+    index, n_bytes = set_index(whole.kinds, sets, scratch)
+    met, sets_of = _met(whole.dealt(), index, n_bytes).alias("m"), maybe_broadcast(index, n_bytes).alias("s")
+    same = ~F.col("s.more") | contains_all("m.basket", "s.items")
+    for r in INDEX:
+        same = (F.col(f"m.{r}") == F.col(f"s.{r}")) & same
+    kinds = met.join(sets_of, same, "left_semi").select("kind", "basket").distinct()
+    return whole.of_users(kinds.select("basket"), f"{scratch}/held")
 
 
 def count_support(candidates: DataFrame, baskets: DataFrame, n_users: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import ROW_OVERHEAD, key_bytes, materialize, maybe_broadcast, new_scratch
 from . import prepare as prep
-from .containment import basket_pairs, held_sets
+from .containment import basket_kinds, held_by_kinds
 from .rules import filter_rules
 
 USER, ITEM = prep.USER, prep.ITEM
@@ -51,9 +51,12 @@ def recommend(baskets, rules: DataFrame | None = None, min_confidence: float | N
     A MiningResult without `rules` takes its own rules, whose antecedents are
     looked up in the classes the miner kept.  For any other rules the
     holders of the antecedents are found in the baskets, so rules of any depth
-    apply.  Rules that another one dominates are left out first, which changes no score.  The best score per (user, item) is aggregated before the anti-join
-    that drops items the user already has, and the ranking window is per user,
-    whose rows are bounded by the number of consequents.
+    apply.  Rules that another one dominates are left out first, which changes no
+    score.  They are then applied and ranked once per distinct basket, and the
+    users of each basket joined last; items already there are looked up in the
+    basket itself.  For a MiningResult's own rules the best score per (user, item)
+    is aggregated before the anti-join that drops such items.  The ranking window
+    is per user or basket, whose rows are bounded by the number of consequents.
     """
     plain = isinstance(baskets, DataFrame)
     if plain and rules is None:
@@ -68,20 +71,24 @@ def recommend(baskets, rules: DataFrame | None = None, min_confidence: float | N
         held, n_bytes = _kept_occurrences(baskets), _rules_bytes(baskets.levels)
         pairs = baskets.level(1).occurrences.select(USER, F.col("last").alias(ITEM))
     else:
-        plain_baskets = baskets if plain else baskets.baskets()
-        pairs = basket_pairs(plain_baskets)
         r = materialize(r, new_scratch(r.sparkSession, "rules"))     # read three times
-        held = held_sets(plain_baskets, r.select(F.col("antecedent").alias("items")))
+        scratch = new_scratch(r.sparkSession, "recommend")
+        kinds = basket_kinds(baskets if plain else baskets.baskets(), scratch)
+        held, _ = held_by_kinds(kinds, r.select(F.col("antecedent").alias("items")), scratch)
         n_bytes = r.agg(F.coalesce(F.sum(key_bytes(r, ["antecedent", ITEM])), F.lit(0))).first()[0]
     applied = held.withColumnRenamed("items", "antecedent").join(
         maybe_broadcast(r, int(n_bytes)), "antecedent", "inner")
-    best = applied.groupBy(USER, ITEM).agg(F.max("confidence").alias("score"))
-    best = best.join(pairs, [USER, ITEM], "left_anti")
-    order = Window.partitionBy(USER).orderBy(F.desc("score"), F.asc(ITEM))
+    who = [USER] if own else ["kind", "basket"]
+    if not own:
+        applied = applied.filter(~F.coalesce(F.array_contains("basket", F.col(ITEM)), F.lit(False)))
+    best = applied.groupBy(*who, ITEM).agg(F.max("confidence").alias("score"))
+    if own:
+        best = best.join(pairs, [USER, ITEM], "left_anti")
+    order = Window.partitionBy(who[0]).orderBy(F.desc("score"), F.asc(ITEM))
     ranked = best.withColumn("rank", F.row_number().over(order))
     if top_n is not None:
         ranked = ranked.filter(F.col("rank") <= top_n)
-    return ranked
+    return ranked if own else kinds.of_users(ranked.drop("kind"), f"{scratch}/ranked")
 
 
 def _rules_bytes(levels) -> int:
