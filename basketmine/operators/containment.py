@@ -142,11 +142,14 @@ def holders(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) ->
 def count_support(candidates: DataFrame, baskets: DataFrame, n_users: int) -> DataFrame:
     """(k, items, freq, support) of arbitrary candidates over plain baskets (M4, A5).
 
-    Candidates that no basket holds are absent, as in the reference, whose
-    reducer only sees candidates that were emitted.
+    Holders are counted by the number of the set in the index.  Candidates that
+    no basket holds are absent, as in the reference, whose reducer only sees
+    candidates that were emitted.
     """
-    held = held_sets(baskets, candidates)
-    return (held.groupBy("items").agg(F.count(F.lit(1)).alias("freq"))
+    scratch = new_scratch(baskets.sparkSession, "support")
+    held, sets = held_by_kinds(basket_kinds(baskets, scratch), candidates, scratch)
+    counts = held.groupBy("id").agg(F.sum("n_users").alias("freq"))
+    return (counts.join(sets, "id")
             .select(F.size("items").alias("k"), "items", "freq",
                     support("freq", n_users).alias("support")))
 

@@ -6,12 +6,14 @@ sf0.01 where FIXTURES.md lists the expected level sizes).
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from basketmine import mine
 from basketmine.functions.itemsets import min_count_above
+from basketmine.operators import containment
 from basketmine.operators.candidates import generate_candidates
 from basketmine.operators.classes import deal_hot, grow, held
 from basketmine.operators.containment import count_support, held_sets, holders
@@ -19,6 +21,7 @@ from basketmine.operators.fpgrowth import fpgrowth_itemsets
 from basketmine.operators.pairs import SkewPolicy, bucket_pairs, hot_groups, pair_join
 from basketmine.operators.recommend import recommend, undominated_rules
 from basketmine.operators.support import candidate_support
+from basketmine.plans.runtime import new_scratch
 from basketmine.sources import tables
 
 SF001 = "/root/testdata/sf0.001"
@@ -280,6 +283,23 @@ def _odd_baskets(spark):
     return spark.createDataFrame(rows, "user_id long, items array<string>"), whole
 
 
+def test_equal_baskets_are_matched_once(spark, monkeypatch):
+    """Supports of sets of 1 to 5 members, counted over the distinct baskets."""
+    monkeypatch.setattr(containment, "BASKET_ITEMS", 50)
+    baskets, whole = _odd_baskets(spark)
+    kinds = containment.basket_kinds(baskets, new_scratch(spark, "test"))
+    got = {tuple(r["basket"]): r["n_users"] for r in kinds.kinds.collect()}
+    assert got == Counter(tuple(sorted(b)) for b in whole.values())
+    assert kinds.kinds.count() == len(got) and kinds.n_items == sum(map(len, got))
+    sets = [s for k in (1, 2, 3, 4, 5) for s in itertools.combinations("abcdefgh", k)] + [("a", "z"), (), ("a", None)]
+    frame = spark.createDataFrame([(list(s),) for s in sets], "items array<string>")
+    support = {tuple(r["items"]): r["freq"] for r in containment.count_support(frame, baskets, 200).collect()}
+    want = {s: sum(set(s) <= b for b in whole.values()) for s in sets if s and None not in s}
+    assert support == {s: n for s, n in want.items() if n}
+    kept = {r["user_id"] for r in containment.holders(baskets, frame.filter("size(items) = 4")).collect()}
+    assert kept == {u for u, b in whole.items() if len(b) >= 4}
+
+
 def test_rules_are_applied_once_per_distinct_basket(spark):
     """Recommendations for plain baskets: no join takes away a user's own items, ranks are found before users."""
     baskets, whole = _odd_baskets(spark)
