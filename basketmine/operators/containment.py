@@ -31,9 +31,9 @@ INDEX = ["r1", "r2", "r3"]
 
 @dataclass
 class BasketKinds:
-    """Baskets of users, and the distinct ones among them."""
-    users: DataFrame        # user_id, basket
-    kinds: DataFrame        # kind, basket, n_users
+    """Baskets of users, and the distinct ones among them; those of a null user stand apart (`anon`)."""
+    users: DataFrame        # user_id, basket, anon
+    kinds: DataFrame        # kind, basket, anon, n_users
     n_items: int            # items of all kinds
 
     def dealt(self) -> DataFrame:
@@ -41,10 +41,10 @@ class BasketKinds:
         return self.kinds.repartition(max(1, math.ceil(self.n_items / BASKET_ITEMS)), "kind")
 
     def of_users(self, found: DataFrame, scratch: str) -> DataFrame:
-        """Rows found for kinds (basket, ...) as rows of their users (user_id, ...)."""
+        """Rows found for kinds (basket, anon, ...) as rows of their users (user_id, ...)."""
         found = materialize(found, scratch)
         size = found.agg(F.coalesce(F.sum(key_bytes(found, found.columns)), F.lit(0))).first()[0]
-        return self.users.join(maybe_broadcast(found, int(size)), "basket").drop("basket")
+        return self.users.join(maybe_broadcast(found, int(size)), ["basket", "anon"]).drop("basket", "anon")
 
 
 def whole_baskets(baskets: DataFrame) -> DataFrame:
@@ -55,10 +55,11 @@ def whole_baskets(baskets: DataFrame) -> DataFrame:
 
 def basket_kinds(baskets: DataFrame, scratch: str) -> BasketKinds:
     """The baskets' users and kinds, both written once; `baskets` is evaluated once."""
-    users = materialize(whole_baskets(baskets).withColumnRenamed("items", "basket"), f"{scratch}/users")
-    kinds = users.groupBy("basket").agg(F.count(F.lit(1)).alias("n_users"))
+    whole = whole_baskets(baskets).select(USER, F.col("items").alias("basket"), F.col(USER).isNull().alias("anon"))
+    users = materialize(whole, f"{scratch}/users")
+    kinds = users.groupBy("basket", "anon").agg(F.count(F.lit(1)).alias("n_users"))
     kinds, seen = materialize_measured(
-        kinds.select(F.monotonically_increasing_id().alias("kind"), "basket", "n_users"), f"{scratch}/kinds",
+        kinds.select(F.monotonically_increasing_id().alias("kind"), "basket", "anon", "n_users"), f"{scratch}/kinds",
         [F.expr("coalesce(sum(size(basket)), 0L) as items")])
     return BasketKinds(users, kinds, int(seen["items"]))
 
@@ -87,7 +88,7 @@ def set_index(kinds: DataFrame, sets: DataFrame, scratch: str) -> tuple[DataFram
 
 
 def _met(kinds: DataFrame, index: DataFrame, n_bytes: int) -> DataFrame:
-    """(kind, basket, n_users, r1, r2, r3): the index entries whose members a basket holds."""
+    """(kind, basket, anon, n_users, r1, r2, r3): the index entries whose members a basket holds."""
     met = kinds.select("*", F.explode("basket").alias("r1"))
     for i in (1, 2):
         after = index.groupBy(*INDEX[:i]).agg(F.collect_set(INDEX[i]).alias("_next"))
@@ -98,7 +99,7 @@ def _met(kinds: DataFrame, index: DataFrame, n_bytes: int) -> DataFrame:
 
 
 def held_by_kinds(baskets: BasketKinds, sets: DataFrame, scratch: str) -> tuple[DataFrame, DataFrame]:
-    """(kind, basket, n_users, id, items) for every set of `sets` that a kind of basket
+    """(kind, basket, anon, n_users, id, items) for every set of `sets` that a kind of basket
     holds, and the sets (id, items).
 
     While the sets are few enough to be broadcast, the rows are partitioned by kind.
@@ -119,7 +120,7 @@ def held_sets(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) -
     scratch = scratch or new_scratch(baskets.sparkSession, "held")
     whole = basket_kinds(baskets, scratch)
     held, _ = held_by_kinds(whole, sets, scratch)
-    return whole.of_users(held.select("basket", "items"), f"{scratch}/held")
+    return whole.of_users(held.select("basket", "anon", "items"), f"{scratch}/held")
 
 
 def holders(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) -> DataFrame:
@@ -135,8 +136,8 @@ def holders(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) ->
     same = ~F.col("s.more") | contains_all("m.basket", "s.items")
     for r in INDEX:
         same = (F.col(f"m.{r}") == F.col(f"s.{r}")) & same
-    kinds = met.join(sets_of, same, "left_semi").select("kind", "basket").distinct()
-    return whole.of_users(kinds.select("basket"), f"{scratch}/held")
+    kinds = met.join(sets_of, same, "left_semi").select("kind", "basket", "anon").distinct()
+    return whole.of_users(kinds.drop("kind"), f"{scratch}/held")
 
 
 def count_support(candidates: DataFrame, baskets: DataFrame, n_users: int) -> DataFrame:

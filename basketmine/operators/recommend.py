@@ -54,7 +54,7 @@ def recommend(baskets, rules: DataFrame | None = None, min_confidence: float | N
     apply.  Rules that another one dominates are left out first, which changes no
     score.  They are then applied and ranked once per distinct basket, and the
     users of each basket joined last; items already there are looked up in the
-    basket itself.  For a MiningResult's own rules the best score per (user, item)
+    basket itself (as in a join, a null user has none).  For a MiningResult's own rules the best score per (user, item)
     is aggregated before the anti-join that drops such items.  The ranking window
     is per user or basket, whose rows are bounded by the number of consequents.
     """
@@ -78,9 +78,9 @@ def recommend(baskets, rules: DataFrame | None = None, min_confidence: float | N
         n_bytes = r.agg(F.coalesce(F.sum(key_bytes(r, ["antecedent", ITEM])), F.lit(0))).first()[0]
     applied = held.withColumnRenamed("items", "antecedent").join(
         maybe_broadcast(r, int(n_bytes)), "antecedent", "inner")
-    who = [USER] if own else ["kind", "basket"]
+    who = [USER] if own else ["kind", "basket", "anon"]
     if not own:
-        applied = applied.filter(~F.coalesce(F.array_contains("basket", F.col(ITEM)), F.lit(False)))
+        applied = applied.filter(F.col("anon") | ~F.coalesce(F.array_contains("basket", F.col(ITEM)), F.lit(False)))
     best = applied.groupBy(*who, ITEM).agg(F.max("confidence").alias("score"))
     if own:
         best = best.join(pairs, [USER, ITEM], "left_anti")

@@ -303,6 +303,10 @@ def test_equal_baskets_are_matched_once(spark, monkeypatch):
 def test_rules_are_applied_once_per_distinct_basket(spark):
     """Recommendations for plain baskets: no join takes away a user's own items, ranks are found before users."""
     baskets, whole = _odd_baskets(spark)
+    baskets = baskets.selectExpr("nullif(user_id, 0) as user_id", "items").unionByName(
+        spark.createDataFrame([(None, ["a", "b", "c"])], baskets.schema))
+    whole = {u or None: b for u, b in whole.items()}
+    whole[None] |= set("abc")
     rng = random.Random(8)
     rules = [(list(a), c, rng.randint(1, 9) / 10) for k in (1, 2, 4) for a in itertools.combinations("abcdefgh", k)
              for c in "abcdefgh" if c not in a and rng.random() < 0.4]
@@ -312,7 +316,7 @@ def test_rules_are_applied_once_per_distinct_basket(spark):
     for u, b in whole.items():
         best = {}
         for a, c, conf in rules:
-            if set(a) <= b and c not in b:
+            if set(a) <= b and (u is None or c not in b):
                 best[c] = max(conf, best.get(c, 0))
         want |= {(u, c, s, i) for i, (c, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:2], 1)}
     rows = [(r["user_id"], r["item_id"], r["score"], r["rank"]) for r in got.collect()]
