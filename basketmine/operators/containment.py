@@ -40,11 +40,11 @@ class BasketKinds:
         """The kinds, partitioned by `kind` into tasks of about BASKET_ITEMS items."""
         return self.kinds.repartition(max(1, math.ceil(self.n_items / BASKET_ITEMS)), "kind")
 
-    def of_users(self, found: DataFrame, scratch: str) -> DataFrame:
+    def of_users(self, found: DataFrame, scratch: str, how: str = "inner") -> DataFrame:
         """Rows found for kinds (basket, anon, ...) as rows of their users (user_id, ...)."""
         found = materialize(found, scratch)
         size = found.agg(F.coalesce(F.sum(key_bytes(found, found.columns)), F.lit(0))).first()[0]
-        return self.users.join(maybe_broadcast(found, int(size)), ["basket", "anon"]).drop("basket", "anon")
+        return self.users.join(maybe_broadcast(found, int(size)), ["basket", "anon"], how).drop("basket", "anon")
 
 
 def whole_baskets(baskets: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def holders(baskets: DataFrame, sets: DataFrame, scratch: str | None = None) ->
     for r in INDEX:
         same = (F.col(f"m.{r}") == F.col(f"s.{r}")) & same
     kinds = met.join(sets_of, same, "left_semi").select("kind", "basket", "anon").distinct()
-    return whole.of_users(kinds.drop("kind"), f"{scratch}/held")
+    return whole.of_users(kinds.drop("kind"), f"{scratch}/held", "left_semi")
 
 
 def count_support(candidates: DataFrame, baskets: DataFrame, n_users: int) -> DataFrame:
